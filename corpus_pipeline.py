@@ -1,9 +1,10 @@
 """From documents to a training mixture: each stage works on what the one before it kept."""
 
-from genostrata.llm import lang_id
+from genostrata.llm import lang_id, near_dedup
 
 STAGES = [
     ("language_id", lang_id.stage),
+    ("minhash_near_dedup", near_dedup.stage),
 ]
 
 ORACLE_SQL = None  # compression, MinHash and scheduling are beyond SQL; tests hold it against brute force

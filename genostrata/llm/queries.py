@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
-from genostrata.llm import lang_id
+from genostrata.llm import lang_id, near_dedup
 
 QUERIES = {
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_compression_langid": lang_id.op9_compression_langid,
 }
 
