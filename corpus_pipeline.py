@@ -1,10 +1,13 @@
 """From documents to a training mixture: each stage works on what the one before it kept."""
 
-from genostrata.llm import lang_id, near_dedup
+from genostrata.llm import decontaminate, lang_id, line_dedup, mixing, near_dedup
 
 STAGES = [
     ("language_id", lang_id.stage),
+    ("line_dedup", line_dedup.stage),
     ("minhash_near_dedup", near_dedup.stage),
+    ("benchmark_decontamination", decontaminate.stage),
+    ("mix_to_target_weights", mixing.stage),
 ]
 
 ORACLE_SQL = None  # compression, MinHash and scheduling are beyond SQL; tests hold it against brute force

@@ -1,10 +1,18 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
-from genostrata.llm import lang_id, near_dedup
+from genostrata.llm import chat, decontaminate, lang_id, line_dedup, mixing, near_dedup, url_lists
 
 QUERIES = {
+    "op1_template_decontamination": decontaminate.op1_template_decontamination,
+    "op2_pfair_mixing": mixing.op2_pfair_mixing,
+    "op3_chat_snapshots": chat.op3_chat_snapshots,
+    "op7_temporal_url_lists": url_lists.op7_temporal_url_lists,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_compression_langid": lang_id.op9_compression_langid,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat_snapshots": chat.OP3_SQL,
+    "op7_temporal_url_lists": url_lists.OP7_SQL,
+}
