@@ -9,8 +9,10 @@ square of a group of near copies, without losing a link:
   rarest postings of either, so a class is looked up under those only;
 * hubs first: every class of a posting list is compared with two hubs of the list, which
   joins most of a group of near copies by a number of pairs linear in its size;
-* skip: afterwards only lists that still hold more than one component are merged, and in
-  these only pairs of different components are counted, in blocks of bounded size.
+* skip: afterwards only lists that still hold more than one component are merged, in
+  blocks of bounded size, and of the pairs that agree only those that join components come
+  back. What these join is compared on full sets, again in blocks and only across
+  components.
 
 A link is missed only if two sets of similarity 0.8 agree on fewer than MATCHES of K
 coordinates, of probability below 1e-5; links are confirmed on full sets.
@@ -24,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genostrata.llm.common import add_text_columns, ascii_words, materialise, mix64, read, window_hashes, word_hashes
@@ -35,8 +37,8 @@ K, MATCHES = 64, 36
 PREFIX = K - MATCHES + 1
 #: Classes in each side of a block of a long posting list.
 BLOCK = 1024
-#: Pairs tried first for each class and foreign component: those agreeing on most coordinates.
-BEST = 3
+#: The same where full sets are compared.
+SET_BLOCK = 256
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,26 +129,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def foreign_pairs(posts: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, label_b, matches): pairs of different components that meet in a list and agree.
+def _blocked(rows: DataFrame, group: str, width: int) -> DataFrame:
+    """``rows`` (group, label, ...) dealt into blocks: those outside the group's largest label ask all.
 
-    Only lists with several components take part. Every class outside the largest
-    component of its list meets every class of the list, in blocks of BLOCK by BLOCK.
+    Adds g, i, j, asks: within (g, i, j) and the group, each asking row meets each asked
+    row; blocks hold about ``width`` rows a side. Groups of one block share a g by thousands
+    of rows, so that tasks do not start a call for every pair of rows.
+    """
+    counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = counts.groupBy(group).agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    sizes = materialise(sizes.select(group, F.ceil(F.col("size") / width).cast("int").alias("blocks"), F.col("top.label").alias("top"), "size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    rows = rows.join(sizes.drop("size"), group).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    packed = F.pmod(F.xxhash64(group), F.lit(max(1, total // (4 * width))))
+    rows = rows.withColumn("g", F.when(F.col("blocks") == 1, packed).otherwise(F.col(group)))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asking = rows.where("label <> top").select("*", F.lit(True).alias("asks"), F.col("block").alias("i"), every.alias("j"))
+    asked = rows.select("*", F.lit(False).alias("asks"), F.col("block").alias("j"), every.alias("i"))
+    return asking.unionByName(asked).drop("block", "top")
+
+
+def _joining(near, left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, int]]:
+    """Pairs (a, b) that join labels: a spanning forest of what ``near(i)``, a mask of right, says."""
+    root, rc, found = right["label"].to_numpy().copy(), right["cls"].to_numpy(), []
+    own = {label: label for label in set(root) | set(left["label"])}
+    for i, (a, label) in enumerate(zip(left["cls"], left["label"], strict=True)):
+        mask = near(i)
+        while len(apart := np.flatnonzero(mask & (root != own[label]))):
+            b = apart[0]
+            found.append((a, rc[b]))
+            old, new = root[b], own[label]
+            root[root == old] = new
+            for k, v in own.items():
+                if v == old:
+                    own[k] = new
+    return found
+
+
+def loose_pairs(posts: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that agree on enough coordinates.
+
+    Only lists with several components take part, and of the pairs that agree in a list as
+    many come back as join its components: what they join holds every pair that agrees.
     """
     labelled = posts.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    lists = counts.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    lists = lists.select("key", "size", F.col("top.label").alias("top"))
-    rows = labelled.join(lists, "key").join(reps.select("cls", "sig"), "cls")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # Short lists share a group of some thousand rows; a long list has groups of its own.
-    rows = rows.withColumn("g", F.when(F.col("blocks") == 1, F.shiftright("key", 48)).otherwise(F.col("key")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    same = ["g", "blocks", "key", "cls", "label", "n", "sig"]
-    asking = rows.where("label <> top").select(*same, F.lit(True).alias("asks"), F.col("block").alias("i"), every).withColumnRenamed("other", "j")
-    asked = rows.select(*same, F.lit(False).alias("asks"), F.col("block").alias("j"), every).withColumnRenamed("other", "i")
-    both = asking.unionByName(asked)
+    both = _blocked(labelled.select("key", "cls", "label", "n"), "key", BLOCK).join(reps.select("cls", "sig"), "cls")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -155,17 +182,46 @@ def foreign_pairs(posts: DataFrame, labels: DataFrame, reps: DataFrame, percent:
             if left.empty or right.empty:
                 continue
             x, y = np.stack(left["sig"].to_numpy()), np.stack(right["sig"].to_numpy())
-            ln, rn, ll, rl = left["n"].to_numpy(), right["n"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
-            lc, rc = left["cls"].to_numpy(), right["cls"].to_numpy()
-            for i in range(len(x)):
-                near = np.flatnonzero((rl != ll[i]) & (100 * np.minimum(rn, ln[i]) >= percent * np.maximum(rn, ln[i])))
-                if len(near):
-                    matches = (y[near] == x[i]).sum(axis=1)
-                    for j, m in zip(near[matches >= MATCHES], matches[matches >= MATCHES], strict=True):
-                        found.append((lc[i], rc[j], rl[j], m))
-        return pd.DataFrame(found, columns=["a", "b", "label_b", "matches"]).astype("int64")
+            ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
+            found += _joining(lambda i: (100 * np.minimum(rn, ln[i]) >= percent * np.maximum(rn, ln[i])) & ((y == x[i]).sum(axis=1) >= MATCHES), left, right)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return both.groupBy("g", "blocks", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def remaining_links(labels: DataFrame, loose: DataFrame, edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links, confirmed on full sets, that join the components of ``labels``.
+
+    Clusters are what links and loose pairs join; a missing link lies within a cluster.
+    Every class outside the largest component of its cluster meets all of the cluster.
+    """
+    clusters = connected_components(edges.union(loose)).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    rows = clusters.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    both = _blocked(rows, "cluster", SET_BLOCK).join(sets, "cls")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, part in frame.groupby("cluster", sort=False):
+            left, right = part[part["asks"]], part[~part["asks"]]
+            if left.empty or right.empty:
+                continue
+            x = [np.frombuffer(v, np.uint64) for v in left["shingles"]]
+            y = [np.frombuffer(v, np.uint64) for v in right["shingles"]]
+            rn = np.array([len(v) for v in y])
+            starts = np.concatenate([[0], np.cumsum(rn)[:-1]])
+            vocabulary, at = np.unique(np.concatenate(y), return_inverse=True)
+
+            def near(i: int, x=x, rn=rn, starts=starts, vocabulary=vocabulary, at=at) -> np.ndarray:
+                place = np.minimum(np.searchsorted(vocabulary, x[i]), len(vocabulary) - 1)
+                has = np.zeros(len(vocabulary), np.int64)
+                has[place[vocabulary[place] == x[i]]] = 1
+                both = np.add.reduceat(has[at], starts)
+                return 100 * both >= percent * (rn + len(x[i]) - both)
+
+            found += _joining(near, left, right)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return both.groupBy("g", "blocks", "i", "j").applyInPandas(compare, "a long, b long, label_b long, matches long").distinct()
+    return both.groupBy("g", "blocks", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -201,19 +257,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = add_text_columns(known, "text", make, "hi2 bigint, lo2 bigint, shingles binary").where("hi = hi2 AND lo = lo2")
     sets = materialise(sets.select("cls", "shingles").dropDuplicates(["cls"]))
 
-    tried = materialise(agreeing(hub_pairs(posts, percent), reps))
-    edges = materialise(confirmed(tried, sets, percent))
+    edges = materialise(confirmed(agreeing(hub_pairs(posts, percent), reps), sets, percent))
     labels = connected_components(edges)
-    rest = materialise(foreign_pairs(posts, labels, reps, percent).join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), F.expr("least(a, b) = x AND greatest(a, b) = y"), "left_anti"))
-    if not rest.isEmpty():
-        order = Window.partitionBy("a", "label_b").orderBy(F.desc("matches"), "b")
-        ranked = materialise(rest.withColumn("rank", F.row_number().over(order)))
-        for part in (ranked.where(F.col("rank") <= BEST), ranked.where(F.col("rank") > BEST)):
-            x, y = labels.toDF("a", "x"), labels.toDF("b", "y")
-            apart = part.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b"))
-            new = materialise(confirmed(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent))
-            edges = edges.union(new)
-            labels = connected_components(edges)
+    loose = materialise(loose_pairs(posts, labels, reps, percent))
+    more = materialise(remaining_links(labels, loose, edges, sets, percent))
+    labels = connected_components(edges.union(more))
 
     named = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
