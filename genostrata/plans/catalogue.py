@@ -1,4 +1,6 @@
 """All registered queries of the genomic library."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from genostrata.plans import intervals  # noqa: F401
+from genostrata.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
