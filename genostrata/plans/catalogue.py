@@ -1,6 +1,6 @@
 """All registered queries of the genomic library."""
 
-from genostrata.plans import events, intervals, matching  # noqa: F401
+from genostrata.plans import events, intervals, matching, methylation  # noqa: F401
 from genostrata.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
