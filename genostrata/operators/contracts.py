@@ -26,6 +26,6 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
 def recomputed(report: DataFrame, again: DataFrame, key: str, tolerance: float = 1e-9) -> DataFrame:
     """(key, column) where a report's number differs from the recomputed one, null only equal to null."""
     names = [c for c in report.columns if c != key]
-    both = report.select(key, *[F.col(c).alias(f"a_{c}") for c in names]).join(again.select(F.col(key).alias("k"), *[F.col(c).alias(f"b_{c}") for c in names]), F.col(key) == F.col("k"), "full")
+    both = report.select(key, *[F.col(c).alias(f"a_{c}") for c in names]).join(again.select(F.col(key).alias("__key"), *[F.col(c).alias(f"b_{c}") for c in names]), F.col(key) == F.col("__key"), "full")
     differs = lambda c: F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) > tolerance * F.greatest(F.lit(1.0), F.abs(F.col(f"b_{c}"))), F.col(f"a_{c}").isNull() != F.col(f"b_{c}").isNull())
-    return both.select(F.coalesce(key, "k").alias(key), F.explode(F.array_compact(F.array(*[F.when(differs(c), c) for c in names]))).alias("column"))
+    return both.select(F.coalesce(key, "__key").alias(key), F.explode(F.array_compact(F.array(*[F.when(differs(c), c) for c in names]))).alias("column"))

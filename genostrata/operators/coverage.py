@@ -37,7 +37,7 @@ def observability(events: DataFrame, targets: DataFrame, min_depth: float) -> Da
     a point in several regions takes the deepest.
     """
     points = F.when(F.col("event_type") == "insertion", F.array("start_pos")).otherwise(F.array_distinct(F.array(F.col("start_pos"), F.col("end_pos") - 1)))
-    sites = events.select("event_id", F.col("chrom").alias("l_chrom"), F.explode(points).alias("l_pos"))
+    sites = events.select("event_id", F.col("chrom").alias("l_chrom"), F.explode(points).alias("l_pos")).distinct()
     regions = targets.select(F.col("chrom").alias("r_chrom"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"), "mean_depth")
     deep = point_join(sites, regions).groupBy("event_id", "l_pos").agg(F.max("mean_depth").alias("depth"))
     all_points = sites.join(deep, ["event_id", "l_pos"], "left")

@@ -139,7 +139,7 @@ def gene_pair_labels(spark, sf_dir):
 
     calls = fixture(spark, sf_dir, "calls")
     hit = overlap_join(left(calls, "event_id"), right(fixture(spark, sf_dir, "targets"), "label")).groupBy("event_id").agg(F.array_sort(F.collect_set("label")).alias("genes"))
-    rows = calls.select("event_id").join(hit, "event_id", "left").withColumn("genes", F.coalesce("genes", F.array().cast("array<string>")))
+    rows = calls.select("event_id").distinct().join(hit, "event_id", "left").withColumn("genes", F.coalesce("genes", F.array().cast("array<string>")))
     return rows.select("event_id", ev.gene_pair_label(F.lit(None).cast("string"), F.col("genes")).alias("label"))
 
 
