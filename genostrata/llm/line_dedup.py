@@ -20,12 +20,16 @@ PERCENT = 80
 #: Lines of fewer distinct words are left alone: short phrases recur in any prose.
 MIN_TOKENS = 5
 #: Hash buckets of the rarity table; its size is the same for every corpus.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Earliest classes of each posting list that are tried first, one for each hash class.
 HUBS = 4
 
+#: 64-bit parity bitmaps of the lines that have a near neighbour (a power of two).
+WIDE = 4
+#: Up to so many narrow rows may be broadcast: some 30 bytes each, 15 MB in all.
+MOST_BROADCAST = 500_000
+
 _SPACE = r"[ \t\r\f\x0B]+"
-_WORD = (1 << 40) - 1
 
 
 def _words(line: Column) -> Column:
@@ -33,8 +37,12 @@ def _words(line: Column) -> Column:
 
 
 def rarity_table(texts: DataFrame, text: str) -> Column:
-    """An array: frequency class (log scale) of each hash bucket, as a scalar subquery."""
-    words = texts.select(F.explode(F.split(F.lower(text), r"[ \n\t\r\f\x0B]+")).alias("w")).where("w <> ''")
+    """An array: frequency class (log scale) of each hash bucket, as a scalar subquery.
+
+    The order it gives only has to be one order for all lines, so the words counted are
+    simply what blanks separate.
+    """
+    words = texts.select(F.explode(F.split(text, " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
     level = F.least(F.lit(127), F.floor(F.log2("c") * 3)).cast("tinyint")
     every = texts.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
@@ -42,30 +50,51 @@ def rarity_table(texts: DataFrame, text: str) -> Column:
     return every.agg(F.transform(pairs, lambda p: p["level"]).alias("levels")).scalar()
 
 
-def line_classes(docs: DataFrame, percent: int, min_tokens: int) -> DataFrame:
-    """(d, th, line_no, cls, n, bits, prefix) of the lines that take part.
+def line_classes(docs: DataFrame, percent: int) -> DataFrame:
+    """(d, th, line_no, cls, n, bits, prefix) of every line.
 
     docs(d long, text); th tells apart texts of one d. cls is a hash of the word set, bits
     the parity bitmap of its words, prefix its rarest words in order of rarity.
     """
-    texts = docs.select("d", "text", F.xxhash64("text").alias("th"), rarity_table(docs, "text").alias("levels"))
-    lines = texts.select("d", "th", "levels", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    lines = docs.select("d", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # The table joins the projection after lines have become rows: no row carries a copy of it.
+    lines = lines.select("*", rarity_table(docs, "text").alias("levels"))
     rarity = lambda h: F.coalesce(F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), F.lit(0))
-    ordered = F.transform(hashes, lambda h: F.shiftleft(rarity(h), 40).bitwiseOR(F.shiftrightunsigned(h, 24)))
-    lines = lines.select("d", "th", "line_no", F.sort_array(F.array_distinct(ordered)).alias("s")).where(F.size("s") >= min_tokens)
-    bits = F.aggregate("s", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    ordered = F.transform(_words(F.col("line")), lambda w: F.shiftleft(rarity(F.xxhash64(w)), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24)))
+    sets = lines.select("d", "th", "line_no", F.sort_array(F.array_distinct(ordered)).alias("s"))
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.expr(f"cast(({percent}L * size(s) + 99) div 100 as int)") + 1)
-    return lines.select("d", "th", "line_no", F.xxhash64("s").alias("cls"), n.alias("n"), bits.alias("bits"), F.transform(prefix, lambda w: w.bitwiseAND(F.lit(_WORD))).alias("prefix"))
+    return sets.select("d", "th", "line_no", F.xxhash64("s").alias("cls"), n.alias("n"), parity("s").alias("bits"), prefix.alias("prefix"))
+
+
+def small_enough(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` (a written table of narrow rows) with a broadcast hint if it has at most ``rows`` rows.
+
+    With more, the join it takes part in is left to the planner, which shuffles both sides.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def parity(words: str, part: int = 0, parts: int = 1) -> Column:
+    """A 64-bit parity bitmap of the array's hashes that fall in one of ``parts`` classes."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+    if parts > 1:
+        every = bit
+        bit = lambda w: F.when(F.shiftright(w, 6).bitwiseAND(F.lit(parts - 1)) == part, every(w)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
 
 
-def _may_match(x: str, y: str, percent: int) -> Column:
+def _differ(x: str, y: str, bitmaps: list[str]) -> Column:
+    """Words that two sets certainly do not share: differing parity bits."""
+    counts = [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bitmaps]
+    return sum(counts[1:], counts[0])
+
+
+def _may_match(x: str, y: str, percent: int, bitmaps: list[str]) -> Column:
     """Length and bitmap filters; both hold for every pair of similarity percent / 100."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     length = F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny)
-    differ = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
-    return length & (differ * (100 + percent) <= (nx + ny) * (100 - percent))
+    return length & (_differ(x, y, bitmaps) * (100 + percent) <= (nx + ny) * (100 - percent))
 
 
 def near_posts(lines: DataFrame, percent: int) -> DataFrame:
@@ -76,7 +105,7 @@ def near_posts(lines: DataFrame, percent: int) -> DataFrame:
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     position = rest * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") != F.col("y.cls"))
-    return x.join(y, other & _may_match("x", "y", percent) & position, "left_semi")
+    return x.join(y, other & _may_match("x", "y", percent, ["bits"]) & position, "left_semi")
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -91,33 +120,38 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_tokens: int =
 
     docs(d long, text), without null texts.
     """
-    lines = materialise(line_classes(docs, percent, min_tokens))
+    lines = materialise(line_classes(docs, percent)).where(F.col("n") >= min_tokens)
     firsts = materialise(lines.groupBy("cls").agg(F.min(F.struct("d", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("times")))
     near = materialise(near_posts(lines, percent))
-    known = firsts.join(near.select("cls").distinct(), "cls")
-    near = materialise(near.join(known.select("cls", "first"), "cls"))
+    known = materialise(firsts.join(near.select("cls").distinct(), "cls"))
 
-    where = known.select("cls", "first.d", "first.th", "first.line_no")
+    # The words of the lines where a near class comes first, as 64-bit hashes, cut from the texts again.
+    where = small_enough(known.select("cls", F.col("first.d").alias("d2"), F.col("first.th").alias("th2"), F.col("first.line_no").alias("line2")))
     texts = docs.select("d", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    on = texts["d"].eqNullSafe(where["d"]) & (texts["th"] == where["th"]) & (texts["line_no"] == where["line_no"])
-    tokens = materialise(texts.join(where, on).dropDuplicates(["cls"]).select("cls", F.array_distinct(_words(F.col("line"))).alias("words")))
+    on = (F.col("th") == F.col("th2")) & (F.col("line_no") == F.col("line2")) & F.col("d").eqNullSafe(F.col("d2"))
+    found = texts.join(where, on).select("cls", "line").dropDuplicates(["cls"])
+    tokens = materialise(found.select("cls", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")))
 
-    hubs = near.groupBy("key", F.pmod("cls", F.lit(HUBS)).alias("part")).agg(F.min(F.struct("first", "cls", "n", "bits")).alias("h"))
-    hubs = hubs.select("key", "h.*")
-    pair = [F.col("y.cls").alias("y"), F.col("x.cls").alias("x")]
+    # The few lines left have wider bitmaps, which tell near misses from matches.
+    wide = [f"b{i}" for i in range(WIDE)]
+    maps = tokens.select("cls", *[parity("words", i, WIDE).alias(b) for i, b in enumerate(wide)])
+    near = materialise(near.select("key", "cls", "n").join(known.select("cls", "first").join(maps, "cls"), "cls"))
 
     def earlier(ys: DataFrame, xs: DataFrame) -> DataFrame:
         on = (F.col("y.key") == F.col("x.key")) & (F.col("x.first") < F.col("y.first"))
-        return ys.alias("y").join(xs.alias("x"), on & _may_match("x", "y", percent)).select(*pair).distinct()
-
-    tried = materialise(earlier(near, hubs))
-    found = materialise(verified(tried, tokens, percent).select(F.col("y").alias("cls")).distinct())
-    open_ = near.join(found, "cls", "left_anti")
-    rest = earlier(open_, near).join(tried, ["y", "x"], "left_anti")
+        pairs = ys.alias("y").join(xs.alias("x"), on & _may_match("x", "y", percent, wide))
+        return pairs.select(F.col("y.cls").alias("y"), F.col("x.cls").alias("x"), _differ("x", "y", wide).alias("differ"))
+
+    # First the likeliest of the early classes, for each class one; then, for what is left, all.
+    hubs = near.groupBy("key", F.pmod("cls", F.lit(HUBS)).alias("part")).agg(F.min(F.struct("first", "cls", "n", *wide)).alias("h")).select("key", "h.*")
+    tried = materialise(earlier(near, hubs).groupBy("y").agg(F.min(F.struct("differ", "x")).alias("m")).select("y", F.col("m.x").alias("x")))
+    similar = materialise(verified(tried, tokens, percent).select(F.col("y").alias("cls")))
+    rest = earlier(near.join(similar, "cls", "left_anti"), near).select("y", "x").distinct().join(tried, ["y", "x"], "left_anti")
     more = verified(rest, tokens, percent).select(F.col("y").alias("cls")).distinct()
-    similar = materialise(found.union(more).withColumn("similar", F.lit(True)))
+    similar = materialise(similar.union(more).withColumn("similar", F.lit(True)))
 
-    verdict = materialise(firsts.join(similar, "cls", "left").where("similar OR times > 1").select("cls", "first", F.coalesce("similar", F.lit(False)).alias("similar")))
+    verdict = firsts.join(similar, "cls", "left").where("similar OR times > 1").select("cls", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
+    verdict = small_enough(materialise(verdict))
     gone = lines.select("d", "th", "line_no", "cls").join(verdict, "cls").where(F.col("similar") | (F.struct("d", "th", "line_no") != F.col("first")))
     return gone.groupBy("d", "th").agg(F.collect_set("line_no").alias("removed"))
 
@@ -134,6 +168,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     """
     base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).where("text IS NOT NULL")
     gone = materialise(removed_lines(base, percent=percent, min_tokens=min_tokens)).toDF("__d", "__th", "__removed")
+    numbers = gone.agg(F.sum(F.size("__removed") + 4)).first()[0] or 0  # a row is some four numbers and the list
+    gone = F.broadcast(gone) if numbers <= 4 * MOST_BROADCAST else gone
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     rows = docs.select(*names, F.xxhash64(text).alias("__key"))
     on = F.col(doc_id).cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__th"))
