@@ -178,3 +178,29 @@ def test_empty_tables(spark):
     pairs = spark.createDataFrame([], "truth_id string, query_id string, score double")
     assert benchmark.best_matching(pairs).count() == 0
     assert annotate.gene_set_matches(spark.createDataFrame([], "event_id string, genes array<string>"), spark.createDataFrame([("r", "exact_pair", ["A"])], "record_id string, pattern_type string, genes array<string>")).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    import csv
+    import glob
+
+    from genostrata.sources import sinks
+
+    df = spark.createDataFrame([("=1", [1, 2], 3), ("a", None, 4)], "t string, l array<int>, n int")
+    sinks.write_view(df.coalesce(1), str(tmp_path / "v"))
+    rows = list(csv.reader(open(glob.glob(str(tmp_path / "v/*.csv"))[0])))
+    assert rows[0] == ["t", "l", "n"] and rows[1] == ["'=1", "[1,2]", "3"]
+    sinks.write_documents(df, str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d")).count() == 2
+    assert len(sinks.manifest(spark, str(tmp_path / "d")).where("name LIKE '%.json'").first()["sha256"]) == 64
+    assert sinks.fingerprint(df).first() == sinks.fingerprint(df.repartition(3)).first()
+    assert "array" in sinks.schemas({"x": df})["x"]
+    sinks.write_annotation(spark.createDataFrame([("chr1", 5), ("chr2", 1)], "chrom string, start_pos long"), str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a")).where("chrom = 'chr2'").count() == 1
+
+
+def test_seal_tells_null_from_text(spark):
+    from genostrata.operators import planning
+
+    df = spark.createDataFrame([(1, None, "a"), (1, "null", "a"), (1, "", "a")], "n int, s string, t string")
+    assert df.select(planning.sealed(df, ["s", "n", "t"]).alias("x")).distinct().count() == 3
