@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genostrata.llm.common import materialise, read
+from genostrata.llm.common import Scratch, read
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -59,7 +59,8 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     columns are not read.
     """
     turns = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    kept = materialise(maximal(materialise(rolling_hashes(turns)))).toDF("id", "n", "copies")
+    with Scratch(conversations.sparkSession) as scratch:
+        kept = scratch.table(maximal(scratch.table(rolling_hashes(turns))), keep=True).toDF("id", "n", "copies")
     rows = turns.join(kept, turns["conv_id"].eqNullSafe(kept["id"]))
     said = F.array_distinct(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))))
     grouped = rows.groupBy("conv_id").agg(F.first("n").cast("long").alias("n_turns"), F.first("copies").alias("n_copies"), said.alias("said"))

@@ -35,18 +35,40 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, freezes row ids and gives
     the planner the true size of what follows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/genostrata-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/genostrata-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The written tables of one operator; at its end all go but those its result still reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, *, keep: bool = False) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/genostrata-{uuid.uuid4().hex}"
+        if not keep:
+            self.paths.append(path)
+        return materialise(df, path)
+
+    def __exit__(self, *exc) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows kept out of all learning (null ids count as an empty text)."""
     digest = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genostrata.llm.common import materialise, read
+from genostrata.llm.common import Scratch, read
 
 PERCENT = 80
 #: Lines of fewer distinct words are left alone: short phrases recur in any prose.
 MIN_TOKENS = 5
 #: Hash buckets of the rarity table; its size is the same for every corpus.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: Earliest classes of each posting list that are tried first, one for each hash class.
 HUBS = 4
 
@@ -115,27 +115,29 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "y").join(b, "x").where(both * 100 >= (F.size("wx") + F.size("wy") - both) * percent).select("y", "x")
 
 
-def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(d, th, removed): the line numbers to remove from each text that loses any.
 
-    docs(d long, text), without null texts.
+    docs(d long, text), without null texts. The result reads tables of ``scratch``.
     """
-    lines = materialise(line_classes(docs, percent)).where(F.col("n") >= min_tokens)
-    firsts = materialise(lines.groupBy("cls").agg(F.min(F.struct("d", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("times")))
-    near = materialise(near_posts(lines, percent))
-    known = materialise(firsts.join(near.select("cls").distinct(), "cls"))
+    lines = scratch.table(line_classes(docs, percent)).where(F.col("n") >= min_tokens)
+    firsts = scratch.table(lines.groupBy("cls").agg(F.min(F.struct("d", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("times")))
+    near = scratch.table(near_posts(lines, percent))
+    known = scratch.table(firsts.join(near.select("cls").distinct(), "cls"))
 
     # The words of the lines where a near class comes first, as 64-bit hashes, cut from the texts again.
     where = small_enough(known.select("cls", F.col("first.d").alias("d2"), F.col("first.th").alias("th2"), F.col("first.line_no").alias("line2")))
-    texts = docs.select("d", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    ids = scratch.table(where.select(F.col("d2").alias("d"), F.col("th2").alias("th")).distinct())
+    texts = docs.withColumn("th", F.xxhash64("text")).alias("t").join(small_enough(ids).alias("i"), F.expr("t.th = i.th AND t.d <=> i.d"), "left_semi")
+    texts = texts.select("d", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     on = (F.col("th") == F.col("th2")) & (F.col("line_no") == F.col("line2")) & F.col("d").eqNullSafe(F.col("d2"))
     found = texts.join(where, on).select("cls", "line").dropDuplicates(["cls"])
-    tokens = materialise(found.select("cls", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")))
+    tokens = scratch.table(found.select("cls", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")))
 
     # The few lines left have wider bitmaps, which tell near misses from matches.
     wide = [f"b{i}" for i in range(WIDE)]
     maps = tokens.select("cls", *[parity("words", i, WIDE).alias(b) for i, b in enumerate(wide)])
-    near = materialise(near.select("key", "cls", "n").join(known.select("cls", "first").join(maps, "cls"), "cls"))
+    near = scratch.table(near.select("key", "cls", "n").join(known.select("cls", "first").join(maps, "cls"), "cls"))
 
     def earlier(ys: DataFrame, xs: DataFrame) -> DataFrame:
         on = (F.col("y.key") == F.col("x.key")) & (F.col("x.first") < F.col("y.first"))
@@ -144,14 +146,14 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_tokens: int =
 
     # First the likeliest of the early classes, for each class one; then, for what is left, all.
     hubs = near.groupBy("key", F.pmod("cls", F.lit(HUBS)).alias("part")).agg(F.min(F.struct("first", "cls", "n", *wide)).alias("h")).select("key", "h.*")
-    tried = materialise(earlier(near, hubs).groupBy("y").agg(F.min(F.struct("differ", "x")).alias("m")).select("y", F.col("m.x").alias("x")))
-    similar = materialise(verified(tried, tokens, percent).select(F.col("y").alias("cls")))
+    tried = scratch.table(earlier(near, hubs).groupBy("y").agg(F.min(F.struct("differ", "x")).alias("m")).select("y", F.col("m.x").alias("x")))
+    similar = scratch.table(verified(tried, tokens, percent).select(F.col("y").alias("cls")))
     rest = earlier(near.join(similar, "cls", "left_anti"), near).select("y", "x").distinct().join(tried, ["y", "x"], "left_anti")
     more = verified(rest, tokens, percent).select(F.col("y").alias("cls")).distinct()
-    similar = materialise(similar.union(more).withColumn("similar", F.lit(True)))
+    similar = scratch.table(similar.union(more).withColumn("similar", F.lit(True)))
 
     verdict = firsts.join(similar, "cls", "left").where("similar OR times > 1").select("cls", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
-    verdict = small_enough(materialise(verdict))
+    verdict = small_enough(scratch.table(verdict))
     gone = lines.select("d", "th", "line_no", "cls").join(verdict, "cls").where(F.col("similar") | (F.struct("d", "th", "line_no") != F.col("first")))
     return gone.groupBy("d", "th").agg(F.collect_set("line_no").alias("removed"))
 
@@ -167,7 +169,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     are replaced, other columns pass through.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).where("text IS NOT NULL")
-    gone = materialise(removed_lines(base, percent=percent, min_tokens=min_tokens)).toDF("__d", "__th", "__removed")
+    with Scratch(docs.sparkSession) as scratch:
+        gone = scratch.table(removed_lines(base, scratch, percent=percent, min_tokens=min_tokens), keep=True).toDF("__d", "__th", "__removed")
     numbers = gone.agg(F.sum(F.size("__removed") + 4)).first()[0] or 0  # a row is some four numbers and the list
     gone = F.broadcast(gone) if numbers <= 4 * MOST_BROADCAST else gone
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]

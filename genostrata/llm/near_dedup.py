@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genostrata.llm.common import add_text_columns, ascii_words, materialise, mix64, read, window_hashes, word_hashes
+from genostrata.llm.common import Scratch, add_text_columns, ascii_words, mix64, read, window_hashes, word_hashes
 from genostrata.llm.components import connected_components
 
 #: Coordinates of a signature, and how many a candidate pair must agree on.
@@ -129,7 +129,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _blocked(rows: DataFrame, group: str, width: int) -> DataFrame:
+def _blocked(rows: DataFrame, group: str, width: int, scratch: Scratch) -> DataFrame:
     """``rows`` (group, label, ...) dealt into blocks: those outside the group's largest label ask all.
 
     Adds g, i, j, asks: within (g, i, j) and the group, each asking row meets each asked
@@ -138,7 +138,7 @@ def _blocked(rows: DataFrame, group: str, width: int) -> DataFrame:
     """
     counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("c"))
     sizes = counts.groupBy(group).agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    sizes = materialise(sizes.select(group, F.ceil(F.col("size") / width).cast("int").alias("blocks"), F.col("top.label").alias("top"), "size"))
+    sizes = scratch.table(sizes.select(group, F.ceil(F.col("size") / width).cast("int").alias("blocks"), F.col("top.label").alias("top"), "size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     rows = rows.join(sizes.drop("size"), group).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     packed = F.pmod(F.xxhash64(group), F.lit(max(1, total // (4 * width))))
@@ -166,14 +166,14 @@ def _joining(near, left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, i
     return found
 
 
-def loose_pairs(posts: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def loose_pairs(posts: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of different components that agree on enough coordinates.
 
     Only lists with several components take part, and of the pairs that agree in a list as
     many come back as join its components: what they join holds every pair that agrees.
     """
     labelled = posts.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    both = _blocked(labelled.select("key", "cls", "label", "n"), "key", BLOCK).join(reps.select("cls", "sig"), "cls")
+    both = _blocked(labelled.select("key", "cls", "label", "n"), "key", BLOCK, scratch).join(reps.select("cls", "sig"), "cls")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -189,15 +189,15 @@ def loose_pairs(posts: DataFrame, labels: DataFrame, reps: DataFrame, percent: i
     return both.groupBy("g", "blocks", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def remaining_links(labels: DataFrame, loose: DataFrame, edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def remaining_links(labels: DataFrame, loose: DataFrame, edges: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): links, confirmed on full sets, that join the components of ``labels``.
 
     Clusters are what links and loose pairs join; a missing link lies within a cluster.
     Every class outside the largest component of its cluster meets all of the cluster.
     """
-    clusters = connected_components(edges.union(loose)).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    clusters = connected_components(edges.union(loose), scratch).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
     rows = clusters.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    both = _blocked(rows, "cluster", SET_BLOCK).join(sets, "cls")
+    both = _blocked(rows, "cluster", SET_BLOCK, scratch).join(sets, "cls")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -234,12 +234,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     without words have no shingles and no links. Repeated rows are linked like any equal
     texts. Other columns of ``docs`` are not read.
     """
-    rows = materialise(sketch(docs, doc_id, text, width).withColumn("rid", F.monotonically_increasing_id()))
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(docs, doc_id, text, width, percent, scratch)
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    rows = scratch.table(sketch(docs, doc_id, text, width).withColumn("rid", F.monotonically_increasing_id()), keep=True)
     filled = rows.where("n_shingles > 0")
-    classes = materialise(filled.groupBy("hi", "lo").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("first_id")))
+    classes = scratch.table(filled.groupBy("hi", "lo").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("first_id")))
     reps = filled.join(classes.select(F.col("cls").alias("rid")), "rid").select(F.col("rid").alias("cls"), "doc_id", "hi", "lo", F.col("n_shingles").alias("n"), "sig")
-    reps = materialise(reps)
-    posts = materialise(posting_lists(reps))
+    reps = scratch.table(reps)
+    posts = scratch.table(posting_lists(reps))
 
     # The full sets of the classes that have a candidate at all, cut from the texts again.
     wanted = reps.join(posts.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("doc_id").alias("id"), "hi", "lo")
@@ -255,17 +260,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     known = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("cls", "hi", "lo", "text")
     sets = add_text_columns(known, "text", make, "hi2 bigint, lo2 bigint, shingles binary").where("hi = hi2 AND lo = lo2")
-    sets = materialise(sets.select("cls", "shingles").dropDuplicates(["cls"]))
+    sets = scratch.table(sets.select("cls", "shingles").dropDuplicates(["cls"]))
 
-    edges = materialise(confirmed(agreeing(hub_pairs(posts, percent), reps), sets, percent))
-    labels = connected_components(edges)
-    loose = materialise(loose_pairs(posts, labels, reps, percent))
-    more = materialise(remaining_links(labels, loose, edges, sets, percent))
-    labels = connected_components(edges.union(more))
+    edges = scratch.table(confirmed(agreeing(hub_pairs(posts, percent), reps), sets, percent))
+    labels = connected_components(edges, scratch)
+    loose = scratch.table(loose_pairs(posts, labels, reps, percent, scratch))
+    more = scratch.table(remaining_links(labels, loose, edges, sets, percent, scratch))
+    labels = connected_components(edges.union(more), scratch)
 
     named = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = materialise(named.join(least, "label").select("hi", "lo", "component_id"))
+    named = scratch.table(named.join(least, "label").select("hi", "lo", "component_id"), keep=True)
     out = rows.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
