@@ -6,8 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genostrata.operators.running import with_running
+
 MAX_DISTANCE, MIN_OVERLAP, MAX_LENGTH_RATIO = 500, 0.5, 0.35
 
+#: Pieces that begin within so many bases are clustered in one call.
+PACK = 1_000_000
+
 _CLUSTER = "event_id string, head string, distance long"
 
 
@@ -39,14 +44,17 @@ def cluster_calls(calls: DataFrame) -> DataFrame:
     A gap of more than MAX_DISTANCE between neighbouring starts separates clusters, so the
     calls are first cut at those gaps and each piece is clustered apart.
     """
-    order = Window.partitionBy("event_type", "chrom").orderBy("start_pos", "end_pos", "event_id")
-    cut = F.coalesce((F.col("start_pos") - F.lag("start_pos").over(order) > MAX_DISTANCE).cast("int"), F.lit(1))
-    pieces = calls.withColumn("cut", cut).withColumn("piece", F.sum("cut").over(order))
-    rows = pieces.select("event_type", "chrom", "piece", "event_id", "start_pos", "end_pos")
-    alone = Window.partitionBy("event_type", "chrom", "piece")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(alone))
+    by, order = ["event_type", "chrom"], ["start_pos", "end_pos", "event_id"]
+    rows = with_running(calls.select(*by, *order), by, "start_pos", order, "start_pos", "previous", "last")
+    # A piece is named by the start it begins with.
+    begins = F.when(F.col("previous").isNull() | (F.col("start_pos") - F.col("previous") > MAX_DISTANCE), F.col("start_pos"))
+    rows = with_running(rows.withColumn("begins", begins), by, "start_pos", order, "begins", "begun", "last")
+    rows = rows.withColumn("piece", F.coalesce("begins", "begun"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by, "piece")))
     single = rows.where("n = 1").select("event_id", F.col("event_id").alias("head"), F.lit(0).cast("long").alias("distance"))
-    grouped = rows.where("n > 1").groupBy("event_type", "chrom", "piece").applyInPandas(lambda p: _greedy(p), _CLUSTER)
+    # Many short pieces share a call: events of different pieces are too far apart to match.
+    packed = rows.where("n > 1").withColumn("pack", F.expr(f"piece div {PACK}"))
+    grouped = packed.groupBy("event_type", "chrom", "pack").applyInPandas(lambda p: _greedy(p), _CLUSTER)
     return single.unionByName(grouped)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genostrata.operators.rangejoin import point_join
+from genostrata.operators.running import with_running
 
 
 def summary(targets: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
@@ -18,9 +19,8 @@ def summary(targets: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
 
 def overlapping(targets: DataFrame) -> DataFrame:
     """Per chrom: regions that start before the furthest end of those before them."""
-    before = Window.partitionBy("chrom").orderBy("start_pos", "end_pos", "target_id").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("end_pos").over(before)
-    return targets.withColumn("hit", F.col("start_pos") < reach).groupBy("chrom").agg(F.count(F.lit(1)).alias("n_targets"), F.count_if("hit").alias("n_overlapping"))
+    rows = with_running(targets, ["chrom"], "start_pos", ["start_pos", "end_pos", "target_id"], "end_pos", "reach", "max")
+    return rows.withColumn("hit", F.col("start_pos") < F.col("reach")).groupBy("chrom").agg(F.count(F.lit(1)).alias("n_targets"), F.count_if("hit").alias("n_overlapping"))
 
 
 def thresholds_long(wide: DataFrame, key: str) -> DataFrame:
