@@ -3,28 +3,33 @@
 Each source's documents, in hash order, are cut into blocks. Block k of a source of weight
 w is released at slot floor(k / w) and due at slot ceil((k + 1) / w); at every slot the
 released block of earliest deadline runs. So after t slots of a phase each source has had
-within less than one block of its share w * t. Weights are whole units of a period, the
-schedule repeats with the period, and only one period is laid out on the driver: a block's
-slot follows from its index by arithmetic on the executors. When a source has run out, the
-others go on as a new phase with their weights scaled up. Every document gets one place.
+within less than one block of its share w * t. Weights are exact: floats are fractions, and
+releases and deadlines are whole numbers found from them without rounding. The driver lays
+out the slot of every block (8 bytes for each block, not for each document); the executors
+read it from a table by source and stretch of blocks. When a source has run out, the others
+go on as a new phase with their weights scaled up. Every document gets one place.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genostrata.llm.common import read
+from genostrata.llm.common import materialise, read
 
 BLOCK_DOCS = 64
 #: Without targets, weights follow the sources' sizes to this power.
 TEMPERATURE = 0.5
-#: Weights are rounded to multiples of 1 / UNITS (more with many sources, each has one at least).
-UNITS = 1000
-#: The driver holds one period of each phase, so the number of sources is bounded.
-MOST_SOURCES = 500
+#: Blocks of a source whose slots are one row of the plan, and rows up to which it is broadcast.
+STRETCH = 256
+MOST_BROADCAST = 5000
 #: Documents in one range of a source's hash order; ranges are ranked apart.
 RANGE_DOCS = 2000
 
@@ -63,6 +68,7 @@ def earliest_deadline_first(units: dict[str, int]) -> dict[str, list[int]]:
 def phases(units: dict[str, int], blocks: dict[str, int]) -> dict[str, list[tuple]]:
     """(first, next, units, offset, period, slots) of each phase a source takes part in.
 
+    The schedule of ``block_slots`` for units of a short period, which tests compare it with.
     Blocks first <= k < next of the source run at offset + slots of the phase's periods.
     """
     left = {k: n for k, n in blocks.items() if n > 0}
@@ -85,6 +91,46 @@ def phases(units: dict[str, int], blocks: dict[str, int]) -> dict[str, list[tupl
     return plan
 
 
+def exact_units(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    if any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("target weights must be positive")
+    parts = {k: Fraction(w) for k, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in parts.values()))
+    units = {k: int(x * scale) for k, x in parts.items()}
+    common = math.gcd(*units.values())
+    return {k: n // common for k, n in units.items()}
+
+
+def block_slots(units: dict[str, int], blocks: dict[str, int]) -> dict[str, array]:
+    """The slot of every block of every source: the schedule of ``phases``, laid out to its end.
+
+    ``units`` may be of any size, since no period is laid out.
+    """
+    slots = {k: array("q") for k in blocks}
+    left = {k: n for k, n in blocks.items() if n > 0}
+    t = 0
+    while left:
+        total, start = sum(units[k] for k in left), t
+        ready = [(-(-total // units[k]), k, 0) for k in left]  # deadline, source, block
+        heapq.heapify(ready)
+        waiting: list[tuple[int, str, int]] = []  # release, source, block
+        over = None
+        while over is None:
+            while waiting and waiting[0][0] <= t - start:
+                _, k, b = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(b + 1) * total // units[k]), k, b))
+            _, k, b = heapq.heappop(ready)
+            slots[k].append(t)
+            t += 1
+            if b + 1 < left[k]:
+                heapq.heappush(waiting, (max(t - start, (b + 1) * total // units[k]), k, b + 1))
+            else:
+                over = k
+        left = {k: blocks[k] - len(slots[k]) for k in left if k != over}
+    return slots
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, *, temperature: float = TEMPERATURE, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``docs`` with block, slot and in_block: the mixture in order of (slot, in_block).
 
@@ -99,9 +145,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
     names = [c for c in docs.columns if c.lower() not in ("block", "slot", "in_block")]
     src = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
     rows = docs.select(*names, src.alias("__src"), F.xxhash64(F.lit(17), F.col(doc_id)).alias("__h"))
-    sizes = {r["__src"]: r["n"] for r in rows.groupBy("__src").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r["__src"]: r["n"] for r in rows.groupBy("__src").agg(F.count(F.lit(1)).alias("n")).collect()}
     if weights is None:
         target = {k: n**temperature for k, n in sizes.items()}
     else:
@@ -109,22 +153,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
         if missing := sorted(sizes.keys() - given.keys()):
             raise ValueError(f"no target weight for {missing}")
         target = {k: given[k] for k in sizes}
-    plan = phases(whole_units(target, max(UNITS, 4 * len(sizes))), {k: -(-n // block_docs) for k, n in sizes.items()}) if sizes else {}
-    shape = "__src string, __bits int, __plan array<struct<first long, next long, units long, offset long, period long, slots array<int>>>"
-    table = spark.createDataFrame([(k, max(0, (sizes[k] // RANGE_DOCS).bit_length()), [tuple(p) for p in plan[k]]) for k in sizes], shape)
-    table = F.broadcast(table)  # at most MOST_SOURCES rows with one period a phase
-
-    ranged = rows.join(table.select("__src", "__bits"), "__src").withColumn("__range", F.expr("pmod(__h, shiftleft(1L, __bits))"))
+    plan = block_slots(exact_units(target), {k: -(-n // block_docs) for k, n in sizes.items()}) if sizes else {}
+    table = spark.createDataFrame([(k, max(0, (n // RANGE_DOCS).bit_length())) for k, n in sizes.items()], "__src string, __bits int")
+    table = F.broadcast(table) if len(sizes) <= MOST_BROADCAST else table
+    keys = [(k, at) for k in plan for at in range(0, len(plan[k]), STRETCH)]
+    slots = pa.array([np.frombuffer(plan[k], np.int64)[at : at + STRETCH] for k, at in keys], pa.list_(pa.int64()))
+    places = pa.table({"__src": pa.array([k for k, _ in keys], pa.string()), "__stretch": pa.array([at // STRETCH for _, at in keys], pa.int64()), "__slots": slots})
+    places = spark.createDataFrame(places, "__src string, __stretch long, __slots array<long>")
+    places = F.broadcast(places) if len(keys) <= MOST_BROADCAST else materialise(places)
+
+    ranged = rows.join(table, "__src").withColumn("__range", F.expr("pmod(__h, shiftleft(1L, __bits))"))
     counts = ranged.groupBy("__src", "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__src").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__src", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     in_range = Window.partitionBy("__src", "__range").orderBy("__h", F.col(doc_id))
     ranked = ranged.withColumn("__r", F.row_number().over(in_range) - 1).join(starts, ["__src", "__range"])
     ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__r")).withColumn("block", F.expr(f"__rank div {block_docs}"))
-    placed = ranked.join(table.select("__src", "__plan"), "__src")
-    placed = placed.withColumn("__p", F.get(F.filter("__plan", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["next"])), F.lit(0)))
-    placed = placed.withColumn("__j", F.col("block") - F.col("__p.first"))
-    slot = F.expr("__p.offset + __j div __p.units * __p.period + get(__p.slots, cast(__j % __p.units as int))")
+    placed = ranked.withColumn("__stretch", F.expr(f"block div {STRETCH}")).join(places, ["__src", "__stretch"])
+    slot = F.expr(f"get(__slots, cast(block % {STRETCH} as int))")
     return placed.select(*names, "block", slot.alias("slot"), (F.col("__rank") % block_docs).cast("int").alias("in_block"))
 
 
