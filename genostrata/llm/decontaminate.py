@@ -4,7 +4,9 @@ Words become template tokens: numbers, names and units turn into typed placehold
 other words into lower-cased literals. Windows of template tokens are hash-joined with
 those of the benchmark items. On each alignment (document position less item position) the
 words that fill the placeholders must map one to one from item to document, so a question
-with other numbers or names is caught, and chance agreement of templates is not.
+with other numbers or names is caught, and chance agreement of templates is not. Items that
+are dense with placeholders have longer windows, and items of too few literals are looked
+for word by word, as a whole and with their own values.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from genostrata.llm.common import mix64, read, window_hashes
 
 #: Template tokens in a window; items shorter than this are searched by one window of all
-#: their tokens, down to LEAST_LITERALS. A window needs so many literals.
+#: their tokens. A window needs so many literals; an item without such a window has windows
+#: of 2, 4, 8 ... times the tokens or of all its tokens, whichever first has enough.
 WINDOW = 8
 LEAST_LITERALS = 5
 #: Least share of an item's windows found in a document.
@@ -35,6 +38,8 @@ UNITS = frozenset("mm cm m km mg g kg lb lbs oz t ml l s sec secs second seconds
 _NUMBER = re.compile(r"[+\-(]*[$€£¥]?\d[\d.,:/]*(?:%|\w{0,3})\W*")
 _NAME = re.compile(r"\W*[^\W\d_a-z][^\W\d_A-Z]+(?:['’-][^\W\d_]+)*\W*")
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
+#: Characters of scripts without blanks, each a token: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af]")
 _BREAK, _GAP = "\x01", "\x02"
 
 #: Low bits of a token's hash: number, unit, name-like, ends a sentence, not a word, gap between texts.
@@ -69,6 +74,39 @@ class Tokens(dict):
         return out
 
 
+class Literals(dict):
+    """Word to hash of the word itself, less case and the marks around a phrase; bounded as Tokens."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        folded = word.casefold()
+        core = folded.lstrip("\"'([{“‘«").rstrip(".,;:!?\"')]}”’»。，！？；：") or folded
+        self[word] = out = xxhash.xxh3_64_intdigest(core.encode("utf-8", "surrogatepass"))
+        return out
+
+
+def _cut(text: str) -> str:
+    return text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)
+
+
+def literals(texts: list[str | None], cache: Literals):
+    """The same as ``templates`` gives, for words as they are: no placeholder, no name runs."""
+    words: list[str] = []
+    ends = []
+    for t in texts:
+        if t:
+            words += _cut(t).split()
+        words.append(_GAP)
+        ends.append(len(words))
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    gap = np.zeros(len(words), bool)
+    gap[np.asarray(ends, int) - 1] = True
+    h[gap] = mix64(np.arange(len(ends), dtype=np.uint64) + np.uint64(1))
+    start = np.arange(len(words))
+    return words, h, np.zeros(len(words), bool), gap, start, np.searchsorted(np.asarray(ends), start, side="right")
+
+
 def templates(texts: list[str | None], cache: Tokens):
     """words, h, slot, start, of: the template tokens of all texts with a gap after each.
 
@@ -79,7 +117,7 @@ def templates(texts: list[str | None], cache: Tokens):
     ends = []
     for t in texts:
         if t:
-            words += t.replace("\n", f" {_BREAK} ").split()
+            words += _cut(t).replace("\n", f" {_BREAK} ").split()
         words.append(_GAP)
         ends.append(len(words))
     raw = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
@@ -110,19 +148,61 @@ def _values(words: list[str], start: np.ndarray, at: int) -> str:
     return " ".join(_STRIP.sub("", w.casefold()) for w in words[start[at] : stop] if w not in (_BREAK, _GAP)).strip()
 
 
-def template_windows(rows: DataFrame, text: str, widths: list[int], wanted: np.ndarray | None = None) -> DataFrame:
+def item_windows(items: DataFrame) -> DataFrame:
+    """item_id, item_key, literal, width, hash, item_pos, item_slots, need: the windows to look for.
+
+    literal tells windows of words as they are, which an item of fewer than LEAST_LITERALS
+    literals has; need is the number of windows that must be found on one alignment.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, plain = Tokens(), Literals()
+        for batch in batches:
+            which, out = [], [[] for _ in range(6)]
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                words, h, slot, _, start, _ = templates([text], tokens)
+                n, literal = len(h) - 1, False
+                before = np.concatenate([[0], np.cumsum(slot)])
+                widths = [min(n, WINDOW), *(WINDOW << i for i in range(1, 32) if WINDOW << i < n), n]
+                for width in widths:
+                    places = np.flatnonzero(before[width:-1] - before[: n - width + 1] <= width - LEAST_LITERALS)
+                    if len(places):
+                        break
+                else:
+                    literal = True
+                    words, h, slot, _, start, _ = literals([text], plain)
+                    width = min(len(h) - 1, WINDOW)
+                    places = np.arange(len(h) - width) if width else np.empty(0, int)
+                hashes = window_hashes(h[:-1], width).view(np.int64) if width else h
+                for p in map(int, places):
+                    which.append(row)
+                    values = [_values(words, start, i) for i in range(p, p + width) if slot[i]]
+                    for c, v in zip(out, (literal, width, int(hashes[p]), p, values, len(places) if literal else 1), strict=True):
+                        c.append(v)
+            types = (pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
+            kept = batch.select(["item_id", "item_key"]).take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, out, types)], names=["item_id", "item_key", "literal", "width", "hash", "item_pos", "item_slots", "need"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.mapInArrow(run, f"item_id {kind}, item_key bigint, literal boolean, width int, hash bigint, item_pos int, item_slots array<string>, need int")
+
+
+def template_windows(rows: DataFrame, text: str, widths: list[int], wanted: np.ndarray | None = None, literal: bool = False) -> DataFrame:
     """``rows`` without ``text``, once for each window: width, hash, pos, size, slots.
 
     pos counts template tokens from the text's start, size is the number of them in the
     text, slots are the words behind the window's placeholders. ``wanted`` (sorted hashes)
     leaves other windows out. Windows of fewer than LEAST_LITERALS literals are left out.
+    With ``literal``, windows are of words as they are, and none is left out for that.
     """
     shared = rows.sparkSession.sparkContext.broadcast(wanted)
     added = "width int, hash bigint, pos int, size int, slots array<string>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, want = Tokens(), shared.value
+        cache, want = Literals() if literal else Tokens(), shared.value
+        cut = literals if literal else templates
+        least = 0 if literal else LEAST_LITERALS
         table = None
         if want is not None:
             table = np.zeros(1 << 20, bool)
@@ -137,7 +217,7 @@ def template_windows(rows: DataFrame, text: str, widths: list[int], wanted: np.n
                 while hi < len(texts) and (hi == lo or size < _CHUNK):
                     size += len(texts[hi] or "")
                     hi += 1
-                words, h, slot, gap, start, of = templates(texts[lo:hi], cache)
+                words, h, slot, gap, start, of = cut(texts[lo:hi], cache)
                 first = np.searchsorted(of, np.arange(hi - lo))
                 sizes = np.bincount(of, minlength=hi - lo) - 1  # less the gap
                 slots_before = np.concatenate([[0], np.cumsum(slot)])
@@ -146,7 +226,7 @@ def template_windows(rows: DataFrame, text: str, widths: list[int], wanted: np.n
                 for width in widths:
                     w = window_hashes(h, width)
                     n = len(w)
-                    ok = (gaps_before[width:] == gaps_before[:n]) & (slots_before[width:] - slots_before[:n] <= width - LEAST_LITERALS) if n else np.empty(0, bool)
+                    ok = (gaps_before[width:] == gaps_before[:n]) & (slots_before[width:] - slots_before[:n] <= width - least) if n else np.empty(0, bool)
                     if table is not None and n:
                         ok &= table[w >> np.uint64(44)]
                     found = np.flatnonzero(ok)
@@ -180,30 +260,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     doc_id, text_hash (tells apart rows of one doc_id), item_id, n_windows (of the item
     found), item_windows, coverage, reparameterised (some placeholder is filled otherwise
     than in the item). A pair is reported if windows on alignments with consistent slots
-    cover at least ``min_coverage`` of the item. Null or empty texts, and items with fewer
-    than LEAST_LITERALS literals, match nothing. Repeated rows give one row. Texts are read
+    cover at least ``min_coverage`` of the item. Items of fewer than LEAST_LITERALS literals
+    are reported where all their words stand in order with their own values, even if it is
+    one word. Null or empty texts match nothing. Repeated rows give one row. Texts are read
     whole; extra columns are not read.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
     item_key = items.withColumn("item_key", F.xxhash64("text"))
-    narrow = list(range(LEAST_LITERALS, WINDOW + 1))
-    windows = template_windows(item_key, "text", narrow).where(F.col("width") == F.least(F.col("size"), F.lit(WINDOW)))
-    windows = windows.select("item_id", "item_key", "width", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).persist()
+    windows = item_windows(item_key).persist()
+    wanted = []
     try:
-        widths = sorted(r[0] for r in windows.select("width").distinct().collect())
-        hashes = windows.select("hash").distinct().limit(MOST_BROADCAST + 1).toArrow()["hash"].to_numpy() if widths else np.empty(0, np.int64)
-        small = len(hashes) <= MOST_BROADCAST
-        wanted = np.sort(hashes.view(np.uint64)) if small else None
+        for literal in (False, True):
+            mine = windows.where(F.col("literal") == literal)
+            if widths := sorted(r[0] for r in mine.select("width").distinct().collect()):
+                hashes = mine.select("hash").distinct().limit(MOST_BROADCAST + 1).toArrow()["hash"].to_numpy()
+                wanted.append((literal, widths, np.sort(hashes.view(np.uint64)) if len(hashes) <= MOST_BROADCAST else None))
     finally:
         windows.unpersist()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    if not widths:
-        rows, widths, wanted = rows.limit(0), [WINDOW], None
-    found = template_windows(rows, "text", widths, wanted)
-    met = found.join(windows, ["width", "hash"])
+    if not wanted:
+        rows, wanted = rows.limit(0), [(False, [WINDOW], None)]
+    parts = [template_windows(rows, "text", widths, hashes, literal).withColumn("literal", F.lit(literal)) for literal, widths, hashes in wanted]
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    met = found.join(windows, ["literal", "width", "hash"])
     pair = F.transform(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda p: F.struct(p["b"].alias("b"), p["d"].alias("d")))
-    aligned = met.groupBy("doc_id", "text_hash", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_list(pair))).alias("pairs"))
-    aligned = aligned.where(_one_to_one(F.col("pairs"))).withColumn("other", F.exists("pairs", lambda p: p["b"] != p["d"]))
+    aligned = met.groupBy("doc_id", "text_hash", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_list(pair))).alias("pairs"), F.max("need").alias("need"))
+    aligned = aligned.where(_one_to_one(F.col("pairs")) & (F.size("places") >= F.col("need"))).withColumn("other", F.exists("pairs", lambda p: p["b"] != p["d"]))
     whole = windows.groupBy("item_id", "item_key").agg(F.count_distinct("item_pos").alias("item_windows"))
     per = aligned.groupBy("doc_id", "text_hash", "item_id", "item_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.bool_or("other").alias("reparameterised"))
     per = per.join(whole.withColumnsRenamed({"item_id": "i", "item_key": "k"}), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("k")))
