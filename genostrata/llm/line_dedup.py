@@ -22,7 +22,7 @@ PERCENT = 80
 #: Lines of fewer distinct words have no near matches: one word of four is no small change.
 MIN_TOKENS = 5
 #: Hash buckets of the rarity table; its size is the same for every corpus.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 16
 #: Earliest classes of each posting list that are tried first, one for each hash class.
 HUBS = 4
 
@@ -36,24 +36,53 @@ _SPACE = r"[ \t\r\f\x0B]+"
 _UNSPACED = r"[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}]"
 
 
-def _words(line: Column) -> Column:
+#: What keeps a line from being cut at single spaces: other white space, and scripts without
+#: blanks (a wider range of characters is sent the long way, which cuts them alike).
+_OTHER_SPACE = ("\t", "\r", "\f", "\x0b")
+_HIGH = (r"[\u0E00-\uFFFF]", r"[\x{10000}-\x{10FFFF}]")
+
+
+def _plain(text: Column) -> Column:
+    """True if words of ``text`` are just what single spaces (and line feeds) separate."""
+    odd = F.lit(False)
+    for c in _OTHER_SPACE:
+        odd |= F.contains(text, F.lit(c))
+    high = F.lit(False)
+    for c in _HIGH:
+        high |= text.rlike(c)
+    return ~(odd | ((F.octet_length(text) > F.length(text)) & high))
+
+
+def _words(line: Column, plain: Column) -> Column:
     """What blanks separate; in scripts without blanks each character with the next one."""
     pairs = F.regexp_replace(line, f"({_UNSPACED})(?=({_UNSPACED}))|({_UNSPACED})", " $1$2$3 ")
     cut = F.when(F.octet_length(line) > F.length(line), pairs).otherwise(line)
-    return F.array_remove(F.split(F.lower(cut), _SPACE), "")
+    words = F.when(plain, F.split(F.lower(line), " ")).otherwise(F.split(F.lower(cut), _SPACE))
+    return F.array_remove(words, "")
+
+
+def _lines(docs: DataFrame, *others: Column | str) -> DataFrame:
+    """``others`` with plain, line_no and line for each line of column text.
+
+    Lines are listed before they become rows, so what concerns the whole text is found once
+    for each text and not once for each line.
+    """
+    listed = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    rows = docs.select(*others, _plain(F.col("text")).alias("plain"), listed.alias("lines"))
+    return rows.select(*[c for c in rows.columns if c != "lines"], F.inline_outer("lines"))
 
 
 def rarity_table(texts: DataFrame, text: str) -> Column:
-    """An array: frequency class (log scale) of each hash bucket, as a scalar subquery.
+    """An array: frequency class (log scale) of each hash bucket, in the high bits, as a scalar subquery.
 
     The order it gives only has to be one order for all lines, so the words counted are
     simply what blanks separate.
     """
     words = texts.select(F.explode(F.split(text, " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
-    level = F.least(F.lit(127), F.floor(F.log2("c") * 3)).cast("tinyint")
+    level = F.coalesce(F.least(F.lit(127), F.floor(F.log2("c") * 3)).cast("long"), F.lit(0))
     every = texts.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
-    pairs = F.sort_array(F.collect_list(F.struct("bucket", F.coalesce(level, F.lit(0).cast("tinyint")).alias("level"))))
+    pairs = F.sort_array(F.collect_list(F.struct("bucket", F.shiftleft(level, 40).alias("level"))))
     return every.agg(F.transform(pairs, lambda p: p["level"]).alias("levels")).scalar()
 
 
@@ -63,15 +92,16 @@ def line_classes(docs: DataFrame, percent: int, min_tokens: int = MIN_TOKENS) ->
     docs(d long, text); th tells apart texts of one d. cls is a hash of the word set (of
     the word sequence in lines of fewer than ``min_tokens`` distinct words), bits bitmap of its words, prefix its rarest words in order of rarity.
     """
-    lines = docs.select("d", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = _lines(docs, "d", F.xxhash64("text").alias("th"))
     # The table joins the projection after lines have become rows: no row carries a copy of it.
     lines = lines.select("*", rarity_table(docs, "text").alias("levels"))
-    rarity = lambda h: F.coalesce(F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), F.lit(0))
-    ordered = F.transform(_words(F.col("line")), lambda w: F.shiftleft(rarity(F.xxhash64(w)), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24)))
-    sets = lines.select("d", "th", "line_no", "line", F.sort_array(F.array_distinct(ordered)).alias("s"))
+    level = lambda w: F.get("levels", F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    words = _words(F.col("line"), F.col("plain"))
+    ordered = F.transform(words, lambda w: level(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24)))
+    sets = lines.select("d", "th", "line_no", "line", "plain", F.sort_array(F.array_distinct(ordered)).alias("s"))
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.expr(f"cast(({percent}L * size(s) + 99) div 100 as int)") + 1)
-    cls = F.when(n >= min_tokens, F.xxhash64("s")).otherwise(F.xxhash64(F.lit("few"), _words(F.col("line"))))
+    cls = F.when(n >= min_tokens, F.xxhash64("s")).otherwise(F.xxhash64(F.lit("few"), words))
     return sets.select("d", "th", "line_no", cls.alias("cls"), n.alias("n"), parity("s").alias("bits"), prefix.alias("prefix"))
 
 
@@ -83,15 +113,20 @@ def small_enough(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def parity(words: str, part: int = 0, parts: int = 1) -> Column:
-    """A 64-bit parity bitmap of the array's hashes that fall in one of ``parts`` classes."""
+def parity(words: str) -> Column:
+    """A 64-bit parity bitmap of the array's hashes."""
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
-    if parts > 1:
-        every = bit
-        bit = lambda w: F.when(F.shiftright(w, 6).bitwiseAND(F.lit(parts - 1)) == part, every(w)).otherwise(F.lit(0).cast("long"))
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
 
 
+def wide_parities(tokens: DataFrame, names: list[str]) -> DataFrame:
+    """(cls, one column for each of ``names``): parity bitmaps of the hashes dealt among them."""
+    rows = tokens.select("cls", F.explode("words").alias("w"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(F.lit(63)).cast("int"))
+    part = F.shiftright("w", 6).bitwiseAND(F.lit(len(names) - 1))
+    return rows.groupBy("cls").agg(*[F.bit_xor(F.when(part == i, bit).otherwise(F.lit(0).cast("long"))).alias(name) for i, name in enumerate(names)])
+
+
 def _differ(x: str, y: str, bitmaps: list[str]) -> Column:
     """Words that two sets certainly do not share: differing parity bits."""
     counts = [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bitmaps]
@@ -137,15 +172,14 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = PERCENT,
     where = small_enough(known.select("cls", F.col("first.d").alias("d2"), F.col("first.th").alias("th2"), F.col("first.line_no").alias("line2")))
     ids = scratch.table(where.select(F.col("d2").alias("d"), F.col("th2").alias("th")).distinct())
     texts = docs.withColumn("th", F.xxhash64("text")).alias("t").join(small_enough(ids).alias("i"), F.expr("t.th = i.th AND t.d <=> i.d"), "left_semi")
-    texts = texts.select("d", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    texts = _lines(texts, "d", "th")
     on = (F.col("th") == F.col("th2")) & (F.col("line_no") == F.col("line2")) & F.col("d").eqNullSafe(F.col("d2"))
-    found = texts.join(where, on).select("cls", "line").dropDuplicates(["cls"])
-    tokens = scratch.table(found.select("cls", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")))
+    found = texts.join(where, on).select("cls", "line", "plain").dropDuplicates(["cls"])
+    tokens = scratch.table(found.select("cls", F.array_distinct(F.transform(_words(F.col("line"), F.col("plain")), lambda w: F.xxhash64(w))).alias("words")))
 
     # The few lines left have wider bitmaps, which tell near misses from matches.
     wide = [f"b{i}" for i in range(WIDE)]
-    maps = tokens.select("cls", *[parity("words", i, WIDE).alias(b) for i, b in enumerate(wide)])
-    near = scratch.table(near.select("key", "cls", "n").join(known.select("cls", "first").join(maps, "cls"), "cls"))
+    near = scratch.table(near.select("key", "cls", "n").join(known.select("cls", "first").join(wide_parities(tokens, wide), "cls"), "cls"))
 
     def earlier(ys: DataFrame, xs: DataFrame) -> DataFrame:
         on = (F.col("y.key") == F.col("x.key")) & (F.col("x.first") < F.col("y.first"))
