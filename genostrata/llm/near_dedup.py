@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genostrata.llm.common import Scratch, add_text_columns, ascii_words, mix64, read, window_hashes, word_hashes
@@ -39,6 +39,10 @@ PREFIX = K - MATCHES + 1
 BLOCK = 1024
 #: The same where full sets are compared.
 SET_BLOCK = 256
+#: Bytes in each side of a block; a single set beyond it is a block of its own.
+BLOCK_BYTES = 64 << 20
+#: Parts that the classes of one component are dealt to when they learn its least id.
+SALTS = 16
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,7 +67,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, hi, lo (a 128-bit digest of the set) and sig of every row."""
+    """doc_id, th (hash of the text), n_shingles, hi, lo (a 128-bit digest of the set) and sig of every row."""
 
     def make():
         def apply(texts):
@@ -79,7 +83,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
         return apply
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     return add_text_columns(rows, "text", make, "n_shingles bigint, hi bigint, lo bigint, sig array<bigint>")
 
 
@@ -129,19 +133,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _blocked(rows: DataFrame, group: str, width: int, scratch: Scratch) -> DataFrame:
+def _blocked(rows: DataFrame, group: str, width: int, bytes_each: Column, scratch: Scratch) -> DataFrame:
     """``rows`` (group, label, ...) dealt into blocks: those outside the group's largest label ask all.
 
     Adds g, i, j, asks: within (g, i, j) and the group, each asking row meets each asked
-    row; blocks hold about ``width`` rows a side. Groups of one block share a g by thousands
-    of rows, so that tasks do not start a call for every pair of rows.
+    row; blocks hold about ``width`` rows and BLOCK_BYTES a side. Groups of one block share
+    a g by thousands of rows, so that tasks do not start a call for every pair of rows.
     """
-    counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("c"))
-    sizes = counts.groupBy(group).agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    sizes = scratch.table(sizes.select(group, F.ceil(F.col("size") / width).cast("int").alias("blocks"), F.col("top.label").alias("top"), "size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    rows = rows.join(sizes.drop("size"), group).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    packed = F.pmod(F.xxhash64(group), F.lit(max(1, total // (4 * width))))
+    rows = rows.withColumn("bytes", bytes_each)
+    counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes"))
+    sizes = counts.groupBy(group).agg(F.sum("c").alias("size"), F.sum("bytes").alias("bytes"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / width), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = scratch.table(sizes.select(group, blocks.alias("blocks"), F.col("top.label").alias("top"), "size", F.col("bytes").alias("all")))
+    total, weight = sizes.agg(F.sum("size"), F.sum("all")).first()
+    packs = max(1, (total or 0) // (4 * width), (weight or 0) // BLOCK_BYTES)
+    rows = rows.drop("bytes").join(sizes.drop("size", "all"), group).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    packed = F.pmod(F.xxhash64(group), F.lit(packs))
     rows = rows.withColumn("g", F.when(F.col("blocks") == 1, packed).otherwise(F.col(group)))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asking = rows.where("label <> top").select("*", F.lit(True).alias("asks"), F.col("block").alias("i"), every.alias("j"))
@@ -173,7 +180,7 @@ def loose_pairs(posts: DataFrame, labels: DataFrame, reps: DataFrame, percent: i
     many come back as join its components: what they join holds every pair that agrees.
     """
     labelled = posts.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    both = _blocked(labelled.select("key", "cls", "label", "n"), "key", BLOCK, scratch).join(reps.select("cls", "sig"), "cls")
+    both = _blocked(labelled.select("key", "cls", "label", "n"), "key", BLOCK, F.lit(8 * K), scratch).join(reps.select("cls", "sig"), "cls")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -189,7 +196,7 @@ def loose_pairs(posts: DataFrame, labels: DataFrame, reps: DataFrame, percent: i
     return both.groupBy("g", "blocks", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def remaining_links(labels: DataFrame, loose: DataFrame, edges: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def remaining_links(labels: DataFrame, loose: DataFrame, edges: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): links, confirmed on full sets, that join the components of ``labels``.
 
     Clusters are what links and loose pairs join; a missing link lies within a cluster.
@@ -197,7 +204,7 @@ def remaining_links(labels: DataFrame, loose: DataFrame, edges: DataFrame, sets:
     """
     clusters = connected_components(edges.union(loose), scratch).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
     rows = clusters.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    both = _blocked(rows, "cluster", SET_BLOCK, scratch).join(sets, "cls")
+    both = _blocked(rows.join(reps.select("cls", "n"), "cls"), "cluster", SET_BLOCK, 8 * F.col("n"), scratch).drop("n").join(sets, "cls")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -234,14 +241,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     without words have no shingles and no links. Repeated rows are linked like any equal
     texts. Other columns of ``docs`` are not read.
     """
+    return _near_duplicates(docs, doc_id, text, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """The same with th and first: whether (doc_id, th) names the row that stands for its component.
+
+    That row is of least doc_id, then least th, with null ids last; rows of equal doc_id and
+    text share it. It is true for rows without shingles.
+    """
     with Scratch(docs.sparkSession) as scratch:
-        return _near_duplicates(docs, doc_id, text, width, percent, scratch)
+        return _components(docs, doc_id, text, width, percent, scratch)
 
 
-def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, scratch: Scratch) -> DataFrame:
+def _components(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, scratch: Scratch) -> DataFrame:
     rows = scratch.table(sketch(docs, doc_id, text, width).withColumn("rid", F.monotonically_increasing_id()), keep=True)
     filled = rows.where("n_shingles > 0")
-    classes = scratch.table(filled.groupBy("hi", "lo").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("first_id")))
+    # Of a component the row of least doc_id stands for all; where ids are null, the least hash does.
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    classes = scratch.table(filled.groupBy("hi", "lo").agg(F.min("rid").alias("cls"), F.min(order).alias("least")))
     reps = filled.join(classes.select(F.col("cls").alias("rid")), "rid").select(F.col("rid").alias("cls"), "doc_id", "hi", "lo", F.col("n_shingles").alias("n"), "sig")
     reps = scratch.table(reps)
     posts = scratch.table(posting_lists(reps))
@@ -265,15 +283,21 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, percen
     edges = scratch.table(confirmed(agreeing(hub_pairs(posts, percent), reps), sets, percent))
     labels = connected_components(edges, scratch)
     loose = scratch.table(loose_pairs(posts, labels, reps, percent, scratch))
-    more = scratch.table(remaining_links(labels, loose, edges, sets, percent, scratch))
+    more = scratch.table(remaining_links(labels, loose, edges, reps, sets, percent, scratch))
     labels = connected_components(edges.union(more), scratch)
 
-    named = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = scratch.table(named.join(least, "label").select("hi", "lo", "component_id"), keep=True)
-    out = rows.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    # Few classes have a link; those of one component are dealt to parts, however many they are.
+    member = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).alias("part")
+    linked = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls")
+    best = linked.groupBy("label").agg(F.min("least").alias("best")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    linked = linked.select("hi", "lo", "label", member).join(best, ["label", "part"]).select("hi", "lo", "best")
+    alone = classes.join(labels.select(F.col("node").alias("cls")), "cls", "left_anti").select("hi", "lo", F.col("least").alias("best"))
+    named = scratch.table(linked.unionByName(alone).select("hi", "lo", "best"), keep=True)
+    out = rows.select("doc_id", "th", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
+    filled = F.col("n_shingles") > 0
+    component = F.when(filled, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    first = ~filled | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
+    out = out.select("doc_id", "th", "n_shingles", component.alias("component_id"), first.alias("first"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -283,7 +307,22 @@ def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of least doc_id."""
-    found = near_duplicates(docs, width=5, percent=80)
-    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["__drop"], "left_anti")
+    """One row of each group of near duplicates stays: the one of least doc_id.
+
+    Rows go, not ids: an id with several texts keeps each text that nothing earlier is like,
+    and of repeated rows one stays. Among equal ids the least hash of the text decides, and
+    null ids come last. Null texts and texts without words are like nothing: all stay.
+    """
+    found = _near_duplicates(docs, "doc_id", "text", 5, 80)
+    key = F.struct("doc_id", "th")
+    drop = found.where(~F.col("first")).select(key.alias("gone")).distinct()
+    mine = F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("th"))
+    kept = docs.join(drop, mine.eqNullSafe(drop["gone"]), "left_anti")
+    # Rows that repeat an id and a text stay once; as a rule there are none, and no text is shuffled.
+    twice = found.where("first AND n_shingles > 0").groupBy("doc_id", "th").count().where("count > 1").select(key.alias("twice"))
+    if twice.isEmpty():
+        return kept
+    mine = F.struct(kept["doc_id"].alias("doc_id"), F.xxhash64(kept["text"]).alias("th"))
+    once = kept.join(twice, mine.eqNullSafe(twice["twice"]), "left_anti")
+    repeated = kept.join(twice, mine.eqNullSafe(twice["twice"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated)
