@@ -3,8 +3,10 @@
 Words become template tokens: numbers, names and units turn into typed placeholders, all
 other words into lower-cased literals. Windows of template tokens are hash-joined with
 those of the benchmark items. On each alignment (document position less item position) the
-words that fill the placeholders must map one to one from item to document, so a question
-with other numbers or names is caught, and chance agreement of templates is not. Items that
+words that fill the placeholders are held against each other: where they map one to one from
+item to document, a question with other numbers or names is caught by a share of its
+windows; where they do not, half of the windows must agree, so chance agreement of templates
+is not caught. Items that
 are dense with placeholders have longer windows, and items of too few literals are looked
 for word by word, as a whole and with their own values.
 """
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genostrata.llm.common import mix64, read, window_hashes
+from genostrata.llm.common import Scratch, mix64, read, window_hashes
 
 #: Template tokens in a window; items shorter than this are searched by one window of all
 #: their tokens. A window needs so many literals; an item without such a window has windows
@@ -29,6 +31,8 @@ WINDOW = 8
 LEAST_LITERALS = 5
 #: Least share of an item's windows found in a document.
 MIN_COVERAGE = 0.25
+#: The same for an alignment whose slots do not map one to one.
+CLASH_COVERAGE = 0.5
 #: Up to so many benchmark windows (8 bytes each) are broadcast as a filter; with more,
 #: every window of every document takes part in a shuffled hash join instead.
 MOST_BROADCAST = 2_000_000
@@ -149,16 +153,17 @@ def _values(words: list[str], start: np.ndarray, at: int) -> str:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, item_key, literal, width, hash, item_pos, item_slots, need: the windows to look for.
+    """item_id, item_key, literal, width, hash, item_pos, item_slots, need, total: the windows to look for.
 
     literal tells windows of words as they are, which an item of fewer than LEAST_LITERALS
-    literals has; need is the number of windows that must be found on one alignment.
+    literals has; need is the number of windows that must be found on one alignment, total
+    that of the item.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, plain = Tokens(), Literals()
         for batch in batches:
-            which, out = [], [[] for _ in range(6)]
+            which, out = [], [[] for _ in range(7)]
             for row, text in enumerate(batch.column("text").to_pylist()):
                 words, h, slot, _, start, _ = templates([text], tokens)
                 n, literal = len(h) - 1, False
@@ -177,14 +182,14 @@ def item_windows(items: DataFrame) -> DataFrame:
                 for p in map(int, places):
                     which.append(row)
                     values = [_values(words, start, i) for i in range(p, p + width) if slot[i]]
-                    for c, v in zip(out, (literal, width, int(hashes[p]), p, values, len(places) if literal else 1), strict=True):
+                    for c, v in zip(out, (literal, width, int(hashes[p]), p, values, len(places) if literal else 1, len(places)), strict=True):
                         c.append(v)
-            types = (pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
+            types = (pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
             kept = batch.select(["item_id", "item_key"]).take(pa.array(which, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, out, types)], names=["item_id", "item_key", "literal", "width", "hash", "item_pos", "item_slots", "need"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, out, types)], names=["item_id", "item_key", "literal", "width", "hash", "item_pos", "item_slots", "need", "total"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.mapInArrow(run, f"item_id {kind}, item_key bigint, literal boolean, width int, hash bigint, item_pos int, item_slots array<string>, need int")
+    return items.mapInArrow(run, f"item_id {kind}, item_key bigint, literal boolean, width int, hash bigint, item_pos int, item_slots array<string>, need int, total int")
 
 
 def template_windows(rows: DataFrame, text: str, widths: list[int], wanted: np.ndarray | None = None, literal: bool = False) -> DataFrame:
@@ -254,29 +259,35 @@ def _one_to_one(pairs) -> F.Column:
     return (F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == n) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"]))) == n)
 
 
+def _half_kept(pairs) -> F.Column:
+    """True if some value stays as it is in one place and goes, or comes, in another."""
+    stay = F.transform(F.filter(pairs, lambda p: p["b"] == p["d"]), lambda p: p["b"])
+    return F.exists(pairs, lambda p: (p["b"] != p["d"]) & (F.array_contains(stay, p["b"]) | F.array_contains(stay, p["d"])))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row for each document and benchmark item found in it.
 
     doc_id, text_hash (tells apart rows of one doc_id), item_id, n_windows (of the item
     found), item_windows, coverage, reparameterised (some placeholder is filled otherwise
-    than in the item). A pair is reported if windows on alignments with consistent slots
-    cover at least ``min_coverage`` of the item. Items of fewer than LEAST_LITERALS literals
+    than in the item). A pair is reported if windows on alignments with one-to-one slots
+    cover at least ``min_coverage`` of the item. On an alignment whose slots are not one to
+    one (two equal numbers of the item became different ones, or two different ones equal)
+    at least CLASH_COVERAGE of the item's windows must be found, or, if a value stays in one
+    place and is changed in another, must be found with the item's own values. Items of fewer than LEAST_LITERALS literals
     are reported where all their words stand in order with their own values, even if it is
     one word. Null or empty texts match nothing. Repeated rows give one row. Texts are read
     whole; extra columns are not read.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
-    item_key = items.withColumn("item_key", F.xxhash64("text"))
-    windows = item_windows(item_key).persist()
+    with Scratch(docs.sparkSession) as scratch:
+        windows = scratch.table(item_windows(items.withColumn("item_key", F.xxhash64("text"))), keep=True)
     wanted = []
-    try:
-        for literal in (False, True):
-            mine = windows.where(F.col("literal") == literal)
-            if widths := sorted(r[0] for r in mine.select("width").distinct().collect()):
-                hashes = mine.select("hash").distinct().limit(MOST_BROADCAST + 1).toArrow()["hash"].to_numpy()
-                wanted.append((literal, widths, np.sort(hashes.view(np.uint64)) if len(hashes) <= MOST_BROADCAST else None))
-    finally:
-        windows.unpersist()
+    for literal in (False, True):
+        mine = windows.where(F.col("literal") == literal)
+        if widths := sorted(r[0] for r in mine.select("width").distinct().collect()):
+            hashes = mine.select("hash").distinct().limit(MOST_BROADCAST + 1).toArrow()["hash"].to_numpy()
+            wanted.append((literal, widths, np.sort(hashes.view(np.uint64)) if len(hashes) <= MOST_BROADCAST else None))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     if not wanted:
         rows, wanted = rows.limit(0), [(False, [WINDOW], None)]
@@ -284,11 +295,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     met = found.join(windows, ["literal", "width", "hash"])
     pair = F.transform(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda p: F.struct(p["b"].alias("b"), p["d"].alias("d")))
-    aligned = met.groupBy("doc_id", "text_hash", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_list(pair))).alias("pairs"), F.max("need").alias("need"))
-    aligned = aligned.where(_one_to_one(F.col("pairs")) & (F.size("places") >= F.col("need"))).withColumn("other", F.exists("pairs", lambda p: p["b"] != p["d"]))
-    whole = windows.groupBy("item_id", "item_key").agg(F.count_distinct("item_pos").alias("item_windows"))
-    per = aligned.groupBy("doc_id", "text_hash", "item_id", "item_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.bool_or("other").alias("reparameterised"))
-    per = per.join(whole.withColumnsRenamed({"item_id": "i", "item_key": "k"}), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("k")))
+    same = F.when(F.col("item_slots") == F.col("slots"), F.col("item_pos"))
+    pairs = F.array_distinct(F.flatten(F.collect_list(pair)))
+    aligned = met.groupBy("doc_id", "text_hash", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.collect_set(same).alias("same"), pairs.alias("pairs"), F.max("need").alias("need"), F.max("total").alias("total"))
+    aligned = aligned.withColumn("clash", ~_one_to_one(F.col("pairs"))).withColumn("places", F.when(F.col("clash") & _half_kept(F.col("pairs")), F.col("same")).otherwise(F.col("places")))
+    enough = ~F.col("clash") | (F.size("places") >= CLASH_COVERAGE * F.col("total"))
+    aligned = aligned.where((F.size("places") >= F.col("need")) & enough).withColumn("other", F.size("same") < F.size("places"))
+    per = aligned.groupBy("doc_id", "text_hash", "item_id", "item_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.bool_or("other").alias("reparameterised"), F.max("total").cast("long").alias("item_windows"))
     per = per.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= min_coverage)
     return per.select("doc_id", "text_hash", "item_id", "n_windows", "item_windows", "coverage", "reparameterised")
 
@@ -300,6 +313,10 @@ def op1_template_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a benchmark item; contaminated ones go."""
-    bad = leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"]), "left_anti")
+    """The documents without a benchmark item; contaminated ones go.
+
+    Rows go by id and text, so another text of the same id stays. Null and empty texts stay.
+    """
+    bad = leaks(docs, read(spark, sf_dir, "benchmark")).select(F.struct("doc_id", "text_hash").alias("bad")).distinct()
+    mine = F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"))
+    return docs.join(bad, mine.eqNullSafe(bad["bad"]), "left_anti")
