@@ -10,21 +10,25 @@ from falling with its length.
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genostrata.llm.common import add_text_columns, held_out, read
+from genostrata.llm.common import add_text_columns, fresh, held_out, read
 
 #: Texts sampled for each language (the least hash of each of so many hash ranges), the
-#: longest text that is sampled, and the size of the dictionary cut from them. These bound
-#: what the driver holds: languages x TEXTS_PER_LANGUAGE x LONGEST_SAMPLED characters.
+#: longest text that is sampled, and the size of the dictionary cut from them. With very many
+#: languages each has an equal part of ALL_DICTIONARIES bytes, which bounds what the driver
+#: sends and a task holds.
 TEXTS_PER_LANGUAGE = 256
 LONGEST_SAMPLED = 20_000
 DICTIONARY_BYTES = 1 << 17
-MOST_LANGUAGES = 200
+ALL_DICTIONARIES = 1 << 26
+#: So many times the dictionary's bytes are read for it, as texts shrink to their letters.
+READ_AHEAD = 4
 LEVEL = 6
 #: Bytes of normalised text compressed apart; a short last chunk goes with the one before.
 CHUNK_BYTES = 1 << 15
@@ -34,7 +38,9 @@ MIN_MARGIN = 0.003
 SHARPNESS = 0.5
 UNDETERMINED = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numerals and marks that count as word characters but are no letters, such as fractions.
+_OTHER_NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_OTHER_NUMERALS}]+")
 
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
@@ -68,19 +74,17 @@ def fit_dictionaries(docs: DataFrame, text: str, lang: str, train: Column | None
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.where((F.length("text") <= longest_sampled) & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     chosen = rows.groupBy("lang", F.pmod("h", F.lit(texts_per_language)).alias("range")).agg(F.min("h").alias("h"))
-    keys = chosen.select("lang", "h").limit(MOST_LANGUAGES * texts_per_language + 1).collect()
-    if len({k["lang"] for k in keys}) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not keys:
-        return {}
-    # The list of hashes is bounded by the two parameters, so it may be broadcast.
-    small = F.broadcast(docs.sparkSession.createDataFrame([tuple(k) for k in keys], "lang string, h long"))
-    texts = rows.join(small, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    # At most ``texts_per_language`` rows of a language are left, of which few reach the driver.
+    texts = rows.join(chosen.select("lang", "h"), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
+    texts = texts.where(F.col("before") < READ_AHEAD * dictionary_bytes)
     by_lang: dict[str, bytes] = {}
-    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
+    for r in texts.select("lang", "h", "text").orderBy("lang", "h").toLocalIterator():
         if len(had := by_lang.get(r["lang"], b"")) < dictionary_bytes:
             by_lang[r["lang"]] = (had + normalise(r["text"]))[:dictionary_bytes]
-    return {k: v for k, v in by_lang.items() if len(v) >= 8}
+    most = min(dictionary_bytes, ALL_DICTIONARIES // max(1, len(by_lang)))
+    return {k: v[:most] for k, v in by_lang.items() if len(v[:most]) >= 8}
 
 
 class Classifier:
@@ -118,13 +122,14 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     ``docs`` are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    (whole,) = fresh(keep, "text")
+    rows = docs.select(*keep, F.col(text).alias(whole))
 
     def make():
         model = Classifier(shared.value)
         return lambda texts: list(zip(*(model.predict(t, min_margin) for t in texts), strict=True)) or [[]] * 4
 
-    return add_text_columns(rows, "__text", make, RESULT)
+    return add_text_columns(rows, whole, make, RESULT)
 
 
 def op9_compression_langid(spark, sf_dir: str) -> DataFrame:
@@ -136,7 +141,14 @@ def op9_compression_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is recognised; rejected ones go."""
+    """The documents whose language is recognised; rejected ones go.
+
+    Every row is judged by its own text, so repeated rows and ids stay or go alike; null
+    texts and texts without a letter go, null ids do not matter. Columns of any name pass
+    through.
+    """
     model = fit_dictionaries(docs, "text", "lang", ~held_out(F.col("doc_id")))
-    names = docs.columns
-    return identify(docs, model, keep=tuple(names)).where(~F.col("rejected")).select(*names)
+    # The row travels as one column, so its names cannot clash with those of the result.
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    kept = identify(docs.select(row, "text"), model, keep=("row",)).where(~F.col("rejected"))
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
