@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genostrata.llm.common import materialise, read
+from genostrata.llm.common import Scratch, read
 
 SCOPE = 256
 _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
@@ -23,8 +23,9 @@ KINDS = {
     # A run that is long enough is one match of the open-ended pattern too, and shorter ones are dropped.
     "access": (r"AKIA[A-Z0-9]{12,}", 16, 0, "identifier"),
     "hex": (r"[0-9a-f]{32,}", 32, 0, "none"),
-    "user": (rf"(?i)(user_?name|user_?id|login|account|client_?id|access_?key(?:_?id)?){_VALUE}([A-Za-z0-9+/_.@-]+)", 3, 2, "identifier"),
-    "weak": (rf"(?i)(pwd|passphrase|passcode|private_?key|credential|auth_?key){_VALUE}([A-Za-z0-9+/_.=-]+)", 6, 2, "secret"),
+    # The secret half of an access key is consumed without a counted group, so that it is no identifier.
+    "user": (rf"(?i)(?:secret_?access_?key{_VALUE}[A-Za-z0-9+/_.=-]+|(?:user_?name|user_?id|login|account(?:_?name)?|client_?id|access_?key(?:_?id)?){_VALUE}([A-Za-z0-9+/_.@-]+))", 3, 1, "identifier"),
+    "weak": (rf"(?i)(pwd|passphrase|passcode|private_?key|credential|auth_?key|secret_?access_?key|secret_?key|account_?key){_VALUE}([A-Za-z0-9+/_.=-]+)", 6, 2, "secret"),
     "endpoint": (r"(?i)[a-z][a-z0-9+.-]*://[^\x00-\x20\"'<>]+", 8, 0, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
@@ -82,13 +83,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), *(_measures(F.col("t"), k).alias(k) for k in KINDS))
-    measured = materialise(rows)
-    candidates = materialise(parts(measured))
-    spans = candidates.where("strong").select("rid", "kind", "place", "start", "end", F.lit(True).alias("strong"))
-    spans = spans.unionByName(linked(candidates).withColumn("strong", F.lit(False)))
-    listed = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "place", "end", "kind", "strong"))).alias("found"))
-    found = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strong"].alias("strong")))
-    return measured.select("rid", "doc_id").join(listed, "rid", "left").select("doc_id", F.coalesce(found, F.array()).alias("found"))
+    with Scratch(docs.sparkSession) as scratch:
+        measured = scratch.table(rows)
+        candidates = scratch.table(parts(measured))
+        spans = candidates.where("strong").select("rid", "kind", "place", "start", "end", F.lit(True).alias("strong"))
+        spans = spans.unionByName(linked(candidates).withColumn("strong", F.lit(False)))
+        listed = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "place", "end", "kind", "strong"))).alias("found"))
+        found = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strong"].alias("strong")))
+        out = measured.select("rid", "doc_id").join(listed, "rid", "left").select("doc_id", F.coalesce(found, F.array()).alias("found"))
+        return scratch.table(out, keep=True)
 
 
 def op4_credential_linking(spark, sf_dir: str) -> DataFrame:
