@@ -1,7 +1,6 @@
 """A quality classifier with supervised subword embeddings.
 
-Words, their character n-grams and the word pair "same word twice" are hashed to rows of an
-embedding table; a document is the mean of its rows (with SMOOTHING empty rows added, so
+Words and their character n-grams are hashed to rows of an embedding table; a document is the mean of its rows (with SMOOTHING empty rows added, so
 that a few words say little), and a softmax layer over it gives the label. Table and layer are
 learned together by stochastic gradient descent in numpy on a bounded sample of labelled
 rows. As the layer is linear, scoring needs only one number for each table row, so whole
@@ -10,15 +9,12 @@ texts are scored from one number for each distinct word.
 
 from __future__ import annotations
 
-from itertools import islice
-from operator import eq
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genostrata.llm.common import add_text_columns, held_out, read
+from genostrata.llm.common import add_text_columns, fresh, held_out, read
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -37,14 +33,6 @@ def _row(gram: str) -> int:
     return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
-TWICE = _row("= =")
-
-
-def repeats(words: list[str]) -> int:
-    """Words equal to the word before them."""
-    return sum(map(eq, words, islice(words, 1, None)))
-
-
 def features(word: str) -> list[int]:
     """Table rows of a word: its own and those of the n-grams of ``<word>``."""
     marked = f"<{word}>"
@@ -55,7 +43,7 @@ def features(word: str) -> list[int]:
 def bag(text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct table rows of a text and their shares of all its rows."""
     words = text.split()
-    rows = [TWICE] * repeats(words)
+    rows: list[int] = []
     for w in words:
         if w not in known:
             known[w] = features(w)
@@ -108,17 +96,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     """Learn from at most ``most`` labelled rows for which ``learn`` holds.
 
     Rows are the least by hash of the id. Labels other than 0 and 1, null ids and texts of
-    null or beyond ``longest`` characters are not learned from; an id labelled or present
-    more than once counts for each pair.
+    null or beyond ``longest`` characters are not learned from; an id with several texts or
+    labels counts for each of them, repeats of the same count once.
     """
-    given = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
-    given = given.join(docs.where(learn & (F.length(text) <= longest)).select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi")
-    chosen = [tuple(r) for r in given.orderBy(F.xxhash64("id"), "id", "label").limit(most).collect()]
+    given = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).distinct()
+    texts = docs.where(learn & (F.length(text) <= longest)).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    # The join is on narrow rows first: only the chosen pairs of id and text bring their text.
+    pairs = texts.select("id", F.xxhash64("text").alias("h")).join(given, "id").distinct()
+    chosen = pairs.orderBy(F.xxhash64("id"), "id", "h", "label").limit(most).collect()
     if not chosen:
         return train([], [])
     kind = docs.schema[doc_id].dataType.simpleString()
-    small = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"id {kind}, label int"))  # at most ``most`` rows
-    rows = docs.where(learn & (F.length(text) <= longest)).select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(small, "id")
+    small = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in chosen], f"id {kind}, h long, label int"))  # at most ``most`` rows
+    rows = texts.withColumn("h", F.xxhash64("text")).join(small, ["id", "h"]).dropDuplicates(["id", "h", "label"])
     found = sorted(rows.collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["id"])), r["text"], r["label"]))
     return train([r["text"] for r in found], [r["label"] for r in found])
 
@@ -146,9 +136,7 @@ class Scorer:
         for i, words in enumerate(split):
             if words:
                 at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-                twice = repeats(words)
-                total = self.sums[at].sum() + twice * float(self.model.weights[TWICE])
-                out[i] += total / (self.sizes[at].sum() + twice + SMOOTHING)
+                out[i] += self.sums[at].sum() / (self.sizes[at].sum() + SMOOTHING)
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
@@ -159,7 +147,8 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", keep: tuple
     at a time. Repeated rows are each answered; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    (whole,) = fresh(keep, "text")
+    rows = docs.select(*keep, F.col(text).alias(whole))
 
     def make():
         scorer = Scorer(Model(*shared.value))
@@ -171,7 +160,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", keep: tuple
 
         return apply
 
-    return add_text_columns(rows, "__text", make, "score double, predicted int")
+    return add_text_columns(rows, whole, make, "score double, predicted int")
 
 
 def op6_subword_quality(spark, sf_dir: str) -> DataFrame:
