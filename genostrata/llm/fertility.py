@@ -9,6 +9,7 @@ short and repetitive texts come before.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,6 +62,7 @@ _CHUNK = 64
 
 
 def vocabulary_path() -> str:
+    """The default vocabulary's file, as the machine's package of public tokenizers names it."""
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -136,10 +138,12 @@ def fertility_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A null text counts as empty: no words, so base_failed. Texts of any length are read and
     tokenised whole, in pieces of a batch at a time. A null or unlisted language is judged
-    by script. ``path`` is the vocabulary's file, the same on every executor. Repeated rows
-    are each answered; other columns are not read.
+    by script. ``path`` is the vocabulary's file, the same on every executor; a missing one
+    is an error before anything runs. Repeated rows are each answered; other columns are not read.
     """
     path = path or vocabulary_path()
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path}; it must stand there on every machine")
     joined = F.concat(F.coalesce(F.col(lang), F.lit("")) if lang else F.lit(""), F.lit("\x00"), F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), joined.alias("t"))
 
@@ -156,4 +160,5 @@ def fertility_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op5_token_fertility(spark, sf_dir: str) -> DataFrame:
+    """Counts, verdicts and fertility measures of every document."""
     return fertility_rules(read(spark, sf_dir, "documents"))
