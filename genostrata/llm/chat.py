@@ -68,6 +68,7 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
 
 
 def op3_chat_snapshots(spark, sf_dir: str) -> DataFrame:
+    """The maximal conversations, rendered."""
     return format_chats(read(spark, sf_dir, "conversations"))
 
 

@@ -26,15 +26,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Only a session on one machine (a local test) gets a temporary folder where the setting is
+    missing; on a cluster executors would write to their own disks, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="genostrata-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def fresh(taken: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores after it as it takes to differ from ``taken``."""
+    had, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in had:
+            name += "_"
+        had.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

@@ -16,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genostrata.llm.common import Scratch, read
+from genostrata.llm.common import Scratch, fresh, read
 
 PERCENT = 80
 #: Lines of fewer distinct words have no near matches: one word of four is no small change.
 MIN_TOKENS = 5
 #: Hash buckets of the rarity table; its size is the same for every corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 #: Earliest classes of each posting list that are tried first, one for each hash class.
 HUBS = 4
 
@@ -214,19 +214,21 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     """
     base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).where("text IS NOT NULL")
     with Scratch(docs.sparkSession) as scratch:
-        gone = scratch.table(removed_lines(base, scratch, percent=percent, min_tokens=min_tokens, short_repeats=short_repeats), keep=True).toDF("__d", "__th", "__removed")
-    numbers = gone.agg(F.sum(F.size("__removed") + 4)).first()[0] or 0  # a row is some four numbers and the list
-    gone = F.broadcast(gone) if numbers <= 4 * MOST_BROADCAST else gone
+        gone = scratch.table(removed_lines(base, scratch, percent=percent, min_tokens=min_tokens, short_repeats=short_repeats), keep=True)
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    rows = docs.select(*names, F.xxhash64(text).alias("__key"))
-    on = F.col(doc_id).cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__th"))
-    rows = rows.join(gone, on, "left").withColumn("__lines", F.split(text, "\n"))
-    rows = rows.withColumn("__n", F.when(F.col(text).isNotNull(), F.size("__lines")).otherwise(0))
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.greatest(F.col("__n"), F.lit(1)) - 1), "__removed"))
-    short = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
-    new = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(short)
+    key, lines, n, d, th, removed = fresh(names, "key", "lines", "n", "d", "th", "removed")
+    gone = gone.toDF(d, th, removed)
+    numbers = gone.agg(F.sum(F.size(removed) + 4)).first()[0] or 0  # a row is some four numbers and the list
+    gone = F.broadcast(gone) if numbers <= 4 * MOST_BROADCAST else gone
+    rows = docs.select(*names, F.xxhash64(text).alias(key))
+    on = F.col(doc_id).cast("long").eqNullSafe(F.col(d)) & (F.col(key) == F.col(th))
+    rows = rows.join(gone, on, "left").withColumn(lines, F.split(text, "\n"))
+    rows = rows.withColumn(n, F.when(F.col(text).isNotNull(), F.size(lines)).otherwise(0))
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), removed))
+    short = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    new = F.when(F.col(removed).isNull(), F.col(text)).otherwise(short)
     kept = [new.alias(c) if c == text else F.col(c) for c in names]
-    return rows.select(*kept, F.col("__n").cast("long").alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"))
+    return rows.select(*kept, F.col(n).cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -236,6 +238,9 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later matching lines; a document that loses every word goes."""
-    names = docs.columns
-    rows = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\r\n\f\x0B]"))
-    return rows.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*names)
+    # Columns by the names of the result are set aside and come back after it.
+    kept = [F.col(c).alias(f"kept_{i}") if c.lower() in ("n_lines", "n_removed") else F.col(c) for i, c in enumerate(docs.columns)]
+    rows = dedup_lines(docs.select(*kept)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\r\n\f\x0B]"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return rows.select(*[F.col(f"kept_{i}").alias(c) if c.lower() in ("n_lines", "n_removed") else F.col(c) for i, c in enumerate(docs.columns)])

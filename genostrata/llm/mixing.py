@@ -144,8 +144,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("block", "slot", "in_block")]
     src = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
-    rows = docs.select(*names, src.alias("__src"), F.xxhash64(F.lit(17), F.col(doc_id)).alias("__h"))
-    sizes = {r["__src"]: r["n"] for r in rows.groupBy("__src").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The row travels as one column, so its names cannot clash with those used here.
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    rows = docs.select(row.alias("row"), src.alias("src"), F.col(doc_id).alias("id"), F.xxhash64(F.lit(17), F.col(doc_id)).alias("h"))
+    sizes = {r["src"]: r["n"] for r in rows.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()}
     if weights is None:
         target = {k: n**temperature for k, n in sizes.items()}
     else:
@@ -154,24 +156,25 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
             raise ValueError(f"no target weight for {missing}")
         target = {k: given[k] for k in sizes}
     plan = block_slots(exact_units(target), {k: -(-n // block_docs) for k, n in sizes.items()}) if sizes else {}
-    table = spark.createDataFrame([(k, max(0, (n // RANGE_DOCS).bit_length())) for k, n in sizes.items()], "__src string, __bits int")
+    table = spark.createDataFrame([(k, max(0, (n // RANGE_DOCS).bit_length())) for k, n in sizes.items()], "src string, bits int")
     table = F.broadcast(table) if len(sizes) <= MOST_BROADCAST else table
     keys = [(k, at) for k in plan for at in range(0, len(plan[k]), STRETCH)]
     slots = pa.array([np.frombuffer(plan[k], np.int64)[at : at + STRETCH] for k, at in keys], pa.list_(pa.int64()))
-    places = pa.table({"__src": pa.array([k for k, _ in keys], pa.string()), "__stretch": pa.array([at // STRETCH for _, at in keys], pa.int64()), "__slots": slots})
-    places = spark.createDataFrame(places, "__src string, __stretch long, __slots array<long>")
+    places = pa.table({"src": pa.array([k for k, _ in keys], pa.string()), "stretch": pa.array([at // STRETCH for _, at in keys], pa.int64()), "slots": slots})
+    places = spark.createDataFrame(places, "src string, stretch long, slots array<long>")
     places = F.broadcast(places) if len(keys) <= MOST_BROADCAST else materialise(places)
 
-    ranged = rows.join(table, "__src").withColumn("__range", F.expr("pmod(__h, shiftleft(1L, __bits))"))
-    counts = ranged.groupBy("__src", "__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__src").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__src", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    in_range = Window.partitionBy("__src", "__range").orderBy("__h", F.col(doc_id))
-    ranked = ranged.withColumn("__r", F.row_number().over(in_range) - 1).join(starts, ["__src", "__range"])
-    ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__r")).withColumn("block", F.expr(f"__rank div {block_docs}"))
-    placed = ranked.withColumn("__stretch", F.expr(f"block div {STRETCH}")).join(places, ["__src", "__stretch"])
-    slot = F.expr(f"get(__slots, cast(block % {STRETCH} as int))")
-    return placed.select(*names, "block", slot.alias("slot"), (F.col("__rank") % block_docs).cast("int").alias("in_block"))
+    ranged = rows.join(table, "src").withColumn("range", F.expr("pmod(h, shiftleft(1L, bits))"))
+    counts = ranged.groupBy("src", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("src", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    in_range = Window.partitionBy("src", "range").orderBy("h", "id")
+    ranked = ranged.withColumn("r", F.row_number().over(in_range) - 1).join(starts, ["src", "range"])
+    ranked = ranked.withColumn("rank", F.col("start") + F.col("r")).withColumn("block", F.expr(f"rank div {block_docs}"))
+    placed = ranked.withColumn("stretch", F.expr(f"block div {STRETCH}")).join(places, ["src", "stretch"])
+    slot = F.expr(f"get(slots, cast(block % {STRETCH} as int))")
+    own = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)]
+    return placed.select(*own, "block", slot.alias("slot"), (F.col("rank") % block_docs).cast("int").alias("in_block"))
 
 
 def op2_pfair_mixing(spark, sf_dir: str) -> DataFrame:
