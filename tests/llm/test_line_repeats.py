@@ -1,6 +1,6 @@
 """Exact repeats of short lines, of lines of few words, and lines of scripts without blanks."""
 
-from conftest_path import SF
+from fixture_paths import SF
 
 from genostrata.llm import line_dedup, queries
 

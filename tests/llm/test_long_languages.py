@@ -2,7 +2,7 @@
 
 import itertools
 
-from conftest_path import SF
+from fixture_paths import SF
 from pyspark.sql import functions as F
 
 from genostrata.llm import lang_id

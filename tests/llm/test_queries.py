@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 from brute import base_spans, components, held_out, lines_removed, word_rules
-from conftest_path import SF, TINY
+from fixture_paths import SF, TINY
 from oracle import same
 
 import __spark_entry__ as entry
