@@ -7,8 +7,6 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ.setdefault("TZ", "UTC")
-SF = "/root/testdata/sf0.01"
-TINY = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
