@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genostrata.operators.rangejoin import point_join
+from genostrata.operators.rangejoin import overlap_join
 from genostrata.operators.running import with_running
 
 
@@ -30,18 +30,40 @@ def thresholds_long(wide: DataFrame, key: str) -> DataFrame:
     return long.select(key, F.regexp_replace("name", "X$", "").cast("int").alias("threshold"), "bases")
 
 
-def observability(events: DataFrame, targets: DataFrame, min_depth: float) -> DataFrame:
-    """Whether the breakpoints of each event lie in regions of enough depth.
+def breakpoints(events: DataFrame) -> DataFrame:
+    """(event_id, k, l_chrom, l_start, l_end): the loci whose coverage bears an event.
 
-    Deletions, duplications and inversions have two points (start, end - 1), insertions one;
-    a point in several regions takes the deepest.
+    Deletions, duplications and inversions have two points (start, end - 1), insertions
+    one, paired events (chrom2, start2, end2 where ``events`` has them) both loci whole, and
+    anything else its locus.
     """
-    points = F.when(F.col("event_type") == "insertion", F.array("start_pos")).otherwise(F.array_distinct(F.array(F.col("start_pos"), F.col("end_pos") - 1)))
-    sites = events.select("event_id", F.col("chrom").alias("l_chrom"), F.explode(points).alias("l_pos")).distinct()
+    locus = lambda c, s, e: F.struct(F.col(c).alias("l_chrom"), s.cast("long").alias("l_start"), e.cast("long").alias("l_end"))
+    point = lambda p: locus("chrom", p, p + 1)
+    start, end = F.col("start_pos"), F.col("end_pos")
+    loci = F.when(F.col("event_type").isin("deletion", "duplication", "inversion"), F.array(point(start), point(end - 1))).when(F.col("event_type") == "insertion", F.array(point(start))).otherwise(F.array(locus("chrom", start, end)))
+    if "chrom2" in events.columns:
+        loci = F.when(F.col("chrom2").isNotNull(), F.array(locus("chrom", start, end), locus("chrom2", F.col("start2"), F.col("end2")))).otherwise(loci)
+    return events.select("event_id", F.posexplode(loci).alias("k", "l")).select("event_id", "k", "l.*").distinct()
+
+
+def observability(events: DataFrame, targets: DataFrame, min_depth: float, *, assessed: bool = True, buffered: bool = False) -> DataFrame:
+    """(event_id, n_points, observability): whether an event's breakpoints lie in regions of enough depth.
+
+    Outside only if no locus is in a region, partially observed if some are; a locus in
+    several regions takes the deepest. With ``buffered`` regions (a panel widened on either
+    side) the best that can be said is partially observed. Without ``assessed`` (an assay
+    that selects nothing) the question does not apply.
+    """
+    sites = breakpoints(events)
+    if not assessed:
+        return sites.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_points")).withColumn("observability", F.lit("not_applicable"))
     regions = targets.select(F.col("chrom").alias("r_chrom"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"), "mean_depth")
-    deep = point_join(sites, regions).groupBy("event_id", "l_pos").agg(F.max("mean_depth").alias("depth"))
-    all_points = sites.join(deep, ["event_id", "l_pos"], "left")
-    state = F.when(F.bool_or(F.col("depth").isNull()), "outside_target").when(F.bool_and(F.col("depth") >= min_depth), "observed_adequately").otherwise("insufficient_coverage")
+    place = ["event_id", "k", "l_chrom", "l_start", "l_end"]
+    deep = overlap_join(sites, regions).groupBy(*place).agg(F.max("mean_depth").alias("depth"))
+    all_points = sites.join(deep, place, "left")
+    inside = F.col("depth").isNotNull()
+    best = "partially_observed" if buffered else "observed_adequately"
+    state = F.when(~F.bool_or(inside), "outside_target").when(~F.bool_and(inside), "partially_observed").when(F.bool_and(F.col("depth") >= min_depth), best).otherwise("insufficient_coverage")
     return all_points.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_points"), state.alias("observability"))
 
 

@@ -42,8 +42,11 @@ def overlap_join(left: DataFrame, right: DataFrame, *, width: int = BIN, how: st
     sized = right.withColumn("__level", _level(F.col("r_end") - F.col("r_start"), width))
     r = sized.where("r_start < r_end").withColumn("__w", F.lit(width) * F.pow(F.lit(FACTOR), F.col("__level")).cast("long"))
     r = r.withColumn("__bin", F.explode(F.sequence(F.expr("r_start div __w"), F.expr("(r_end - 1) div __w"))))
-    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(width * FACTOR**i).cast("long").alias("w")) for i in range(LEVELS)]))
-    l = left.where("l_start < l_end").withColumn("__l", levels)  # noqa: E741
+    # Only levels that the right side has: as a rule one, so left rows are not copied for the others.
+    present = sized.where("r_start < r_end").agg(F.array_sort(F.collect_set("__level")).alias("levels")).scalar()
+    wide = lambda i: F.struct(i.alias("level"), (F.lit(width) * F.pow(F.lit(FACTOR), i)).cast("long").alias("w"))
+    l = left.where("l_start < l_end").withColumn("__levels", present)  # noqa: E741
+    l = l.withColumn("__l", F.explode(F.transform("__levels", wide))).drop("__levels")  # noqa: E741
     l = l.withColumn("__bin", F.explode(F.sequence(F.expr("l_start div __l.w"), F.expr("(l_end - 1) div __l.w"))))  # noqa: E741
     on = (F.col("l_chrom") == F.col("r_chrom")) & (F.col("__l.level") == F.col("__level")) & (l["__bin"] == r["__bin"])
     met = l.join(r, on).where((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")))

@@ -61,6 +61,8 @@ def iscn_fragment(kind: Column, chrom: Column, copy_number: Column, band_start:
 
 def dispositions(fragments: DataFrame, order: list[str]) -> DataFrame:
     """Rows with disposition RENDERED, DUPLICATE (a later equal fragment) or OMITTED (no fragment)."""
+    # Rows without a fragment, often most of them, are not ranked: they would share one task.
+    some, none = fragments.where("fragment IS NOT NULL"), fragments.where("fragment IS NULL")
     rank = F.row_number().over(Window.partitionBy("fragment").orderBy(*order))
-    state = F.when(F.col("fragment").isNull(), "OMITTED").when(rank == 1, "RENDERED").otherwise("DUPLICATE")
-    return fragments.withColumn("disposition", state)
+    ranked = some.withColumn("disposition", F.when(rank == 1, "RENDERED").otherwise("DUPLICATE"))
+    return ranked.unionByName(none.withColumn("disposition", F.lit("OMITTED")))

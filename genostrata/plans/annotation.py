@@ -52,14 +52,14 @@ def exon_intron(spark, sf_dir):
 
 
 _BANDS = """bands AS (SELECT chrom, i * 100000 AS s, (i + 1) * 100000 AS e, CASE WHEN i < 20 THEN 'p' ELSE 'q' END || i AS band, i + 1 AS band_index FROM fx_contigs, range(52) r(i)),
-segs AS (SELECT event_id, chrom, start_pos AS s, start_pos + (end_pos - start_pos) * 200 AS e, CASE WHEN event_type = 'deletion' THEN 'loss' ELSE 'gain' END AS direction FROM fx_calls WHERE event_type IN ('deletion', 'duplication') AND support_reads >= 45),
+segs AS (SELECT event_id, chrom, start_pos AS s, start_pos + (end_pos - start_pos) * 200 AS e, CASE WHEN event_type = 'deletion' THEN 'loss' ELSE 'gain' END AS direction FROM fx_calls WHERE event_type IN ('deletion', 'duplication')),
 ov AS (SELECT event_id, g.chrom, direction, band, band_index, least(g.e, b.e) - greatest(g.s, b.s) AS bp, (least(g.e, b.e) - greatest(g.s, b.s)) / (b.e - b.s) AS fraction FROM segs g JOIN bands b ON g.chrom = b.chrom AND g.s < b.e AND b.s < g.e)"""
 
 
 def overlaps(spark, sf_dir) -> DataFrame:
     contigs = fixture(spark, sf_dir, "contigs").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(51))))
     bands = contigs.select("chrom", (F.col("i").cast("long") * 100000).alias("start_pos"), ((F.col("i").cast("long") + 1) * 100000).alias("end_pos"), F.concat(F.when(F.col("i") < 20, "p").otherwise("q"), F.col("i").cast("string")).alias("band"))
-    calls = fixture(spark, sf_dir, "calls").where("event_type IN ('deletion', 'duplication') AND support_reads >= 45")
+    calls = fixture(spark, sf_dir, "calls").where("event_type IN ('deletion', 'duplication')")
     segs = calls.select("event_id", "chrom", "start_pos", (F.col("start_pos") + (F.col("end_pos") - F.col("start_pos")) * 200).alias("end_pos"), F.when(F.col("event_type") == "deletion", "loss").otherwise("gain").alias("direction"))
     return annotate.band_overlaps(segs, bands, 0.66)
 
@@ -117,11 +117,11 @@ def cnv_event_typing(spark, sf_dir):
     return segments.typed_events(collapsed(spark, sf_dir), fixture(spark, sf_dir, "contigs"), 2.0, 1, 0.9)
 
 
-@query("iscn_fragments", f"""WITH {sql('calls')}, e AS (SELECT event_id, chrom, start_pos, CASE WHEN event_type = 'inversion' THEN 'chromosome_gain' ELSE event_type END AS kind, copy_number, CASE WHEN support_reads % 9 <> 0 THEN 'q' || start_pos // 500000 END AS b1, 'q' || end_pos // 500000 AS b2, support_reads % 2 = 0 AS ok FROM fx_calls WHERE support_reads >= 40),
+@query("iscn_fragments", f"""WITH {sql('calls')}, e AS (SELECT event_id, chrom, start_pos, CASE WHEN event_type = 'inversion' THEN 'chromosome_gain' ELSE event_type END AS kind, copy_number, CASE WHEN support_reads % 9 <> 0 THEN 'q' || start_pos // 500000 END AS b1, 'q' || end_pos // 500000 AS b2, support_reads % 2 = 0 AS ok FROM fx_calls),
 f AS (SELECT *, CASE WHEN kind = 'chromosome_gain' AND ok THEN '+' || replace(chrom, 'chr', '') WHEN kind IN ('deletion', 'duplication') AND b1 IS NOT NULL THEN CASE kind WHEN 'deletion' THEN 'del' ELSE 'dup' END || '(' || replace(chrom, 'chr', '') || ')(' || CASE WHEN b1 = b2 THEN b1 ELSE b1 || b2 END || ')' END AS fragment FROM e)
 SELECT event_id, fragment, CASE WHEN fragment IS NULL THEN 'OMITTED' WHEN row_number() OVER (PARTITION BY fragment ORDER BY chrom, start_pos, event_id) = 1 THEN 'RENDERED' ELSE 'DUPLICATE' END AS disposition FROM f""")
 def iscn_fragments(spark, sf_dir):
-    e = fixture(spark, sf_dir, "calls").where("support_reads >= 40")
+    e = fixture(spark, sf_dir, "calls")
     band = lambda c: F.concat(F.lit("q"), F.expr(f"{c} div 500000").cast("string"))
     kind = F.when(F.col("event_type") == "inversion", "chromosome_gain").otherwise(F.col("event_type"))
     fragment = segments.iscn_fragment(kind, F.col("chrom"), F.col("copy_number"), F.when(F.col("support_reads") % 9 != 0, band("start_pos")), band("end_pos"), F.col("support_reads") % 2 == 0)
@@ -129,7 +129,7 @@ def iscn_fragments(spark, sf_dir):
     return segments.dispositions(rows, ["chrom", "start_pos", "event_id"]).select("event_id", "fragment", "disposition")
 
 
-_SETS = """ev AS (SELECT event_id, list_sort(list(DISTINCT label)) AS genes FROM (SELECT c.event_id, t.label FROM fx_calls c JOIN fx_targets t ON c.chrom = t.chrom AND c.start_pos < t.end_pos AND t.start_pos < c.end_pos WHERE c.support_reads >= 40) GROUP BY 1),
+_SETS = """ev AS (SELECT event_id, list_sort(list(DISTINCT label)) AS genes FROM (SELECT c.event_id, t.label FROM fx_calls c JOIN fx_targets t ON c.chrom = t.chrom AND c.start_pos < t.end_pos AND t.start_pos < c.end_pos) GROUP BY 1),
 rec AS (SELECT 'r' || i AS record_id, CASE WHEN i % 2 = 0 THEN 'exact_pair' ELSE 'gene_any_partner' END AS pattern_type, CASE WHEN i % 2 = 0 THEN ['BRAND#' || (1 + i % 5) || (1 + i // 2 % 5), 'BRAND#' || (1 + i % 4) || (1 + i % 3)] ELSE ['BRAND#' || (1 + i % 5) || (1 + i % 4)] END AS genes FROM range(40) r(i))"""
 
 
@@ -139,7 +139,7 @@ def geneset_match(spark, sf_dir):
     from genostrata.operators.rangejoin import overlap_join
     from genostrata.plans.intervals import left, right
 
-    calls = fixture(spark, sf_dir, "calls").where("support_reads >= 40")
+    calls = fixture(spark, sf_dir, "calls")
     events = overlap_join(left(calls, "event_id"), right(fixture(spark, sf_dir, "targets"), "label")).groupBy("event_id").agg(F.collect_set("label").alias("genes"))
     i = F.col("id")
     n = lambda c: c.cast("string")
@@ -186,11 +186,11 @@ def specificity(spark, sf_dir):
     return lanes(spark, sf_dir).join(fp, ["chrom", "caller"]).groupBy("caller").agg(complete.alias("complete"), F.when(complete, F.round((F.sum("n") - F.sum("fp")) / F.sum("n"), 9)).alias("specificity"))
 
 
-@query("reproducibility_pairs", f"""WITH {sql('calls')}, r AS (SELECT DISTINCT event_type AS grp, support_reads % 4 AS repeat, chrom || ':' || start_pos // 100000 AS item FROM fx_calls WHERE filter = 'PASS' AND vaf >= 0.09),
+@query("reproducibility_pairs", f"""WITH {sql('calls')}, r AS (SELECT DISTINCT event_type AS grp, support_reads % 4 AS repeat, chrom || ':' || start_pos // 100000 AS item FROM fx_calls),
 s AS (SELECT grp, repeat, count(*) AS n FROM r GROUP BY 1, 2), x AS (SELECT a.grp, a.repeat AS l, b.repeat AS k, count(*) AS c FROM r a JOIN r b ON a.grp = b.grp AND a.item = b.item AND a.repeat < b.repeat GROUP BY 1, 2, 3)
 SELECT a.grp, a.repeat AS left_id, b.repeat AS right_id, round(2 * coalesce(c, 0) / nullif(a.n + b.n, 0), 9) AS score FROM s a JOIN s b ON a.grp = b.grp AND a.repeat < b.repeat LEFT JOIN x ON x.grp = a.grp AND x.l = a.repeat AND x.k = b.repeat""")
 def reproducibility_pairs(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "calls").where("filter = 'PASS' AND vaf >= 0.09").select(F.col("event_type").alias("grp"), (F.col("support_reads") % 4).alias("repeat"), F.concat_ws(":", "chrom", F.expr("start_pos div 100000").cast("string")).alias("item"))
+    rows = fixture(spark, sf_dir, "calls").select(F.col("event_type").alias("grp"), (F.col("support_reads") % 4).alias("repeat"), F.concat_ws(":", "chrom", F.expr("start_pos div 100000").cast("string")).alias("item"))
     return audit.repeat_pairs(rows)
 
 
