@@ -1,65 +1,161 @@
-"""Consensus of callers: greedy clustering around the first member."""
+"""Consensus of callers: greedy clustering around the first member.
+
+Calls are taken in order of locus; each joins the first cluster whose head it matches, or
+heads a new one. Heads reach MAX distance ahead, so contigs are cut into tiles: every tile is
+clustered apart, given the heads that the tile before leaves open near its end. Tiles whose
+given heads change are done again until none does, so no contig is gathered in one task and
+dense contigs give the same clusters as sparse ones.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genostrata.operators.running import with_running
+from genostrata.functions.coords import contig_rank, normalize_contig
+from genostrata.operators.scratch import Tables
+
 
-MAX_DISTANCE, MIN_OVERLAP, MAX_LENGTH_RATIO = 500, 0.5, 0.35
+@dataclass(frozen=True)
+class Policy:
+    """When two calls of one type are the same event.
+
+    Both ends within ``max_distance``; lengths differ by at most ``max_length_ratio`` of the
+    longer; spans overlap reciprocally by ``min_overlap`` (not asked of insertions and
+    translocations). Known orientations must share one if ``use_orientation``; a caller's
+    calls are kept apart unless ``merge_within_caller``.
+    """
 
-#: Pieces that begin within so many bases are clustered in one call.
-PACK = 1_000_000
+    max_distance: int = 500
+    min_overlap: float = 0.5
+    max_length_ratio: float = 0.35
+    use_orientation: bool = True
+    merge_within_caller: bool = True
 
-_CLUSTER = "event_id string, head string, distance long"
 
+#: Bases of a tile.
+TILE = 100_000
+#: Calls that one task clusters at a time, unless a tile holds more.
+PACK = 20_000
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Every event joins the first cluster whose head it matches; heads too far back are closed."""
-    heads: list[tuple[int, int, str, str]] = []
-    found = []
-    rows = rows.sort_values(["start_pos", "end_pos", "event_id"])
-    for start, end, event, kind in zip(rows["start_pos"], rows["end_pos"], rows["event_id"], rows["event_type"], strict=True):
-        heads = [h for h in heads if start - h[0] <= MAX_DISTANCE]
-        for s, e, head, _ in heads:
-            gap = max(abs(s - start), abs(e - end))
-            a, b = e - s, end - start
-            if gap > MAX_DISTANCE or abs(a - b) / max(a, b) > MAX_LENGTH_RATIO:
-                continue
-            shared = max(0, min(e, end) - max(s, start))
-            if kind == "insertion" or min(shared / a, shared / b) >= MIN_OVERLAP:
-                found.append((event, head, gap))
-                break
-        else:
-            heads.append((start, end, event, kind))
-            found.append((event, event, 0))
-    return pd.DataFrame(found, columns=["event_id", "head", "distance"])
+_ORDER = ["start_pos", "end_pos", "start2", "end2", "event_id"]
 
 
-def cluster_calls(calls: DataFrame) -> DataFrame:
-    """(event_id, head, distance): greedy clusters in order of start within type and contig.
+def canonical(calls: DataFrame) -> DataFrame:
+    """The columns that clustering reads, with the lesser locus of a pair first.
 
-    A gap of more than MAX_DISTANCE between neighbouring starts separates clusters, so the
-    calls are first cut at those gaps and each piece is clustered apart.
+    ``calls(event_id, event_type, chrom, start_pos, end_pos)`` may also have caller, chrom2,
+    start2, end2 (the second locus of a translocation), orientations (array of strand
+    pairs, each reversed if the loci are swapped) and length_bp (the span where missing).
     """
-    by, order = ["event_type", "chrom"], ["start_pos", "end_pos", "event_id"]
-    rows = with_running(calls.select(*by, *order), by, "start_pos", order, "start_pos", "previous", "last")
-    # A piece is named by the start it begins with.
-    begins = F.when(F.col("previous").isNull() | (F.col("start_pos") - F.col("previous") > MAX_DISTANCE), F.col("start_pos"))
-    rows = with_running(rows.withColumn("begins", begins), by, "start_pos", order, "begins", "begun", "last")
-    rows = rows.withColumn("piece", F.coalesce("begins", "begun"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by, "piece")))
-    single = rows.where("n = 1").select("event_id", F.col("event_id").alias("head"), F.lit(0).cast("long").alias("distance"))
-    # Many short pieces share a call: events of different pieces are too far apart to match.
-    packed = rows.where("n > 1").withColumn("pack", F.expr(f"piece div {PACK}"))
-    grouped = packed.groupBy("event_type", "chrom", "pack").applyInPandas(lambda p: _greedy(p), _CLUSTER)
-    return single.unionByName(grouped)
+    has = set(calls.columns)
+    get = lambda c, kind: F.col(c) if c in has else F.lit(None).cast(kind)
+    one = F.struct(contig_rank(F.col("chrom")).alias("rank"), normalize_contig(F.col("chrom")).alias("chrom"), F.col("start_pos").cast("long").alias("s"), F.col("end_pos").cast("long").alias("e"))
+    two = F.struct(contig_rank(get("chrom2", "string")).alias("rank"), normalize_contig(get("chrom2", "string")).alias("chrom"), get("start2", "long").cast("long").alias("s"), get("end2", "long").cast("long").alias("e"))
+    paired = get("chrom2", "string").isNotNull()
+    rows = calls.select("event_id", "event_type", get("caller", "string").alias("caller"), one.alias("one"), two.alias("two"), paired.alias("paired"), get("orientations", "array<string>").alias("o"), get("length_bp", "long").alias("length_bp"))
+    swapped = F.col("paired") & (F.col("two") < F.col("one"))
+    first, second = F.when(swapped, F.col("two")).otherwise(F.col("one")), F.when(swapped, F.col("one")).when(F.col("paired"), F.col("two"))
+    turned = F.transform("o", lambda s: F.when(swapped & (F.length(s) == 2), F.reverse(s)).otherwise(s))
+    span = F.when(~F.col("event_type").isin("insertion", "translocation"), F.col("one.e") - F.col("one.s"))
+    length = F.coalesce(F.col("length_bp"), span) if "length_bp" in has else F.coalesce(span, F.col("one.e") - F.col("one.s"))
+    return rows.select("event_id", "event_type", "caller", first["chrom"].alias("chrom"), first["s"].alias("start_pos"), first["e"].alias("end_pos"), F.coalesce(second["chrom"], F.lit("")).alias("chrom2"), F.coalesce(second["s"], F.lit(-1)).alias("start2"), F.coalesce(second["e"], F.lit(-1)).alias("end2"), F.array_join(F.array_sort(F.coalesce(turned, F.array().cast("array<string>"))), ",").alias("strands"), length.cast("double").alias("length"))
+
+
+def matches(h: tuple, x: tuple, kind: str, policy: Policy) -> int | None:
+    """The distance of two calls (start, end, start2, end2, strands, length, callers), or None."""
+    gap = max(abs(h[0] - x[0]), abs(h[1] - x[1]))
+    if not policy.merge_within_caller and h[6] == x[6]:
+        return None
+    if policy.use_orientation and h[4] and x[4] and not h[4] & x[4]:
+        return None
+    if kind == "translocation":
+        if h[2] < 0 or x[2] < 0:
+            return None
+        gap = max(gap, abs(h[2] - x[2]), abs(h[3] - x[3]))
+        return gap if gap <= policy.max_distance else None
+    if gap > policy.max_distance:
+        return None
+    if h[5] == h[5] and x[5] == x[5] and abs(h[5] - x[5]) > policy.max_length_ratio * max(h[5], x[5]):
+        return None
+    if kind == "insertion":
+        return gap
+    shared = max(0, min(h[1], x[1]) - max(h[0], x[0]))
+    return gap if shared and min(shared / (h[1] - h[0]), shared / (x[1] - x[0])) >= policy.min_overlap else None
+
+
+_TILE = ["event_type", "chrom", "chrom2", "tile"]
+
+
+def greedy(rows: pd.DataFrame, policy: Policy) -> pd.DataFrame:
+    """event_id, head, distance and tile of calls, tile by tile; rows with ``given`` are open heads from before."""
+    rows = rows.sort_values(_TILE + _ORDER)
+    open_heads: list[tuple] = []
+    found, here = [], None
+    columns = [rows[c].tolist() for c in (*_TILE, "event_id", "start_pos", "end_pos", "start2", "end2", "strands", "length", "caller", "given")]
+    for *place, event, s, e, s2, e2, strands, length, caller, given in zip(*columns, strict=True):
+        if place != here:
+            here, open_heads = place, []
+        x = (s, e, s2, e2, frozenset(filter(None, strands.split(","))), length, caller)
+        open_heads = [h for h in open_heads if s - h[1][0] <= policy.max_distance]
+        if not given:
+            for head, h in open_heads:
+                if (gap := matches(h, x, place[0], policy)) is not None:
+                    found.append((event, head, gap, *place))
+                    break
+            else:
+                found.append((event, event, 0, *place))
+                given = True
+        if given:
+            open_heads.append((event, x))
+    return pd.DataFrame(found, columns=["event_id", "head", "distance", *_TILE])
+
+
+def cluster_calls(calls: DataFrame, policy: Policy = Policy(), *, tile: int = TILE) -> DataFrame:
+    """(event_id, head, distance): greedy clusters in order of locus within type and contigs.
+
+    Event ids must be unique; rows with a null contig or coordinate are left out. The result
+    is a written table.
+    """
+    by = _TILE
+    width = max(tile, policy.max_distance + 1)
+    kind = calls.schema["event_id"].dataType.simpleString()
+    schema = f"event_id {kind}, head {kind}, distance long, event_type string, chrom string, chrom2 string, tile long"
+    with Tables(calls.sparkSession) as tables:
+        rows = canonical(calls).where("chrom IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL")
+        rows = tables.written(rows.withColumn("tile", F.expr(f"start_pos div {width}")).withColumn("given", F.lit(False)))
+        packs = max(1, rows.count() // PACK)
+
+        def clustered(some: DataFrame) -> DataFrame:
+            # Many tiles share a call; a tile is never parted.
+            return some.groupBy(F.pmod(F.xxhash64(*by), F.lit(packs))).applyInPandas(lambda g: greedy(g, policy), schema)
+
+        done, sent = tables.written(clustered(rows)), None
+        while True:
+            # Heads near the end of a tile stay open in the next one, whose first calls may be theirs.
+            edge = rows.where(F.col("start_pos") >= (F.col("tile") + 1) * width - policy.max_distance)
+            near = edge.join(done.where("event_id = head").select("event_id"), "event_id", "left_semi")
+            near = tables.written(near.withColumn("tile", F.col("tile") + 1).withColumn("given", F.lit(True)).select(rows.columns))
+            names = [*by, "event_id"]
+            changed = near.select(names) if sent is None else near.select(names).exceptAll(sent.select(names)).union(sent.select(names).exceptAll(near.select(names)))
+            again = tables.written(changed.select(*by).distinct())
+            redo = rows.join(again, by, "left_semi").select(rows.columns)
+            if redo.isEmpty():
+                return tables.kept(done.select("event_id", "head", "distance"))
+            redo = redo.unionByName(near.join(again, by, "left_semi").select(rows.columns))
+            done = tables.written(done.join(again, by, "left_anti").select(done.columns).unionByName(clustered(redo)))
+            sent = near
 
 
 def merged(calls: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row per cluster: the member of most support stands for it, with callers and members."""
+    """One row per cluster: the member of most support stands for it, with callers and members.
+
+    cluster_id numbers are not given here: they follow the order of heads, which a caller
+    may take from ``head``.
+    """
     members = calls.join(clusters, "event_id")
     best = F.min_by(F.struct("chrom", "event_type", "start_pos", "end_pos", "event_id"), F.struct(-F.col("support_reads"), "event_id"))
     per = members.groupBy("head").agg(best.alias("r"), F.array_sort(F.collect_set("caller")).alias("callers"), F.array_sort(F.collect_set("event_id")).alias("members"), F.max("distance").alias("max_distance"))

@@ -22,6 +22,19 @@ PROJECTIONS: dict[str, tuple[str, str, tuple[str, ...]]] = {
         "CASE WHEN l_returnflag = 'R' THEN 'LOWQ' ELSE 'PASS' END AS filter",
         "CAST(CASE WHEN l_tax >= 0.04 THEN 3.0 ELSE 1.0 END AS DOUBLE) AS copy_number",
     )),
+    "pairs": ("lineitem", "l_linenumber <= 3", (
+        "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS event_id",
+        "'translocation' AS event_type",
+        "concat('chr', CAST(1 + l_partkey % 3 AS STRING)) AS chrom",
+        "(l_partkey * 7919) % 50 * 20000 + CAST(l_quantity AS BIGINT) * 20 AS start_pos",
+        "(l_partkey * 7919) % 50 * 20000 + CAST(l_quantity AS BIGINT) * 20 + 1 AS end_pos",
+        "concat('chr', CAST(1 + l_suppkey % 3 AS STRING)) AS chrom2",
+        "(l_suppkey * 104729) % 50 * 20000 + CAST(l_quantity AS BIGINT) * 10 AS start2",
+        "(l_suppkey * 104729) % 50 * 20000 + CAST(l_quantity AS BIGINT) * 10 + 1 AS end2",
+        "CASE WHEN l_linestatus = 'F' THEN 'caller_a' ELSE 'caller_b' END AS caller",
+        "CAST(l_quantity AS INT) AS support_reads",
+        "CASE WHEN l_returnflag = 'A' THEN '+-' WHEN l_returnflag = 'R' THEN '-+' END AS strands",
+    )),
     "targets": ("part", "TRUE", (
         "p_partkey AS target_id",
         "concat('chr', CAST(1 + p_partkey % 22 AS STRING)) AS chrom",
