@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from math import log, log1p
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_DEPTH = 20
@@ -44,31 +45,41 @@ def copy_number_from_ratio(ratio: Column, fraction: Column) -> Column:
     return F.when(possible, (2 * ratio - 2 * (1 - fraction)) / fraction)
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """One row: array lf with lf[i] = ln(i!) for i up to ``most``."""
-    logs = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.when(i == 0, 0.0).otherwise(F.ln(i.cast("double"))))
-    step = F.aggregate(logs, F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("a")), lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.array_append(acc["a"], acc["s"] + x).alias("a")))
-    return spark.range(1).select(step["a"].alias("lf"))
+def log_factorials(depths: DataFrame) -> DataFrame:
+    """(i, lf): lf = ln(i!) for i up to the greatest of ``depths(depth)``: as many rows as that depth."""
+    numbers = depths.agg(F.max("depth").alias("most")).select(F.explode(F.sequence(F.lit(0), F.greatest(F.col("most"), F.lit(0)))).alias("i"))
+    upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return numbers.select("i", F.sum(F.ln(F.greatest("i", F.lit(1)).cast("double"))).over(upto).alias("lf"))
 
 
-def binomial_tail(n: Column, k: Column, p: float, lf: Column) -> Column:
-    """P(X >= k) of n trials, exactly summed."""
-    from math import log, log1p
-
-    term = lambda i: F.exp(F.get(lf, n) - F.get(lf, i) - F.get(lf, n - i) + i * F.lit(log(p)) + (n - i) * F.lit(log1p(-p)))
-    return F.when(k <= 0, 1.0).when(k > n, 0.0).otherwise(F.aggregate(F.sequence(k, n), F.lit(0.0), lambda acc, i: acc + term(i)))
+def binomial_upper_tails(depths: DataFrame, error: float) -> DataFrame:
+    """(depth, k, tail): P(X >= k) of ``depth`` trials, summed once from the top of each distinct depth."""
+    distinct = depths.select("depth").where("depth > 0").distinct()
+    lf = log_factorials(distinct).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lf"))), lambda x: x["lf"]).alias("lf")).scalar()
+    rows = distinct.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("depth")))).withColumn("table", lf)
+    of = lambda i: F.get("table", i)
+    chance = F.exp(of(F.col("depth")) - of(F.col("k")) - of(F.col("depth") - F.col("k")) + F.col("k") * log(error) + (F.col("depth") - F.col("k")) * log1p(-error))
+    above = Window.partitionBy("depth").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("depth", "k", chance.alias("p")).select("depth", "k", F.sum("p").over(above).alias("tail"))
 
 
 def min_variant_reads(depths: DataFrame, error: float, alpha: float) -> DataFrame:
-    """(depth, min_reads): the least k with P(X >= k) <= alpha; depth + 1 if there is none.
+    """(depth, min_reads): the least k >= 1 with P(X >= k) <= alpha; depth + 1 if there is none.
 
     ``depths(depth int)``; worked out once for each distinct depth.
     """
-    distinct = depths.select("depth").where("depth > 0").distinct()
-    most = distinct.agg(F.max("depth")).first()[0] or 0
-    rows = distinct.join(F.broadcast(log_factorials(depths.sparkSession, most)), F.lit(True))
-    ks = F.filter(F.sequence(F.lit(1), F.col("depth")), lambda k: binomial_tail(F.col("depth"), k, error, F.col("lf")) <= alpha)
-    return rows.select("depth", F.coalesce(F.get(ks, F.lit(0)), F.col("depth") + 1).alias("min_reads"))
+    tails = binomial_upper_tails(depths, error).where("k > 0")
+    return tails.groupBy("depth").agg(F.coalesce(F.min(F.when(F.col("tail") <= alpha, F.col("k"))), F.col("depth") + 1).alias("min_reads"))
+
+
+def min_detectable(reads: DataFrame) -> DataFrame:
+    """``reads(depth, min_reads)`` with the least fraction of reads and cancer-cell fraction they can show.
+
+    min_vaf is min_reads / depth, null if no count will do; min_ccf, of a clonal heterozygous
+    variant, is twice that, at most 1.
+    """
+    vaf = F.when(F.col("min_reads") <= F.col("depth"), F.try_divide(F.col("min_reads"), F.col("depth")))
+    return reads.withColumn("min_vaf", vaf).withColumn("min_ccf", F.when(2 * vaf <= 1, 2 * vaf))
 
 
 def jeffreys_variance(k: Column, n: Column) -> Column:

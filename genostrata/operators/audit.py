@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genostrata.operators.scratch import Tables
+
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows of ``child`` whose key is not null and not in ``parent``."""
@@ -67,33 +71,46 @@ def decisions(questions: DataFrame, metrics: DataFrame, on: str) -> DataFrame:
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): longest distance from a root of a graph ``edges(parent, child)``; cycles raise."""
-    spark = edges.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(node, level) AS (
-          SELECT node, 0 FROM {nodes} WHERE node NOT IN (SELECT child FROM {edges})
-          UNION ALL SELECT e.child, w.level + 1 FROM walk w JOIN {edges} e ON e.parent = w.node
-        )
-        SELECT node, max(level) AS level FROM walk GROUP BY node
-        """,
-        edges=edges, nodes=nodes,
-    )
+    """(node, level): longest distance from a root of a graph ``edges(parent, child)``.
+
+    Walks the graph one step at a time, so depth does not matter; edges with a null end are
+    left out. A cycle raises ValueError. The result is a written table.
+    """
+    with Tables(edges.sparkSession) as tables:
+        steps = tables.written(edges.where("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct())
+        every = tables.written(nodes.select("node").where("node IS NOT NULL").distinct())
+        front = tables.written(every.join(steps.select(F.col("child").alias("node")).distinct(), "node", "left_anti"))
+        most, depth, seen = every.count(), 0, []
+        while not front.isEmpty():
+            if depth >= most:
+                raise ValueError("the graph has a cycle")
+            seen.append(front.withColumn("level", F.lit(depth)))
+            front = tables.written(front.join(steps, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct())
+            depth += 1
+            if len(seen) == 50:  # keep the plan of the union short
+                seen = [tables.written(reduce(DataFrame.unionByName, seen).groupBy("node").agg(F.max("level").alias("level")))]
+        if not seen:
+            if most:
+                raise ValueError("the graph has a cycle")
+            return tables.kept(every.withColumn("level", F.lit(0)))
+        out = tables.kept(reduce(DataFrame.unionByName, seen).groupBy("node").agg(F.max("level").alias("level")))
+        if not every.join(out, "node", "left_anti").isEmpty():
+            raise ValueError("the graph has a cycle")
+        return out
 
 
 def blocked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, state): nodes below one that did not finish become NOT_RUN, never FAILED.
 
-    ``nodes(node, outcome)``; COMPLETED and NO_CALL count as finished.
+    ``nodes(node, outcome)``; COMPLETED and NO_CALL count as finished. Null ends of edges
+    are left out; cycles do no harm. The result is a written table.
     """
-    spark = edges.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE down(node) AS (
-          SELECT e.child FROM {edges} e JOIN {nodes} n ON n.node = e.parent WHERE n.outcome NOT IN ('COMPLETED', 'NO_CALL')
-          UNION ALL SELECT e.child FROM down d JOIN {edges} e ON e.parent = d.node
-        )
-        SELECT n.node, CASE WHEN n.node IN (SELECT node FROM down) THEN 'NOT_RUN' ELSE n.outcome END AS state FROM {nodes} n
-        """,
-        edges=edges, nodes=nodes,
-    )
+    with Tables(edges.sparkSession) as tables:
+        steps = tables.written(edges.where("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct())
+        bad = nodes.where("outcome NOT IN ('COMPLETED', 'NO_CALL')").select("node")
+        down = front = tables.written(bad.join(steps, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct())
+        while not front.isEmpty():
+            front = tables.written(front.join(steps, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(down, "node", "left_anti"))
+            down = tables.written(down.unionByName(front))
+        out = nodes.join(down.withColumn("below", F.lit(True)), "node", "left")
+        return tables.kept(out.select("node", F.when(F.col("below"), "NOT_RUN").otherwise(F.col("outcome")).alias("state")))

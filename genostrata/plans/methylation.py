@@ -118,7 +118,17 @@ def mixture_point_estimate(spark, sf_dir):
 @query("mixture_draws")
 def mixture_draws(spark, sf_dir):
     markers = mixture.reference_markers(counts(spark, sf_dir), 5, 0.01, 20)
-    return mixture.interval_draws(markers, levels(spark, sf_dir))
+    unclear = counts(spark, sf_dir).groupBy("marker_id").agg(*[F.sum(F.when(F.col("source") == x.upper(), F.col("a")).otherwise(0)).alias(f"a{x}") for x in "ab"])
+    return mixture.interval_draws(markers.join(unclear, "marker_id"), levels(spark, sf_dir))
+
+
+@query("mixture_gates", f"""WITH {sql('reads')}, {_LEVELS}, n AS (SELECT count(*) AS n FROM top),
+g AS (SELECT level, CASE WHEN n < 10 THEN 'few_reference_markers' WHEN n_markers < 10 OR raw IS NULL THEN 'few_markers_used' WHEN raw < -0.1 OR raw > 1.1 THEN 'extrapolated' WHEN rmse > 0.8 THEN 'poor_fit' END AS reason FROM e, n)
+SELECT level, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'NO_CALL' END AS status, reason FROM g""")
+def mixture_gates(spark, sf_dir):
+    markers = mixture.reference_markers(counts(spark, sf_dir), 5, 0.01, 20)
+    estimates = mixture.point_estimate(markers, levels(spark, sf_dir))
+    return mixture.level_gates(estimates, markers.agg(F.count(F.lit(1)).alias("n")), min_markers=10, max_rmse=0.8)
 
 
 @query("recovery_metrics", f"""WITH {sql('reads')}, {_LEVELS}, t AS (SELECT 'd' || i AS level, i / 11.0 AS truth FROM range(12) r(i))

@@ -40,11 +40,11 @@ def cohort_eligibility(spark, sf_dir):
     return planning.eligibility(table(spark, sf_dir, "customer"), "c_custkey", rules)
 
 
-@query("registered_strata", f"""WITH {sql('calls', 'contigs')}, f AS (SELECT chrom, event_type, count(*) AS n_events, count(*) FILTER (filter = 'PASS') AS n_pass FROM fx_calls WHERE support_reads >= 50 AND vaf >= 0.09 GROUP BY 1, 2),
+@query("registered_strata", f"""WITH {sql('calls', 'contigs')}, f AS (SELECT chrom, event_type, count(*) AS n_events, count(*) FILTER (filter = 'PASS') AS n_pass FROM fx_calls GROUP BY 1, 2),
 g AS (SELECT chrom, event_type FROM fx_contigs, (VALUES ('deletion'), ('duplication'), ('inversion'), ('insertion'), ('translocation')) v(event_type))
 SELECT g.chrom, g.event_type, coalesce(n_events, 0) AS n_events, coalesce(n_pass, 0) AS n_pass, n_events IS NOT NULL AS evaluable FROM g LEFT JOIN f USING (chrom, event_type)""")
 def registered_strata(spark, sf_dir):
-    facts = fixture(spark, sf_dir, "calls").where("support_reads >= 50 AND vaf >= 0.09").groupBy("chrom", "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("filter") == "PASS").alias("n_pass"))
+    facts = fixture(spark, sf_dir, "calls").groupBy("chrom", "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("filter") == "PASS").alias("n_pass"))
     kinds = F.array(*map(F.lit, ("deletion", "duplication", "inversion", "insertion", "translocation")))
     grid = fixture(spark, sf_dir, "contigs").select("chrom", F.explode(kinds).alias("event_type"))
     return planning.with_registered(facts, grid, ["chrom", "event_type"], ["n_events", "n_pass"])
@@ -89,6 +89,8 @@ def stage_signatures(spark, sf_dir):
     return n.select("n_nationkey", "n_name", upstream.alias("up")).select("n_nationkey", planning.stage_signature(F.col("n_name"), F.col("up"), F.concat(F.lit("k="), (F.col("n_nationkey") % 4).cast("string"))).alias("signature"))
 
 
-@query("sidecar_fingerprint")
+@query("sidecar_fingerprint", f"""WITH {sql('targets')}, d AS (SELECT sha256(concat_ws('|', target_id, chrom, start_pos, end_pos, label, CAST(round(mean_depth * 1000000) AS BIGINT))) AS h FROM fx_targets)
+SELECT count(*) AS n_rows, 'target_id,chrom,start_pos,end_pos,label,micro_depth' AS columns, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM d""")
 def sidecar_fingerprint(spark, sf_dir):
-    return sinks.fingerprint(fixture(spark, sf_dir, "targets"))
+    t = fixture(spark, sf_dir, "targets")
+    return sinks.fingerprint(t.select("target_id", "chrom", "start_pos", "end_pos", "label", F.round(F.col("mean_depth") * 1000000).cast("long").alias("micro_depth")))
