@@ -85,3 +85,36 @@ def panel_reach(criteria: DataFrame, panel: DataFrame) -> DataFrame:
     status = F.when(~F.col("needs_small_variants"), "NOT_PANEL_GATED").when(F.size("genes") == 0, "NO_GENES_NAMED").when(F.size("missing") == 0, "REACHABLE").when(F.size("present") == 0, "UNREACHABLE").otherwise("PARTIAL")
     joined = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ",").alias(c)
     return rows.select("record_id", status.alias("status"), joined("present"), joined("missing"))
+
+
+def single_hit(points: DataFrame, intervals: DataFrame, value: str) -> DataFrame:
+    """(point_id, ``value``): the one value of the intervals that hold a point, null if they hold several or none.
+
+    ``points(point_id, l_chrom, l_pos)``, ``intervals(r_chrom, r_start, r_end, value)``. Serves
+    band names and reading-frame phases: what is not unique is not said. Points in no
+    interval are listed with null.
+    """
+    hit = point_join(points, intervals.select("r_chrom", "r_start", "r_end", F.col(value).alias("v"))).groupBy("point_id").agg(F.collect_set("v").alias("all"))
+    one = F.when(F.size("all") == 1, F.get("all", F.lit(0)))
+    return points.select("point_id").distinct().join(hit, "point_id", "left").select("point_id", one.alias(value))
+
+
+def phase_at(points: DataFrame, coding: DataFrame) -> DataFrame:
+    """(point_id, transcript_id, phase): the phase of a transcript's coding part at a point, null unless unique."""
+    spans = coding.select(F.col("chrom").alias("r_chrom"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"), "transcript_id", "phase")
+    hit = point_join(points, spans).groupBy("point_id", "transcript_id").agg(F.collect_set("phase").alias("all"))
+    return hit.select("point_id", "transcript_id", F.when(F.size("all") == 1, F.get("all", F.lit(0))).alias("phase"))
+
+
+def resolved_targets(targets: DataFrame, genes: DataFrame) -> DataFrame:
+    """(target_id, gene_id, how): each target's gene, by curated id, else by label and contig.
+
+    ``targets(target_id, curated, label, chrom)``, ``genes(gene_id, label, chrom)``. how is
+    curated, label, ambiguous or unresolved; only the first two name a gene.
+    """
+    by_id = targets.join(genes.select(F.col("gene_id").alias("curated"), F.lit(True).alias("known")).distinct(), "curated", "left")
+    named = genes.groupBy("label", "chrom").agg(F.count_distinct("gene_id").alias("n"), F.min("gene_id").alias("g"))
+    rows = by_id.join(named, ["label", "chrom"], "left")
+    how = F.when(F.col("known"), "curated").when(F.col("curated").isNotNull(), "unresolved").when(F.col("n") == 1, "label").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
+    rows = rows.withColumn("how", how)
+    return rows.select("target_id", F.when(F.col("how") == "curated", F.col("curated")).when(F.col("how") == "label", F.col("g")).alias("gene_id"), "how")

@@ -6,7 +6,7 @@ the broken lines, and ``checked`` raises on the first of them while the rows are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genostrata.functions.coords import normalize_contig
@@ -119,3 +119,134 @@ def qc_metrics(text: DataFrame) -> DataFrame:
 def qc_histogram(text: DataFrame) -> DataFrame:
     """start, end, count, bases of the read-length histogram; the last end may be null."""
     return text.select(F.from_json("value", QC).alias("d")).select(F.inline("d.histograms.read_length.bins"))
+
+
+def target_depths(text: DataFrame, targets: DataFrame) -> DataFrame:
+    """chrom, start_pos, end_pos, region_id, mean_depth of a per-target depth file of 4 or 5 columns.
+
+    The regions must be exactly ``targets``: one too many, one too few or one twice fails the
+    whole, as a depth that is no number does.
+    """
+    r = _rows(text)
+    depth = F.when(F.size("c") == 5, col(4)).when(F.size("c") == 4, col(3)).try_cast("double")
+    r = r.select(normalize_contig(col(0)).alias("chrom"), col(1).try_cast("long").alias("start_pos"), col(2).try_cast("long").alias("end_pos"), F.when(F.size("c") == 5, col(3)).alias("region_id"), depth.alias("mean_depth"))
+    r = checked(r, F.col("mean_depth") >= 0, "malformed depth line")
+    key = ["chrom", "start_pos", "end_pos"]
+    counted = r.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("region_id").alias("region_id"), F.first("mean_depth").alias("mean_depth"))
+    both = counted.join(targets.select(*key, F.lit(True).alias("wanted")).distinct(), key, "full")
+    return checked(both, (F.col("n") == 1) & F.col("wanted"), "regions are not the target set").select(*key, "region_id", "mean_depth")
+
+
+def region_list(text: DataFrame) -> DataFrame:
+    """chrom, start_pos, end_pos of lines ``chr:first-last`` (1-based, both ends in), converted to half-open."""
+    parts = lambda i: F.regexp_extract(F.trim("value"), r"^([^:\s]+):(\d+)-(\d+)$", i)
+    r = text.where("trim(value) <> '' AND NOT startswith(value, '#')").select(normalize_contig(parts(1)).alias("chrom"), (parts(2).try_cast("long") - 1).alias("start_pos"), parts(3).try_cast("long").alias("end_pos"))
+    return checked(r, (F.col("start_pos") >= 0) & (F.col("end_pos") > F.col("start_pos")), "malformed region line")
+
+
+def target_gene_map(text: DataFrame) -> DataFrame:
+    """target, gene, chrom, resolution of a map with exactly that header; targets and (gene, chrom) stand once."""
+    names = ["target", "gene", "chrom", "resolution"]
+    head = F.concat_ws("\t", *map(F.lit, names))
+    r = checked(text.where("trim(value) <> ''"), ~F.startswith("value", F.lit("target")) | (F.col("value") == head), "unexpected header")
+    r = r.where(F.col("value") != head).select(F.split("value", "\t").alias("c")).select(*[col(i).alias(n) for i, n in enumerate(names)])
+    r = checked(r, F.col("resolution").isin("curated", "label", "unresolved"), "unknown resolution")
+    for keys in (["target"], ["gene", "chrom"]):
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        r = checked(r.withColumn("n", n), (F.col("n") == 1) | F.col(keys[0]).isNull(), f"repeated {keys[0]}").drop("n")
+    return r
+
+
+def probe_map(text: DataFrame) -> DataFrame:
+    """chrom, start_pos, end_pos, probe, fraction of a probe file of four or five columns; NA fractions are null.
+
+    A probe on two contigs fails the whole.
+    """
+    r = _rows(text).select(normalize_contig(col(0)).alias("chrom"), col(1).try_cast("long").alias("start_pos"), col(2).try_cast("long").alias("end_pos"), col(3).alias("probe"), F.when(col(4) != "NA", col(4).try_cast("double")).alias("fraction"), (F.size("c") == 5) & (col(4) != "NA"))
+    r = r.toDF("chrom", "start_pos", "end_pos", "probe", "fraction", "given")
+    r = checked(r, (F.col("end_pos") > F.col("start_pos")) & (~F.coalesce("given", F.lit(False)) | F.col("fraction").between(0, 1)), "malformed probe line")
+    contigs = r.groupBy("probe").agg(F.count_distinct("chrom").alias("n"))
+    return checked(r.join(contigs, "probe"), F.col("n") == 1, "probe on several contigs").select("chrom", "start_pos", "end_pos", "probe", "fraction")
+
+
+def probability_bin(p: Column) -> Column:
+    """struct(low, high) of the 256th in which a probability stands as its midpoint; null if it is no midpoint."""
+    byte = F.bround(p * 256 - 0.5).cast("int")
+    fine = byte.between(0, 255) & (F.abs(p - (byte + 0.5) / 256) <= 1e-7)
+    return F.when(fine, F.struct((byte / 256).alias("low"), ((byte + 1) / 256).alias("high")))
+
+
+def interval_state(intervals: Column, codes: list[str], threshold: float) -> Column:
+    """M, U or A from a map of code to struct(low, high): D17.
+
+    Methylated if the lower bound of m reaches the threshold, unmethylated if one less all
+    upper bounds does, ambiguous otherwise or where a code is missing; lower bounds that
+    exceed one in sum fail.
+    """
+    known = F.forall(F.array(*map(F.lit, codes)), lambda k: F.element_at(intervals, k).isNotNull()) & (F.size(intervals) == len(codes))
+    lows = F.aggregate(F.map_values(intervals), F.lit(0.0), lambda s, x: s + F.coalesce(x["low"], F.lit(0.0)))
+    highs = F.aggregate(F.map_values(intervals), F.lit(0.0), lambda s, x: s + F.coalesce(x["high"], F.lit(0.0)))
+    state = F.when(F.element_at(intervals, F.lit("m"))["low"] >= threshold, "M").when(F.greatest(F.lit(0.0), 1 - highs) >= threshold, "U").otherwise("A")
+    return F.when(~known, "A").when(lows > 1 + 1e-7, F.raise_error(F.lit("probabilities exceed one")).cast("string")).otherwise(state)
+
+
+def explicit_calls(rows: DataFrame, *, codes: tuple[str, ...] = ("m", "h"), threshold: float = 0.8, excluded_flags: int = 0x904) -> DataFrame:
+    """(read_name, chrom, pos, strand, state) of a read-level probability table, one row a read and site.
+
+    ``rows(read_id, chrom, ref_position, ref_strand, mod_code, mod_qual, flag)``: rows of reads
+    with one of ``excluded_flags`` are left out, as are unaligned ones; a code twice for one
+    site of a read, or a quality that is no midpoint, fails.
+    """
+    r = rows.where((F.col("flag").bitwiseAND(F.lit(excluded_flags)) == 0) & (F.col("ref_position") >= 0) & F.col("mod_code").isin(*codes))
+    r = checked(r.withColumn("interval", probability_bin(F.col("mod_qual"))), F.col("interval").isNotNull(), "quality is no midpoint")
+    per = r.groupBy(F.col("read_id").alias("read_name"), "chrom", F.col("ref_position").alias("pos"), F.col("ref_strand").alias("strand")).agg(F.collect_list(F.struct("mod_code", "interval")).alias("x"), F.count_distinct("mod_code").alias("n"))
+    per = checked(per, F.size("x") == F.col("n"), "a code stands twice for a site of a read")
+    return per.select("read_name", "chrom", "pos", "strand", interval_state(F.map_from_entries("x"), list(codes), threshold).alias("state"))
+
+
+def segment_table(text: DataFrame) -> DataFrame:
+    """chrom, start_pos, end_pos, copy_number, call, use of a segment or bin table with a header.
+
+    Every line must say ``zero_based_half_open`` as its coordinate system and have a span.
+    """
+    r = _rows(text).where(col(0) != "chrom")
+    number = lambda i: F.nullif(col(i), F.lit("NA")).try_cast("double")
+    r = r.select(normalize_contig(col(0)).alias("chrom"), col(1).try_cast("long").alias("start_pos"), col(2).try_cast("long").alias("end_pos"), number(3).alias("copy_number"), number(4).alias("call"), F.upper(col(5)).isin("TRUE", "1").alias("use"), col(6).alias("system"))
+    return checked(r, (F.col("system") == "zero_based_half_open") & (F.col("end_pos") > F.col("start_pos")), "malformed segment line").drop("system")
+
+
+def parameters(text: DataFrame) -> DataFrame:
+    """(name, value) of lines ``name:<TAB>value``, NA as null."""
+    r = text.where(F.col("value").rlike(r"^[^\t:]+:\s")).select(F.substring_index("value", ":", 1).alias("name"), F.trim(F.regexp_replace("value", r"^[^\t:]+:\s+", "")).alias("value"))
+    return r.select("name", F.when(F.col("value").isin("NA", ""), None).otherwise(F.col("value")).alias("value"))
+
+
+def selected_fit(fits: DataFrame) -> DataFrame:
+    """The fit of rank 1 of ``fits(rank, purity, ploidy, ...)``; none or several of that rank fail."""
+    n = fits.agg(F.count_if(F.col("rank") == 1).alias("n"))
+    return checked(fits.join(F.broadcast(n), F.lit(True)), F.col("n") == 1, "not exactly one selected fit").where("rank = 1").drop("n")
+
+
+def class_annotation(rows: DataFrame, n_units: int = 42) -> DataFrame:
+    """``rows(unit, class, family, lineage)`` if units 1 to ``n_units`` stand exactly once each, else an error."""
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("d"), F.min("unit").alias("lo"), F.max("unit").alias("hi"))
+    whole = (F.col("n") == n_units) & (F.col("d") == n_units) & (F.col("lo") == 1) & (F.col("hi") == n_units)
+    return checked(rows.join(F.broadcast(sums), F.lit(True)), whole, "units are not 1 to n once each").drop("n", "d", "lo", "hi")
+
+
+def knowledge(text: DataFrame, *, reportable: bool = True) -> DataFrame:
+    """record_id, pattern_type, genes, status of knowledge records, one JSON object a line.
+
+    For ``reportable`` use a draft fails the whole; without it drafts come along.
+    """
+    d = text.select(F.from_json("value", "record_id string, pattern_type string, genes array<string>, status string").alias("d")).select("d.*")
+    d = checked(d, F.col("record_id").isNotNull() & F.col("status").isin("released", "draft"), "malformed record")
+    return checked(d, F.col("status") == "released", "draft in reportable knowledge") if reportable else d
+
+
+def histogram_table(text: DataFrame) -> DataFrame:
+    """start, end (null in the last), count, bases of a histogram side file with exactly that header."""
+    r = checked(text, ~F.startswith("value", F.lit("start")) | (F.col("value") == "start\tend\tcount\tbases"), "unexpected header")
+    r = _rows(r).where(col(0) != "start")
+    r = r.select(col(0).try_cast("long").alias("start"), F.nullif(col(1), F.lit("")).try_cast("long").alias("end"), col(2).try_cast("long").alias("count"), col(3).try_cast("long").alias("bases"))
+    return checked(r, F.col("start").isNotNull() & F.col("count").isNotNull() & F.col("bases").isNotNull(), "malformed histogram line")

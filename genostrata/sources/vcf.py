@@ -113,22 +113,24 @@ def allele_rows(text: DataFrame) -> DataFrame:
 SV_TYPES = {"DEL": "deletion", "DUP": "duplication", "INV": "inversion", "INS": "insertion", "BND": "translocation", "TRA": "translocation"}
 
 
-def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: int = 50, pass_only: bool = True, support_keys: tuple[str, ...] = ("SUPPORT", "RE")) -> DataFrame:
+def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: int = 50, pass_only: bool = True, support_keys: tuple[str, ...] = ("SUPPORT", "RE"), fraction_keys: tuple[str, ...] = ("VAF",), min_fraction: float = 0.0, only_class: str | None = None) -> DataFrame:
     """Structural-variant records in 0-based half-open coordinates, each with its first reason.
 
     Support comes from the first of ``support_keys`` in INFO, else from DV in FORMAT; the
-    fraction from VAF, else DV / (DR + DV). An insertion spans one base; a translocation
-    has a mate and no length.
+    fraction from ``fraction_keys``, else DV / (DR + DV). An insertion spans one base; a
+    translocation has a mate and no length. The type is what stands before a colon in
+    SVTYPE. With ``only_class`` a record of another CLASS is rejected; one without stays.
     """
     r = records(text).withColumn("info", F.when(~malformed_info(field(7)), info_map(field(7)))).withColumn("s", sample_map(field(8), field(9)))
     info = F.col("info")
-    kind = F.create_map(*[F.lit(x) for kv in SV_TYPES.items() for x in kv])[info["SVTYPE"]]
+    kind = F.create_map(*[F.lit(x) for kv in SV_TYPES.items() for x in kv])[F.upper(F.substring_index(info["SVTYPE"], ":", 1))]
     pos = field(1).try_cast("long")
     start = pos - 1
     svlen = F.abs(number(info["SVLEN"])).cast("long")
     end = F.coalesce(info["END"].try_cast("long"), start + svlen)
     dv, dr = number(F.col("s")["DV"], minimum=0), number(F.col("s")["DR"], minimum=0)
     support = F.coalesce(*[number(info[k], minimum=0) for k in support_keys], dv).cast("int")
+    fraction = F.coalesce(*[number(info[k], minimum=0) for k in fraction_keys], F.try_divide(dv, dv + dr))
     mate = breakend(field(4))
     last = F.when(kind == "insertion", start + 1).when(kind == "translocation", start + 1).otherwise(end)
     length = F.when(kind == "translocation", F.lit(None).cast("long")).when(kind == "insertion", svlen).otherwise(last - start)
@@ -139,15 +141,47 @@ def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: in
         ("malformed_info", malformed_info(field(7))),
         ("missing_type", info["SVTYPE"].isNull()),
         ("unsupported_type", kind.isNull()),
-        ("low_support", F.coalesce(support < min_support, F.lit(True))),
+        ("class_not_accepted", F.lit(False) if only_class is None else F.coalesce(info["CLASS"] != only_class, F.lit(False))),
+        ("low_support", F.coalesce(support < min_support, F.lit(min_support > 0))),
+        ("low_fraction", F.coalesce(fraction < min_fraction, F.lit(min_fraction > 0))),
         ("malformed_breakend_alt", (kind == "translocation") & mate["error"].isNotNull()),
         ("malformed_locus", F.coalesce(last <= start, F.lit(True))),
         ("too_short", length < min_length),
     ])
-    fraction = F.coalesce(number(info["VAF"], minimum=0), F.try_divide(dv, dv + dr))
     return r.select(field(2).alias("record_id"), field(0).alias("chrom"), start.alias("start_pos"), last.alias("end_pos"), kind.alias("event_type"), length.alias("length"), support.alias("support_reads"), fraction.alias("vaf"), mate["mate_chrom"].alias("mate_chrom"), mate["mate_pos"].alias("mate_pos"), F.map_contains_key(info, "PRECISE").alias("precise"), reason.alias("reason"))
 
 
+def depth_segments(text: DataFrame, *, min_length: int = 100_000, pass_only: bool = True) -> DataFrame:
+    """Depth-based copy-number records of one sample, each with its first reason.
+
+    POS of these files is 0-based already and SVLEN equals END - POS. The allele names the
+    type or is ``.``; copy_number is CN of INFO where given.
+    """
+    r = records(text).withColumn("info", F.when(~malformed_info(field(7)), info_map(field(7))))
+    info = F.col("info")
+    raw = F.upper(info["SVTYPE"])
+    kind = F.when(raw == "DEL", "deletion").when(raw == "DUP", "duplication")
+    start, end, svlen = field(1).try_cast("long"), info["END"].try_cast("long"), info["SVLEN"].try_cast("long")
+    cn = info["CN"].try_cast("double")
+    reason = first_reason([
+        ("malformed_record", F.size("c") != 10),
+        ("malformed_start", F.coalesce(start < 0, F.lit(True))),
+        ("malformed_filter", field(6) == ""),
+        ("filter_not_pass", F.lit(pass_only) & ~field(6).isin(".", "PASS")),
+        ("malformed_info", malformed_info(field(7))),
+        ("missing_svtype", info["SVTYPE"].isNull()),
+        ("unsupported_svtype", kind.isNull()),
+        ("svtype_alt_mismatch", (field(4) != ".") & (field(4) != F.concat(F.lit("<"), raw, F.lit(">")))),
+        ("missing_or_invalid_end", end.isNull()),
+        ("invalid_native_interval", end <= start),
+        ("missing_or_invalid_svlen", svlen.isNull()),
+        ("native_length_mismatch", svlen != end - start),
+        ("cnv_length_below_policy", svlen < min_length),
+        ("invalid_copy_number", info["CN"].isNotNull() & F.coalesce(cn < 0, F.lit(True))),
+    ])
+    return r.select(field(2).alias("record_id"), field(0).alias("chrom"), start.alias("start_pos"), end.alias("end_pos"), kind.alias("event_type"), svlen.alias("length"), cn.alias("copy_number"), number(field(5), minimum=0).alias("quality"), reason.alias("reason"))
+
+
 def reasons(rows: DataFrame) -> DataFrame:
     """(reason, n), usable records under ``accepted``."""
     return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
