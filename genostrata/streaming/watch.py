@@ -42,6 +42,24 @@ def readiness(files: DataFrame, now, quiet_seconds: int, marker: str = "DONE") -
     return per.select("folder", F.when(F.col("n") == 0, "EMPTY").when(~F.coalesce("marked", F.lit(False)), "MARKER_MISSING").when(~quiet, "STILL_CHANGING").otherwise("READY").alias("state"))
 
 
+def discovered(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, name, modified ts) of every file in the folders of ``root``, for ``readiness``: not-ready folders too.
+
+    File contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime")
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"))
+
+
+def retained(events: DataFrame, key: str, at: str, ttl_seconds: int) -> DataFrame:
+    """(key, n_events, state): EXPIRED where the last event is ``ttl_seconds`` or more before the newest of all, else ACTIVE."""
+    now = events.agg(F.max(at).alias("now"))
+    last = events.groupBy(key).agg(F.count(F.lit(1)).alias("n_events"), F.max(at).alias("last"))
+    age = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))
+    rows = last.join(F.broadcast(now), F.lit(True))
+    return rows.select(key, "n_events", F.when(age >= ttl_seconds * 1_000_000, "EXPIRED").otherwise("ACTIVE").alias("state"))
+
+
 def run_available(spark: SparkSession, source: str, schema: str, transform, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Process what lies in folder ``source`` now, exactly once over calls with one checkpoint."""
     stream = transform(spark.readStream.schema(schema).parquet(source))

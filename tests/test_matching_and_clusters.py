@@ -135,3 +135,13 @@ def test_samples_are_without_replacement(spark):
     levels = spark.createDataFrame([("a", 10), ("b", 3000), ("c", 5000)], "level string, n long")
     got = metrics.sampled(keys.union(keys), "key", levels, 3).groupBy("level").agg(F.count("*").alias("n"), F.count_distinct("key").alias("d")).collect()
     assert {r["level"]: (r["n"], r["d"]) for r in got} == {"a": (10, 10), "b": (3000, 3000), "c": (5000, 5000)}
+
+
+def test_structural_path_keeps_filters_and_clusters(spark):
+    from genostrata.operators import compose
+
+    calls = [("a", "deletion", "chr1", 100, 1100, "x", 9, 0.2, "PASS"), ("b", "deletion", "chr1", 140, 1140, "y", 25, 0.3, "PASS"), ("c", "deletion", "chr1", 150, 1150, "z", 30, 0.3, "LOWQ"), ("d", "insertion", "chr2", 50, 51, "x", 2, 0.3, "PASS")]
+    df = spark.createDataFrame(calls, "event_id string, event_type string, chrom string, start_pos long, end_pos long, caller string, support_reads int, vaf double, filter string")
+    targets = spark.createDataFrame([("chr1", 0, 600, "G1", 40.0), ("chr1", 1000, 2000, "G2", 40.0)], "chrom string, start_pos long, end_pos long, label string, mean_depth double")
+    (row,) = compose.structural_path(df, targets, min_support=5, min_depth=20.0).collect()
+    assert (row["event_id"], row["callers"], row["genes"], row["observability"], row["n_members"]) == ("b", "x,y", "G1,G2", "observed_adequately", 2) and row["confidence"] == "high"

@@ -30,3 +30,13 @@ def test_readiness(spark):
     files = spark.createDataFrame([("a", "x", "2024-01-01 00:00:00"), ("a", "DONE", "2024-01-01 00:00:00"), ("b", "x", "2024-01-01 00:00:00"), ("c", "DONE", "2024-01-01 01:00:00"), ("d", None, None)], "folder string, name string, modified string").withColumn("modified", F.to_timestamp("modified"))
     got = dict(watch.readiness(files, F.to_timestamp(F.lit("2024-01-01 01:00:10")), 60).collect())
     assert got == {"a": "READY", "b": "MARKER_MISSING", "c": "STILL_CHANGING", "d": "EMPTY"}
+
+
+def test_discovery_lists_folders_that_are_not_ready(spark, tmp_path):
+    for folder, names in {"a": ["x", "DONE"], "b": ["y"]}.items():
+        (tmp_path / folder).mkdir()
+        for name in names:
+            (tmp_path / folder / name).write_text("1")
+    found = watch.discovered(spark, str(tmp_path))
+    got = dict(watch.readiness(found, F.current_timestamp() + F.expr("interval 2 hours"), 60).collect())
+    assert got == {"a": "READY", "b": "MARKER_MISSING"}
