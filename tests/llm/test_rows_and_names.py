@@ -86,3 +86,12 @@ def test_key_pairs_of_cloud_services(spark):
     ]
     got = {r["doc_id"]: [s["kind"] for s in r["found"]] for r in credential_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert sorted(got[0]) == ["access", "user", "weak"] and got[1] == [] and sorted(got[2]) == ["user", "weak"] and got[3] == [] and sorted(got[4]) == ["user", "weak"]
+
+
+def test_turns_without_a_conversation(spark):
+    from genostrata.llm import chat
+
+    rows = [(None, 0, "user", "hi"), (None, 3, "user", "hi"), (None, 0, "user", "lost"), (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "lost and found"), (None, 5, "assistant", None)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    # "hi" begins conversation 1; the others stand alone, and equal ones are one.
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["n_copies"]) for r in got) == [(0, 1, 1), (0, 1, 1), (1, 2, 1), (2, 1, 1)]
