@@ -44,3 +44,36 @@ def shown(value: Column) -> Column:
 def first_known(values: Column) -> Column:
     """The first value of an array that is not null; null if there is none."""
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+
+
+def band(value: Column, edges: tuple[float, ...]) -> Column:
+    """``<a``, ``[a,b)`` ... ``>=z`` by rising edges; null stays null."""
+    out = F.when(value < edges[0], f"<{edges[0]}")
+    for a, b in zip(edges, edges[1:], strict=False):
+        out = out.when(value < b, f"[{a},{b})")
+    return out.when(value.isNotNull(), f">={edges[-1]}")
+
+
+def event_class(event_type: Column, copy_number: Column) -> Column:
+    """cnv for a deletion or duplication of known copy number, sv for everything else."""
+    return F.when(event_type.isin("deletion", "duplication") & copy_number.isNotNull(), "cnv").otherwise("sv")
+
+
+def gates(values: dict[str, Column | None], floors: dict[str, float], warnings: dict[str, float] | None = None) -> tuple[Column, Column]:
+    """(failed gates as sorted text, verdict FAIL, WARN or PASS): a metric below its floor fails.
+
+    A metric that was not measured (missing or null) fails too: not measured is not passed.
+    One above its floor but below the floor of ``warnings`` warns.
+    """
+    value = lambda k: F.lit(None).cast("double") if values.get(k) is None else values[k]
+    failed = F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(value(k) < v, F.lit(True)), k) for k, v in floors.items()])))
+    warned = F.lit(False)
+    for k, v in (warnings or {}).items():
+        warned |= F.coalesce(value(k) < v, F.lit(False))
+    return F.array_join(failed, ","), F.when(F.size(failed) > 0, "FAIL").when(warned, "WARN").otherwise("PASS")
+
+
+def small_variant_reason(*, passed: Column, depth: Column, reads: Column, min_reads: Column, min_depth: int = 30, least: int = 4) -> Column:
+    """The first rule a small variant breaks, null if it is usable; ``min_reads`` is what its depth can resolve."""
+    rules = [("not_pass", ~passed), ("low_depth", depth < min_depth), ("few_variant_reads", reads < least), ("unresolvable_depth", min_reads > depth), ("below_detection_floor", reads < min_reads)]
+    return F.coalesce(*[F.when(bad, name) for name, bad in rules])

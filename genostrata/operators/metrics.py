@@ -149,3 +149,18 @@ def plan_against_execution(plan: DataFrame, execution: DataFrame) -> DataFrame:
     both = plan.select("lane", F.lit(True).alias("p")).join(execution, "lane", "full")
     done = F.col("outcome").isin("COMPLETED", "NO_CALL") & F.coalesce("has_evidence", F.lit(False))
     return both.select("lane", F.when(F.col("p").isNull(), "UNPLANNED").when(F.col("outcome").isNull(), "NOT_EXECUTED").when(done, "COMPLETE").otherwise("INCOMPLETE").alias("state"))
+
+
+def specificity(lanes: DataFrame, by: str) -> DataFrame:
+    """(by, complete, specificity) of lanes (by, state, fp, n): (n - fp) / n over all lanes.
+
+    Not every lane assessed: no statement, rather than one over those that were.
+    """
+    complete = F.bool_and(F.col("state") != "NOT_RUN")
+    return lanes.groupBy(by).agg(complete.alias("complete"), F.when(complete, F.round(F.try_divide(F.sum("n") - F.sum("fp"), F.sum("n")), 9)).alias("specificity"))
+
+
+def quantitative_error(rows: DataFrame, by: str, found: Column, truth: Column) -> DataFrame:
+    """(by, n, mae, bias) of ``found`` less ``truth``; rows where either is null do not count."""
+    e = found - truth
+    return rows.groupBy(by).agg(F.count(e).alias("n"), F.round(F.avg(F.abs(e)), 9).alias("mae"), F.round(F.avg(e), 9).alias("bias"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genostrata.functions.evidence import first_reason
-from genostrata.operators import annotate, audit, segments
+from genostrata.operators import annotate, audit, metrics, segments
 from genostrata.plans.registry import query
 from genostrata.sources.fixtures import fixture, sql, table
 
@@ -181,9 +181,7 @@ def run_state_rates(spark, sf_dir):
 SELECT caller, bool_and(state <> 'NOT_RUN') AS complete, CASE WHEN bool_and(state <> 'NOT_RUN') THEN round((sum(n) - sum(fp)) / sum(n), 9) END AS specificity FROM lanes JOIN fp USING (chrom, caller) GROUP BY caller""")
 def specificity(spark, sf_dir):
     fp = fixture(spark, sf_dir, "calls").groupBy("chrom", "caller").agg(F.count_if(F.col("filter") != "PASS").alias("fp"), F.count(F.lit(1)).alias("n"))
-    complete = F.bool_and(F.col("state") != "NOT_RUN")
-    # Not every lane assessed: no statement, rather than one over those that were.
-    return lanes(spark, sf_dir).join(fp, ["chrom", "caller"]).groupBy("caller").agg(complete.alias("complete"), F.when(complete, F.round((F.sum("n") - F.sum("fp")) / F.sum("n"), 9)).alias("specificity"))
+    return metrics.specificity(lanes(spark, sf_dir).join(fp, ["chrom", "caller"]), "caller")
 
 
 @query("reproducibility_pairs", f"""WITH {sql('calls')}, r AS (SELECT DISTINCT event_type AS grp, support_reads % 4 AS repeat, chrom || ':' || start_pos // 100000 AS item FROM fx_calls),
@@ -196,8 +194,7 @@ def reproducibility_pairs(spark, sf_dir):
 
 @query("cn_error", f"""WITH {sql('calls')} SELECT event_type, count(*) AS n, round(avg(abs(copy_number - 2)), 9) AS mae, round(avg(copy_number - 2), 9) AS bias FROM fx_calls GROUP BY 1""")
 def cn_error(spark, sf_dir):
-    e = F.col("copy_number") - 2
-    return fixture(spark, sf_dir, "calls").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(e)), 9).alias("mae"), F.round(F.avg(e), 9).alias("bias"))
+    return metrics.quantitative_error(fixture(spark, sf_dir, "calls"), "event_type", F.col("copy_number"), F.lit(2))
 
 
 @query("acceptance_decisions", f"""WITH {sql('calls')}, m AS (SELECT chrom, avg(vaf) AS value, count(*) FILTER (filter <> 'PASS') * 1.0 / count(*) AS no_call_rate FROM fx_calls WHERE chrom <> 'chr3' GROUP BY 1),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genostrata.functions import evidence as ev
+from genostrata.functions import labels
 from genostrata.functions.coords import contig_rank
 from genostrata.plans.registry import query
 from genostrata.sources.fixtures import fixture, sql
@@ -108,13 +109,9 @@ def key_findings(spark, sf_dir):
 SELECT CASE WHEN end_pos - start_pos < 500 THEN '<500' WHEN end_pos - start_pos < 1000 THEN '[500,1000)' WHEN end_pos - start_pos < 2000 THEN '[1000,2000)' ELSE '>=2000' END AS band,
        CASE WHEN event_type IN ('deletion', 'duplication') AND copy_number IS NOT NULL THEN 'cnv' ELSE 'sv' END AS class, count(*) AS n FROM fx_calls GROUP BY ALL""")
 def numeric_bands(spark, sf_dir):
-    edges = (500, 1000, 2000)
-    length = F.col("end_pos") - F.col("start_pos")
-    band = F.when(length < edges[0], f"<{edges[0]}")
-    for a, b in zip(edges, edges[1:], strict=False):
-        band = band.when(length < b, f"[{a},{b})")
-    kind = F.when(F.col("event_type").isin("deletion", "duplication") & F.col("copy_number").isNotNull(), "cnv").otherwise("sv")
-    return fixture(spark, sf_dir, "calls").groupBy(band.otherwise(f">={edges[-1]}").alias("band"), kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    size = labels.band(F.col("end_pos") - F.col("start_pos"), (500, 1000, 2000))
+    kind = labels.event_class(F.col("event_type"), F.col("copy_number"))
+    return fixture(spark, sf_dir, "calls").groupBy(size.alias("band"), kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("qc_gates", f"""WITH {sql('targets')}, m AS (SELECT chrom, avg(mean_depth) AS mean_depth, CAST(count(*) AS DOUBLE) AS targets, min(mean_depth) AS min_depth FROM fx_targets GROUP BY chrom),
@@ -124,10 +121,9 @@ j AS (SELECT c.chrom, g.metric, l.value IS NULL OR l.value < g.floor_ AS failed
 SELECT chrom, array_to_string(list_sort(list(metric) FILTER (failed)), ',') AS failed_gates, CASE WHEN bool_or(failed) THEN 'FAIL' ELSE 'PASS' END AS verdict FROM j GROUP BY chrom""")
 def qc_gates(spark, sf_dir):
     m = fixture(spark, sf_dir, "targets").groupBy("chrom").agg(F.avg("mean_depth").alias("mean_depth"), F.count(F.lit(1)).cast("double").alias("targets"), F.min("mean_depth").alias("min_depth"))
-    gates = {"mean_depth": 27.0, "targets": 80.0, "n50": 1000.0}
-    # A gate on a metric that was not measured fails: not measured is not passed.
-    failed = F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(F.col(k) < v, F.lit(True)) if k in m.columns else F.lit(True), k) for k, v in gates.items()])))
-    return m.select("chrom", F.array_join(failed, ",").alias("failed_gates"), F.when(F.size(failed) > 0, "FAIL").otherwise("PASS").alias("verdict"))
+    floors = {"mean_depth": 27.0, "targets": 80.0, "n50": 1000.0}
+    failed, verdict = labels.gates({c: F.col(c) for c in ("mean_depth", "targets", "min_depth")}, floors)
+    return m.select("chrom", failed.alias("failed_gates"), verdict.alias("verdict"))
 
 
 @query("gene_pair_labels", f"""WITH {sql('calls', 'targets')}, h AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from genostrata.functions import stats
+from genostrata.functions import labels, stats
 from genostrata.operators import methylation, mixture
 from genostrata.plans.registry import query
 from genostrata.sources.fixtures import fixture, sql
@@ -195,11 +195,8 @@ def binomial_min_reads(spark, sf_dir):
 @query("small_variant_policy", f"""WITH {sql('calls')}, {_ALLELES}, depths AS (SELECT DISTINCT n AS depth FROM al), {_MINREADS}
 SELECT event_id, CASE WHEN NOT neutral THEN 'not_pass' WHEN n < 30 THEN 'low_depth' WHEN k < 4 THEN 'few_variant_reads' WHEN min_reads > n THEN 'unresolvable_depth' WHEN k / n < min_reads / n THEN 'below_detection_floor' END AS reason FROM al JOIN mr ON depth = n""")
 def small_variant_policy(spark, sf_dir):
-    from genostrata.functions.evidence import first_reason
-
     a = alleles(spark, sf_dir)
     floor = stats.min_variant_reads(a.select(F.col("n").alias("depth")), 0.01, 0.01)
     rows = a.join(floor, a["n"] == floor["depth"])
-    k, n = F.col("k"), F.col("n")
-    reason = first_reason([("not_pass", ~F.col("neutral")), ("low_depth", n < 30), ("few_variant_reads", k < 4), ("unresolvable_depth", F.col("min_reads") > n), ("below_detection_floor", k < F.col("min_reads"))])
+    reason = labels.small_variant_reason(passed=F.col("neutral"), depth=F.col("n"), reads=F.col("k"), min_reads=F.col("min_reads"))
     return rows.select("event_id", reason.alias("reason"))

@@ -64,3 +64,16 @@ def test_states_from_intervals(spark):
     fails(tables.explicit_calls(df.union(df.where("read_id = 'a' AND mod_code = 'm'"))), "stands twice")
     fails(tables.explicit_calls(df.withColumn("mod_qual", F.lit(0.7))), "midpoint")
     fails(tables.explicit_calls(df.where("read_id = 'a'").withColumn("mod_qual", F.lit(mid(200)))), "exceed one")
+
+
+def test_labels(spark):
+    from genostrata.functions import labels
+
+    row = spark.range(1).select(
+        labels.pathology_label(F.array(F.struct(F.lit("AML").alias("name"), F.lit("A1").alias("id")), F.struct(F.lit("MDS").alias("name"), F.lit("M2").alias("id")))).alias("a"),
+        labels.pathology_label(F.array().cast("array<struct<name:string,id:string>>")).alias("b"),
+        labels.band(F.lit(None).cast("int"), (1, 2)).alias("c"), labels.band(F.lit(1), (1, 2)).alias("d"),
+        labels.gates({"x": F.lit(5.0)}, {"x": 4.0}, {"x": 6.0})[1].alias("e"), labels.gates({}, {"x": 4.0})[1].alias("f"), labels.gates({"x": F.lit(5.0)}, {"x": 4.0})[1].alias("g"),
+        labels.cellularity_tier(F.lit(None).cast("double"), 0.1, 0.2).alias("h"), labels.call_type(F.lit("hlamp")).alias("i"), labels.call_type(F.lit("NEUT")).alias("j"),
+    ).first()
+    assert tuple(row) == ("AML (A1); MDS (M2)", None, None, "[1,2)", "WARN", "FAIL", "PASS", None, "duplication", None)
