@@ -38,9 +38,9 @@ MIN_MARGIN = 0.003
 SHARPNESS = 0.5
 UNDETERMINED = "und"
 
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Numerals and marks that count as word characters but are no letters, such as fractions.
-_OTHER_NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_OTHER_NUMERALS}]+")
+_NO_LETTERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
 
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
@@ -48,6 +48,8 @@ RESULT = "lang_pred string, score double, margin double, rejected boolean"
 def normalise(text: str) -> bytes:
     """Lower-cased words of letters only, one space around each; empty without a letter."""
     words = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    if not words.isascii() and not _NO_LETTERS.isdisjoint(words):
+        words = " ".join("".join(" " if c in _NO_LETTERS else c for c in words).split())
     return f" {words} ".encode("utf-8", "surrogatepass") if words else b""
 
 
@@ -80,7 +82,7 @@ def fit_dictionaries(docs: DataFrame, text: str, lang: str, train: Column | None
     texts = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
     texts = texts.where(F.col("before") < READ_AHEAD * dictionary_bytes)
     by_lang: dict[str, bytes] = {}
-    for r in texts.select("lang", "h", "text").orderBy("lang", "h").toLocalIterator():
+    for r in texts.select("lang", "h", "text").repartitionByRange(8, "lang", "h").sortWithinPartitions("lang", "h").toLocalIterator():
         if len(had := by_lang.get(r["lang"], b"")) < dictionary_bytes:
             by_lang[r["lang"]] = (had + normalise(r["text"]))[:dictionary_bytes]
     most = min(dictionary_bytes, ALL_DICTIONARIES // max(1, len(by_lang)))
