@@ -63,11 +63,10 @@ def id_version_fallback(spark, sf_dir):
     return planning.matched_ids(full, other)
 
 
-@query("calibration_split", f"""WITH {sql('reads')}, k AS (SELECT source, count(DISTINCT read_name) AS n FROM fx_reads GROUP BY 1)
-SELECT source, n, CAST(greatest(1, least(n - 1, round_even(n * 0.25, 0))) AS BIGINT) AS n_reference FROM k""")
+@query("calibration_split", f"""WITH {sql('reads')}, k AS (SELECT source, read_name, row_number() OVER (PARTITION BY source ORDER BY md5('5|' || read_name), read_name) AS r, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, read_name FROM fx_reads))
+SELECT source, read_name, CASE WHEN r <= greatest(1, least(n - 1, round_even(n * 0.25, 0))) THEN 'reference' ELSE 'mixture' END AS part FROM k""")
 def calibration_split(spark, sf_dir):
-    parts = planning.split_by_hash(fixture(spark, sf_dir, "reads"), "read_name", "source", 0.25, 5)
-    return parts.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("part") == "reference").alias("n_reference"))
+    return planning.split_by_hash(fixture(spark, sf_dir, "reads"), "read_name", "source", 0.25, 5)
 
 
 @query("run_alerts", """WITH r AS (SELECT 'run' || c_custkey AS run, CASE c_nationkey % 3 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS verdict, CASE c_custkey % 4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'NO_CALL' ELSE 'COMPLETED' END AS status, c_custkey % 6 AS n_events FROM customer)
