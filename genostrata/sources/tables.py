@@ -223,15 +223,15 @@ def parameters(text: DataFrame) -> DataFrame:
 
 def selected_fit(fits: DataFrame) -> DataFrame:
     """The fit of rank 1 of ``fits(rank, purity, ploidy, ...)``; none or several of that rank fail."""
-    n = fits.agg(F.count_if(F.col("rank") == 1).alias("n"))
-    return checked(fits.join(F.broadcast(n), F.lit(True)), F.col("n") == 1, "not exactly one selected fit").where("rank = 1").drop("n")
+    n = checked(fits.agg(F.count_if(F.col("rank") == 1).alias("n")), F.col("n") == 1, "not exactly one selected fit")
+    return n.join(fits.where("rank = 1"), F.lit(True), "left").drop("n")
 
 
 def class_annotation(rows: DataFrame, n_units: int = 42) -> DataFrame:
     """``rows(unit, class, family, lineage)`` if units 1 to ``n_units`` stand exactly once each, else an error."""
     sums = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("d"), F.min("unit").alias("lo"), F.max("unit").alias("hi"))
     whole = (F.col("n") == n_units) & (F.col("d") == n_units) & (F.col("lo") == 1) & (F.col("hi") == n_units)
-    return checked(rows.join(F.broadcast(sums), F.lit(True)), whole, "units are not 1 to n once each").drop("n", "d", "lo", "hi")
+    return checked(sums, whole, "units are not 1 to n once each").select("n").join(rows, F.lit(True), "left").drop("n")
 
 
 def knowledge(text: DataFrame, *, reportable: bool = True) -> DataFrame:
