@@ -29,6 +29,8 @@ DICTIONARY_BYTES = 1 << 17
 ALL_DICTIONARIES = 1 << 26
 #: So many times the dictionary's bytes are read for it, as texts shrink to their letters.
 READ_AHEAD = 4
+#: Up to so many sampled (language, hash) rows are broadcast.
+MOST_BROADCAST = 100_000
 LEVEL = 6
 #: Bytes of normalised text compressed apart; a short last chunk goes with the one before.
 CHUNK_BYTES = 1 << 15
@@ -77,7 +79,13 @@ def fit_dictionaries(docs: DataFrame, text: str, lang: str, train: Column | None
     rows = rows.where((F.length("text") <= longest_sampled) & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     chosen = rows.groupBy("lang", F.pmod("h", F.lit(texts_per_language)).alias("range")).agg(F.min("h").alias("h"))
     # At most ``texts_per_language`` rows of a language are left, of which few reach the driver.
-    texts = rows.join(chosen.select("lang", "h"), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    keys = chosen.select("lang", "h").limit(MOST_BROADCAST + 1).collect()
+    if not keys:
+        return {}
+    small = chosen.select("lang", "h")
+    if len(keys) <= MOST_BROADCAST:  # narrow rows of a counted number; beyond it both sides are shuffled
+        small = F.broadcast(docs.sparkSession.createDataFrame([tuple(k) for k in keys], "lang string, h long"))
+    texts = rows.join(small, ["lang", "h"]).dropDuplicates(["lang", "h"])
     before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     texts = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
     texts = texts.where(F.col("before") < READ_AHEAD * dictionary_bytes)
