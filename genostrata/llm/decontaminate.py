@@ -259,13 +259,18 @@ def _one_to_one(pairs) -> F.Column:
     return (F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == n) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"]))) == n)
 
 
+def _function(pairs) -> F.Column:
+    """True if every value of the item is filled with one value of the document."""
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == F.size(pairs)
+
+
 def _half_kept(pairs) -> F.Column:
     """True if some value stays as it is in one place and goes, or comes, in another."""
     stay = F.transform(F.filter(pairs, lambda p: p["b"] == p["d"]), lambda p: p["b"])
     return F.exists(pairs, lambda p: (p["b"] != p["d"]) & (F.array_contains(stay, p["b"]) | F.array_contains(stay, p["d"])))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, min_coverage: float = MIN_COVERAGE, merged_values: bool = False) -> DataFrame:
     """One row for each document and benchmark item found in it.
 
     doc_id, text_hash (tells apart rows of one doc_id), item_id, n_windows (of the item
@@ -274,8 +279,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     cover at least ``min_coverage`` of the item. On an alignment whose slots are not one to
     one (two equal numbers of the item became different ones, or two different ones equal)
     at least CLASH_COVERAGE of the item's windows must be found, or, if a value stays in one
-    place and is changed in another, must be found with the item's own values. Items of fewer than LEAST_LITERALS literals
-    are reported where all their words stand in order with their own values, even if it is
+    place and is changed in another, must be found with the item's own values. With
+    ``merged_values`` the latter is not asked for where each value of the item is filled
+    with one value of the document: new values that happen to be equal, or equal to another
+    value of the item, then hide no copy. Items of fewer than LEAST_LITERALS literals are reported where all their words stand in order with their own values, even if it is
     one word. Null or empty texts match nothing. Repeated rows give one row. Texts are read
     whole; extra columns are not read.
     """
@@ -298,7 +305,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     same = F.when(F.col("item_slots") == F.col("slots"), F.col("item_pos"))
     pairs = F.array_distinct(F.flatten(F.collect_list(pair)))
     aligned = met.groupBy("doc_id", "text_hash", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.collect_set(same).alias("same"), pairs.alias("pairs"), F.max("need").alias("need"), F.max("total").alias("total"))
-    aligned = aligned.withColumn("clash", ~_one_to_one(F.col("pairs"))).withColumn("places", F.when(F.col("clash") & _half_kept(F.col("pairs")), F.col("same")).otherwise(F.col("places")))
+    own_only = ~_one_to_one(F.col("pairs")) & _half_kept(F.col("pairs"))
+    if merged_values:
+        own_only &= ~_function(F.col("pairs"))
+    aligned = aligned.withColumn("clash", ~_one_to_one(F.col("pairs"))).withColumn("places", F.when(own_only, F.col("same")).otherwise(F.col("places")))
     enough = ~F.col("clash") | (F.size("places") >= CLASH_COVERAGE * F.col("total"))
     aligned = aligned.where((F.size("places") >= F.col("need")) & enough).withColumn("other", F.size("same") < F.size("places"))
     per = aligned.groupBy("doc_id", "text_hash", "item_id", "item_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.bool_or("other").alias("reparameterised"), F.max("total").cast("long").alias("item_windows"))
@@ -308,7 +318,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def op1_template_decontamination(spark, sf_dir: str) -> DataFrame:
     """The documents that hold benchmark items, one row for each document and item."""
-    found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), merged_values=True)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("coverage").alias("coverage"), F.bool_or("reparameterised").alias("reparameterised"))
 
 
@@ -317,6 +327,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows go by id and text, so another text of the same id stays. Null and empty texts stay.
     """
-    bad = leaks(docs, read(spark, sf_dir, "benchmark")).select(F.struct("doc_id", "text_hash").alias("bad")).distinct()
+    bad = leaks(docs, read(spark, sf_dir, "benchmark"), merged_values=True).select(F.struct("doc_id", "text_hash").alias("bad")).distinct()
     mine = F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"))
     return docs.join(bad, mine.eqNullSafe(bad["bad"]), "left_anti")

@@ -6,9 +6,8 @@ among the first n - ceil(p n) + 1 of each. Lines of equal sets are one class. Cl
 posted under their prefix words; length, position and parity-bitmap filters, none of which
 loses a match, pick the classes that have a near neighbour; those few are joined and
 verified on their words. A line is removed if an earlier line, in (doc_id, line number)
-order, has the same set or one of Jaccard similarity at least p. Lines of few distinct words
-are compared by their sequence of words only, without near matches. Scripts written without
-blanks are cut into pairs of characters.
+order, has the same set or one of Jaccard similarity at least p, however few words it has.
+Scripts written without blanks are cut into pairs of characters.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from pyspark.sql import functions as F
 from genostrata.llm.common import Scratch, fresh, read
 
 PERCENT = 80
-#: Lines of fewer distinct words have no near matches: one word of four is no small change.
-MIN_TOKENS = 5
 #: Hash buckets of the rarity table; its size is the same for every corpus.
 BUCKETS = 1 << 20
 #: Earliest classes of each posting list that are tried first, one for each hash class.
@@ -86,11 +83,11 @@ def rarity_table(texts: DataFrame, text: str) -> Column:
     return every.agg(F.transform(pairs, lambda p: p["level"]).alias("levels")).scalar()
 
 
-def line_classes(docs: DataFrame, percent: int, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def line_classes(docs: DataFrame, percent: int) -> DataFrame:
     """(d, th, line_no, cls, n, bits, prefix) of every line.
 
-    docs(d long, text); th tells apart texts of one d. cls is a hash of the word set (of
-    the word sequence in lines of fewer than ``min_tokens`` distinct words), bits bitmap of its words, prefix its rarest words in order of rarity.
+    docs(d long, text); th tells apart texts of one d. cls is a hash of the word set, bits a
+    bitmap of its words, prefix its rarest words in order of rarity.
     """
     lines = _lines(docs, "d", F.xxhash64("text").alias("th"))
     # The table joins the projection after lines have become rows: no row carries a copy of it.
@@ -98,11 +95,10 @@ def line_classes(docs: DataFrame, percent: int, min_tokens: int = MIN_TOKENS) ->
     level = lambda w: F.get("levels", F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
     words = _words(F.col("line"), F.col("plain"))
     ordered = F.transform(words, lambda w: level(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24)))
-    sets = lines.select("d", "th", "line_no", "line", "plain", F.sort_array(F.array_distinct(ordered)).alias("s"))
+    sets = lines.select("d", "th", "line_no", F.sort_array(F.array_distinct(ordered)).alias("s"))
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.expr(f"cast(({percent}L * size(s) + 99) div 100 as int)") + 1)
-    cls = F.when(n >= min_tokens, F.xxhash64("s")).otherwise(F.xxhash64(F.lit("few"), words))
-    return sets.select("d", "th", "line_no", cls.alias("cls"), n.alias("n"), parity("s").alias("bits"), prefix.alias("prefix"))
+    return sets.select("d", "th", "line_no", F.xxhash64("s").alias("cls"), n.alias("n"), parity("s").alias("bits"), prefix.alias("prefix"))
 
 
 def small_enough(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
@@ -158,14 +154,19 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "y").join(b, "x").where(both * 100 >= (F.size("wx") + F.size("wy") - both) * percent).select("y", "x")
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, short_repeats: bool = False) -> DataFrame:
+def may_have_near(percent: int) -> Column:
+    """True if a set of n words can be similar to a different one, which then has n + 1 words or fewer."""
+    return F.col("n") * (100 - percent) >= percent
+
+
+def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = PERCENT) -> DataFrame:
     """(d, th, removed): the line numbers to remove from each text that loses any.
 
     docs(d long, text), without null texts. The result reads tables of ``scratch``.
     """
-    lines = scratch.table(line_classes(docs, percent, min_tokens)).where(F.col("n") >= (1 if short_repeats else min_tokens))
+    lines = scratch.table(line_classes(docs, percent)).where("n > 0")
     firsts = scratch.table(lines.groupBy("cls").agg(F.min(F.struct("d", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("times")))
-    near = scratch.table(near_posts(lines.where(F.col("n") >= min_tokens), percent))
+    near = scratch.table(near_posts(lines.where(may_have_near(percent)), percent))
     known = scratch.table(firsts.join(near.select("cls").distinct(), "cls"))
 
     # The words of the lines where a near class comes first, as 64-bit hashes, cut from the texts again.
@@ -200,21 +201,20 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = PERCENT,
     return gone.groupBy("d", "th").agg(F.collect_set("line_no").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, short_repeats: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, percent: int = PERCENT) -> DataFrame:
     """``docs`` with later matching lines taken out of ``text``, plus n_lines and n_removed.
 
     ``doc_id`` must be an integer column; a null comes before all ids. Words are lower-cased
     and split on white space other than the line feed, and scripts without blanks into pairs of
-    characters. Lines of fewer than ``min_tokens`` distinct words go with ``short_repeats``
-    where an earlier line has the same words in the same order, and stay without it; blank
-    lines stay. A null text stays null and an empty text empty, with n_lines 0
+    characters. Lines of any number of words are compared; lines without a word stay. A null
+    text stays null and an empty text empty, with n_lines 0
     and 1. Rows that repeat an id and a text are one document and lose the same lines; texts
     that share an id come in the order of a hash. Columns n_lines and n_removed of ``docs``
     are replaced, other columns pass through.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).where("text IS NOT NULL")
     with Scratch(docs.sparkSession) as scratch:
-        gone = scratch.table(removed_lines(base, scratch, percent=percent, min_tokens=min_tokens, short_repeats=short_repeats), keep=True)
+        gone = scratch.table(removed_lines(base, scratch, percent=percent), keep=True)
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     key, lines, n, d, th, removed = fresh(names, "key", "lines", "n", "d", "th", "removed")
     gone = gone.toDF(d, th, removed)
@@ -233,7 +233,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, text without later matches, n_lines, n_removed of every document."""
-    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), short_repeats=True)
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

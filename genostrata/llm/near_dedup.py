@@ -254,19 +254,29 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, percen
         return _components(docs, doc_id, text, width, percent, scratch)
 
 
+def candidate_texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(cls, hi, lo, text): the rows of ``docs`` that have the id and the text of a wanted class.
+
+    wanted(cls, id, th, hi, lo) has one row for each pair of id and text, so each row of
+    ``docs`` comes at most once, however many rows share an id or have none.
+    """
+    texts = docs.select(F.col(doc_id).alias("own"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).where("text IS NOT NULL")
+    same = (F.col("hash") == F.col("th")) & F.col("own").eqNullSafe(F.col("id"))
+    return texts.join(wanted, same).select("cls", "hi", "lo", "text")
+
+
 def _components(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, scratch: Scratch) -> DataFrame:
     rows = scratch.table(sketch(docs, doc_id, text, width).withColumn("rid", F.monotonically_increasing_id()), keep=True)
     filled = rows.where("n_shingles > 0")
     # Of a component the row of least doc_id stands for all; where ids are null, the least hash does.
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     classes = scratch.table(filled.groupBy("hi", "lo").agg(F.min("rid").alias("cls"), F.min(order).alias("least")))
-    reps = filled.join(classes.select(F.col("cls").alias("rid")), "rid").select(F.col("rid").alias("cls"), "doc_id", "hi", "lo", F.col("n_shingles").alias("n"), "sig")
+    reps = filled.join(classes.select(F.col("cls").alias("rid")), "rid").select(F.col("rid").alias("cls"), "doc_id", "th", "hi", "lo", F.col("n_shingles").alias("n"), "sig")
     reps = scratch.table(reps)
     posts = scratch.table(posting_lists(reps))
 
     # The full sets of the classes that have a candidate at all, cut from the texts again.
-    wanted = reps.join(posts.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("doc_id").alias("id"), "hi", "lo")
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    wanted = reps.join(posts.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("doc_id").alias("id"), "th", "hi", "lo")
 
     def make():
         def apply(texts):
@@ -276,8 +286,7 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int, percent: in
 
         return apply
 
-    known = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("cls", "hi", "lo", "text")
-    sets = add_text_columns(known, "text", make, "hi2 bigint, lo2 bigint, shingles binary").where("hi = hi2 AND lo = lo2")
+    sets = add_text_columns(candidate_texts(docs, doc_id, text, wanted), "text", make, "hi2 bigint, lo2 bigint, shingles binary").where("hi = hi2 AND lo = lo2")
     sets = scratch.table(sets.select("cls", "shingles").dropDuplicates(["cls"]))
 
     edges = scratch.table(confirmed(agreeing(hub_pairs(posts, percent), reps), sets, percent))

@@ -43,14 +43,14 @@ def components(docs, width, percent):
     return {i: root(i) for i in ids}
 
 
-def lines_removed(docs, percent=80, min_tokens=5):
+def lines_removed(docs, percent=80):
     """{doc_id: set of removed line numbers}: lines with an earlier equal or similar line."""
     earlier, out = [], {}
     for i, text in sorted(docs):
         out[i] = set()
         for k, line in enumerate(text.split("\n")):
             s = frozenset(w for w in _BLANK.split(line.lower()) if w)
-            if len(s) < min_tokens:
+            if not s:
                 continue
             if any(100 * len(s & e) >= percent * len(s | e) for e in earlier):
                 out[i].add(k)
