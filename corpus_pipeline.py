@@ -1,6 +1,7 @@
 """From documents to a training mixture: each stage works on what the one before it kept."""
 
 from genostrata.llm import decontaminate, lang_id, line_dedup, mixing, near_dedup
+from genostrata.llm.common import Scratch
 
 STAGES = [
     ("language_id", lang_id.stage),
@@ -14,8 +15,17 @@ ORACLE_SQL = None  # compression, MinHash and scheduling are beyond SQL; tests h
 
 
 def run(spark, sf_dir):
-    """The rows of the last stage over the documents in ``sf_dir``."""
+    """The rows of the last stage over the documents in ``sf_dir``.
+
+    Each stage's rows are written to the shared folder once, since a stage may read them
+    several times; they go when the next stage's are written, but for those that the last
+    stage's result still reads.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    with Scratch(spark) as before:
+        for at, (_, stage) in enumerate(first):
+            with Scratch(spark) as mine:
+                docs = mine.table(stage(spark, docs, sf_dir), keep=at == len(first) - 1)
+                before.paths, mine.paths = mine.paths, before.paths
+    return last(spark, docs, sf_dir)
