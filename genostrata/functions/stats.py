@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import log, log1p
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_DEPTH = 20
@@ -45,41 +45,67 @@ def copy_number_from_ratio(ratio: Column, fraction: Column) -> Column:
     return F.when(possible, (2 * ratio - 2 * (1 - fraction)) / fraction)
 
 
-def log_factorials(depths: DataFrame) -> DataFrame:
-    """(i, lf): lf = ln(i!) for i up to the greatest of ``depths(depth)``: as many rows as that depth."""
-    numbers = depths.agg(F.max("depth").alias("most")).select(F.explode(F.sequence(F.lit(0), F.greatest(F.col("most"), F.lit(0)))).alias("i"))
-    upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return numbers.select("i", F.sum(F.ln(F.greatest("i", F.lit(1)).cast("double"))).over(upto).alias("lf"))
-
+def min_variant_reads(depths: DataFrame, error: float, alpha: float) -> DataFrame:
+    """(depth, min_reads): the least k >= 1 with P(X >= k) <= alpha; depth + 1 if there is none.
 
-def binomial_upper_tails(depths: DataFrame, error: float) -> DataFrame:
-    """(depth, k, tail): P(X >= k) of ``depth`` trials, summed once from the top of each distinct depth."""
+    ``depths(depth int)``; worked out once for each distinct depth, in one walk down from
+    the top: each chance follows from the one above it, as a logarithm.
+    """
     distinct = depths.select("depth").where("depth > 0").distinct()
-    lf = log_factorials(distinct).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lf"))), lambda x: x["lf"]).alias("lf")).scalar()
-    rows = distinct.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("depth")))).withColumn("table", lf)
-    of = lambda i: F.get("table", i)
-    chance = F.exp(of(F.col("depth")) - of(F.col("k")) - of(F.col("depth") - F.col("k")) + F.col("k") * log(error) + (F.col("depth") - F.col("k")) * log1p(-error))
-    above = Window.partitionBy("depth").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("depth", "k", chance.alias("p")).select("depth", "k", F.sum("p").over(above).alias("tail"))
+    n = F.col("depth")
+    odds = log1p(-error) - log(error)
 
+    def down(state: Column, k: Column) -> Column:
+        tail = state["tail"] + F.exp(state["log_chance"])
+        least = F.when(tail <= alpha, k).otherwise(state["least"])
+        return F.struct((state["log_chance"] + F.ln(k / (n - k + 1)) + odds).alias("log_chance"), tail.alias("tail"), least.alias("least"))
 
-def min_variant_reads(depths: DataFrame, error: float, alpha: float) -> DataFrame:
-    """(depth, min_reads): the least k >= 1 with P(X >= k) <= alpha; depth + 1 if there is none.
+    begin = F.struct((n * log(error)).alias("log_chance"), F.lit(0.0).alias("tail"), (n + 1).alias("least"))
+    return distinct.select("depth", F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), begin, down)["least"].alias("min_reads"))
 
-    ``depths(depth int)``; worked out once for each distinct depth.
-    """
-    tails = binomial_upper_tails(depths, error).where("k > 0")
-    return tails.groupBy("depth").agg(F.coalesce(F.min(F.when(F.col("tail") <= alpha, F.col("k"))), F.col("depth") + 1).alias("min_reads"))
 
+def _chance_of_fewer(reads: Column, log_ways: Column, depth: Column, fraction: Column) -> Column:
+    """P(X < reads) of ``depth`` trials: the chance of reads - 1, and down from it by ratios."""
+    top = log_ways + (reads - 1) * F.ln(fraction) + (depth - reads + 1) * F.log1p(-fraction)
+    odds = (1 - fraction) / fraction
+
+    def down(state: Column, k: Column) -> Column:
+        chance = state["chance"] * k / (depth - k + 1) * odds
+        return F.struct(chance.alias("chance"), (state["total"] + chance).alias("total"))
 
-def min_detectable(reads: DataFrame) -> DataFrame:
-    """``reads(depth, min_reads)`` with the least fraction of reads and cancer-cell fraction they can show.
+    begin = F.struct(F.exp(top).alias("chance"), F.exp(top).alias("total"))
+    steps = F.when(reads > 1, F.sequence(reads - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, begin, down)["total"]
 
-    min_vaf is min_reads / depth, null if no count will do; min_ccf, of a clonal heterozygous
-    variant, is twice that, at most 1.
+
+#: Halvings of the search for a fraction.
+HALVINGS = 60
+
+
+def min_detectable(reads: DataFrame, *, power: float = 0.95) -> DataFrame:
+    """``reads(depth, min_reads)`` with min_vaf: the least fraction that gives so many reads with ``power``.
+
+    Null if the depth has no such count. Searched by halving, once for each distinct depth.
     """
-    vaf = F.when(F.col("min_reads") <= F.col("depth"), F.try_divide(F.col("min_reads"), F.col("depth")))
-    return reads.withColumn("min_vaf", vaf).withColumn("min_ccf", F.when(2 * vaf <= 1, 2 * vaf))
+    distinct = reads.select("depth", "min_reads").distinct()
+    n, k = F.col("depth"), F.col("min_reads")
+    ways = F.aggregate(F.when(k > 1, F.sequence(F.lit(1), k - 1)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.ln((n - i + 1) / i))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = (state["low"] + state["high"]) / 2
+        enough = _chance_of_fewer(k, F.col("ways"), n, middle) <= 1 - power
+        return F.struct(F.when(enough, state["low"]).otherwise(middle).alias("low"), F.when(enough, middle).otherwise(state["high"]).alias("high"))
+
+    begin = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), begin, halve)["high"]
+    solved = distinct.where("min_reads <= depth").withColumn("ways", ways).select("depth", "min_reads", found.alias("min_vaf"))
+    return reads.join(solved, ["depth", "min_reads"], "left")
+
+
+def detectable_clone(min_vaf: Column, tumour_fraction: Column) -> Column:
+    """The least cancer cell fraction that reaches ``min_vaf``; null if not even a clonal variant does."""
+    share = F.when((tumour_fraction > 0) & (tumour_fraction <= 1), 2 * min_vaf / tumour_fraction)
+    return F.when(share <= 1, share)
 
 
 def jeffreys_variance(k: Column, n: Column) -> Column:

@@ -147,10 +147,17 @@ def effective_dependencies(spark, sf_dir):
     return planning.effective_edges(nodes, edges)
 
 
-@query("detectable_fractions", f"""WITH {sql('calls')}, depths AS (SELECT DISTINCT support_reads AS depth FROM fx_calls), {_MINREADS},
-v AS (SELECT depth, CASE WHEN min_reads <= depth THEN min_reads / depth END AS v FROM mr)
-SELECT depth, round(v, 9) AS min_vaf, round(CASE WHEN 2 * v <= 1 THEN 2 * v END, 9) AS min_ccf FROM v""")
+# P(X < k) of n trials at fraction p, the chance that a search by halving holds against 1 - power.
+_FEWER = "list_sum(list_transform(range(0, min_reads), lambda i: exp(lgamma(depth + 1) - lgamma(i + 1) - lgamma(depth - i + 1) + i * ln(p) + (depth - i) * ln(1 - p))))"
+_HALVED = f"""list_reduce([x::DOUBLE FOR x IN range(60)], lambda s, x: list_transform([s.low + s.high], lambda q: list_transform([q / 2], lambda p: CASE WHEN {_FEWER} <= 1 - 0.95 THEN {{'low': s.low, 'high': p}} ELSE {{'low': p, 'high': s.high}} END)[1])[1], {{'low': 0.0::DOUBLE, 'high': 1.0::DOUBLE}}).high"""
+_HALVED = _HALVED.replace("[x::DOUBLE FOR x IN range(60)]", "[{'low': x::DOUBLE, 'high': 0.0::DOUBLE} FOR x IN range(60)]")
+
+
+@query("detectable_fractions", f"""WITH {sql('calls')}, rows AS (SELECT DISTINCT support_reads * 3 + 7 AS depth, vaf * 10 AS fraction FROM fx_calls), depths AS (SELECT DISTINCT depth FROM rows), {_MINREADS},
+v AS (SELECT depth, min_reads, CASE WHEN min_reads <= depth THEN {_HALVED} END AS v FROM mr)
+SELECT depth, round(fraction, 6) AS fraction, CAST(min_reads AS INT) AS min_reads, round(v, 9) AS min_vaf, round(CASE WHEN fraction > 0 AND fraction <= 1 AND 2 * v / fraction <= 1 THEN 2 * v / fraction END, 9) AS min_ccf FROM rows JOIN v USING (depth)""")
 def detectable_fractions(spark, sf_dir):
-    depths = fixture(spark, sf_dir, "calls").select(F.col("support_reads").alias("depth"))
-    got = stats.min_detectable(stats.min_variant_reads(depths, 0.01, 0.01))
-    return got.select("depth", F.round("min_vaf", 9).alias("min_vaf"), F.round("min_ccf", 9).alias("min_ccf"))
+    rows = fixture(spark, sf_dir, "calls").select((F.col("support_reads") * 3 + 7).alias("depth"), (F.col("vaf") * 10).alias("fraction")).distinct()
+    got = rows.join(stats.min_detectable(stats.min_variant_reads(rows, 0.01, 0.01)), "depth")
+    clone = stats.detectable_clone(F.col("min_vaf"), F.col("fraction"))
+    return got.select("depth", F.round("fraction", 6).alias("fraction"), "min_reads", F.round("min_vaf", 9).alias("min_vaf"), F.round(clone, 9).alias("min_ccf"))
