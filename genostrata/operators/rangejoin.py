@@ -3,9 +3,9 @@
 A join on overlap alone is a cartesian product, and one on the contig leaves the overlap as
 a residual condition over whole contigs. Here each interval is posted under the bins it
 touches, so that candidates are those within a bin; a pair is taken from the bin in which
-the later of the two starts lies, so none comes twice and no distinct is needed. The bins of
-the longer side are as many as its length asks for; very long intervals go through a
-coarser bin, chosen by their own length, so no interval is posted under many bins.
+the later of the two starts lies, so none comes twice and no distinct is needed. Intervals
+of either side have a level by their own length, at which they touch a bounded number of
+bins; a pair meets at the coarser one of its two levels, where both touch few.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ BIN = 20_000
 LEVELS, FACTOR = 4, 32
 
 
-def _level(length: Column, width: int) -> Column:
+def interval_level(length: Column, width: int = BIN) -> Column:
     """The finest level at which an interval touches at most FACTOR + 1 bins."""
     level = F.lit(LEVELS - 1)
     for i in reversed(range(LEVELS - 1)):
@@ -39,19 +39,25 @@ def overlap_join(left: DataFrame, right: DataFrame, *, width: int = BIN, how: st
         keyed = left.withColumn("__rid", F.struct(*left.columns))
         hit = overlap_join(left, right, width=width).select(F.struct(*left.columns).alias("__hit")).distinct()
         return keyed.join(hit, F.col("__rid").eqNullSafe(F.col("__hit")), how).drop("__rid")
-    sized = right.withColumn("__level", _level(F.col("r_end") - F.col("r_start"), width))
-    r = sized.where("r_start < r_end").withColumn("__w", F.lit(width) * F.pow(F.lit(FACTOR), F.col("__level")).cast("long"))
-    r = r.withColumn("__bin", F.explode(F.sequence(F.expr("r_start div __w"), F.expr("(r_end - 1) div __w"))))
-    # Only levels that the right side has: as a rule one, so left rows are not copied for the others.
-    present = sized.where("r_start < r_end").agg(F.array_sort(F.collect_set("__level")).alias("levels")).scalar()
-    wide = lambda i: F.struct(i.alias("level"), (F.lit(width) * F.pow(F.lit(FACTOR), i)).cast("long").alias("w"))
-    l = left.where("l_start < l_end").withColumn("__levels", present)  # noqa: E741
-    l = l.withColumn("__l", F.explode(F.transform("__levels", wide))).drop("__levels")  # noqa: E741
-    l = l.withColumn("__bin", F.explode(F.sequence(F.expr("l_start div __l.w"), F.expr("(l_end - 1) div __l.w"))))  # noqa: E741
-    on = (F.col("l_chrom") == F.col("r_chrom")) & (F.col("__l.level") == F.col("__level")) & (l["__bin"] == r["__bin"])
+    l, r = (  # noqa: E741
+        side.where(f"{c}_start < {c}_end").withColumn("__own", interval_level(F.col(f"{c}_end") - F.col(f"{c}_start"), width))
+        for side, c in ((left, "l"), (right, "r"))
+    )
+    # Only levels that the other side has: as a rule one, so rows are not copied for the others.
+    present = lambda side: side.agg(F.array_sort(F.collect_set("__own")).alias("levels")).scalar()
+    l, r = _posted(l, "l", present(r), width), _posted(r, "r", present(l), width)  # noqa: E741
+    # Each pair of own levels meets at the greater one, and only there.
+    on = (F.col("l_chrom") == F.col("r_chrom")) & (l["__at"] == r["__at"]) & (l["__bin"] == r["__bin"]) & (l["__at"] == F.greatest(l["__own"], r["__own"]))
     met = l.join(r, on).where((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")))
-    once = met.where(F.greatest("l_start", "r_start") >= l["__bin"] * F.col("__w")).where(F.greatest("l_start", "r_start") < (l["__bin"] + 1) * F.col("__w"))
-    return once.select(*left.columns, *right.columns)
+    later = F.greatest("l_start", "r_start")
+    return met.where((later >= l["__bin"] * l["__w"]) & (later < (l["__bin"] + 1) * l["__w"])).select(*left.columns, *right.columns)
+
+
+def _posted(rows: DataFrame, side: str, others: Column, width: int) -> DataFrame:
+    """``rows`` under their bins at their own level and at each coarser one that the other side has."""
+    coarser = F.array_distinct(F.transform("__others", lambda i: F.greatest(i, F.col("__own"))))
+    at = rows.withColumn("__others", others).withColumn("__at", F.explode(coarser)).withColumn("__w", (F.lit(width) * F.pow(F.lit(FACTOR), F.col("__at"))).cast("long"))
+    return at.withColumn("__bin", F.explode(F.sequence(F.expr(f"{side}_start div __w"), F.expr(f"({side}_end - 1) div __w"))))
 
 
 def point_join(points: DataFrame, intervals: DataFrame, *, width: int = BIN) -> DataFrame:
