@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from genostrata.functions import stats
-from genostrata.operators import metrics, planning
+from genostrata.operators import earlyexit, metrics, planning
 from genostrata.plans.methylation import _MINREADS
 from genostrata.plans.registry import query
 from genostrata.sources.fixtures import fixture, sql
@@ -161,3 +161,27 @@ def detectable_fractions(spark, sf_dir):
     got = rows.join(stats.min_detectable(stats.min_variant_reads(rows, 0.01, 0.01)), "depth")
     clone = stats.detectable_clone(F.col("min_vaf"), F.col("fraction"))
     return got.select("depth", F.round("fraction", 6).alias("fraction"), "min_reads", F.round("min_vaf", 9).alias("min_vaf"), F.round(clone, 9).alias("min_ccf"))
+
+
+# What a row shows: a hit at every 997th of one kind, a few that are broken, some that are odd.
+_SHOWN = "CASE WHEN event_id % 997 = 613 AND value >= {cut} THEN 'detected' WHEN event_id % 401 = 17 THEN 'invalid' WHEN event_id % 50 = 3 THEN 'unsupported' ELSE 'nothing' END"
+_SCANS = {"early": (0, None), "budget": (0, 300), "late": (95, None), "none": (1000, None), "small": (1000, 40)}
+
+
+def _scan_sql(name: str, cut: int, most: int | None) -> str:
+    limit = "" if most is None else f" LIMIT {most}"
+    return f"""SELECT '{name}' AS scan, coalesce(hit.s, CASE WHEN bool_or(r.s = 'invalid') THEN 'invalid' ELSE coalesce(min_by(r.s, r.event_id) FILTER (r.s <> 'nothing'), CASE WHEN n.n < {most or 10**18} THEN 'nothing' ELSE 'sample_incomplete' END) END) AS reason,
+  count(*) AS checked, hit.event_id IS NULL AND any_value(n.n) < {most or 10**18} AS complete, hit.event_id AS confirmed
+FROM (SELECT event_id, {_SHOWN.format(cut=cut)} AS s FROM events ORDER BY event_id{limit}) r, (SELECT count(*) AS n FROM events) n,
+  (SELECT min(event_id) AS event_id, CASE WHEN count(*) > 0 THEN 'detected' END AS s FROM (SELECT event_id, {_SHOWN.format(cut=cut)} AS s FROM events ORDER BY event_id{limit}) WHERE s = 'detected') hit
+WHERE hit.event_id IS NULL OR r.event_id <= hit.event_id GROUP BY hit.s, hit.event_id, n.n"""
+
+
+@query("early_exit_scans", "\nUNION ALL ".join(_scan_sql(k, *v) for k, v in _SCANS.items()))
+def early_exit_scans(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    out = None
+    for name, (cut, most) in _SCANS.items():
+        got = earlyexit.bounded_scan(events, "event_id", F.expr(_SHOWN.format(cut=cut)), most=most, first=256).withColumn("scan", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out

@@ -61,8 +61,15 @@ def retained(events: DataFrame, key: str, at: str, ttl_seconds: int) -> DataFram
 
 
 def run_available(spark: SparkSession, source: str, schema: str, transform, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what lies in folder ``source`` now, exactly once over calls with one checkpoint."""
-    stream = transform(spark.readStream.schema(schema).parquet(source))
+    """Process what lies in folder ``source`` now, exactly once over calls with one checkpoint.
+
+    ``source`` may also be a single file.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(source)
+    reader = spark.readStream.schema(schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        reader, source = reader.option("pathGlobFilter", place.getName()), str(place.getParent())
+    stream = transform(reader.parquet(source))
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
