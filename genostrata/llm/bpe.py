@@ -37,7 +37,7 @@ NEWER = (
     "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
 #: Words whose ids a task remembers, and the longest such word in characters.
-MOST_WORDS, LONGEST_WORD = 800_000, 64
+MOST_WORDS, LONGEST_WORD = 500_000, 64
 #: Characters that are cut into words at a time; a text is parted only between a word and blanks.
 PIECE = 1 << 20
 
