@@ -68,7 +68,9 @@ def class_rollup(scores: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     sums = scores.groupingSets([["class"], ["family"], ["lineage"]], "class", "family", "lineage").agg(F.grouping_id().alias("g"), F.sum("score").alias("score"))
-    level = F.when(F.col("class").isNotNull(), "class").when(F.col("family").isNotNull(), "family").otherwise("lineage")
-    rows = sums.select(level.alias("level"), F.coalesce("class", "family", "lineage").alias("label"), F.round("score", 9).alias("score"))
+    # The grouping says which level a row is of; a null class is a label like any other.
+    by_level = lambda *of: F.when(F.col("g") == 0b011, of[0]).when(F.col("g") == 0b101, of[1]).otherwise(of[2])
+    level, label = by_level("class", "family", "lineage"), by_level(*map(F.col, ("class", "family", "lineage")))
+    rows = sums.select(level.alias("level"), label.alias("label"), F.round("score", 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("level").orderBy(F.desc("score"), "label"))
     return rows.withColumn("rank", rank.cast("long")).withColumn("call", F.when((F.col("rank") == 1) & (F.col("score") >= 0.8), "HIGH_CONFIDENCE").when(F.col("rank") == 1, "TOP"))

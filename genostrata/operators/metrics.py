@@ -86,21 +86,25 @@ def phase_tally(reads: DataFrame) -> DataFrame:
     return reads.groupBy("region").agg(F.count_if(F.col("hp") == 1).alias("h1"), F.count_if(F.col("hp") == 2).alias("h2"), F.count_if(F.col("hp").isNull()).alias("unphased"), F.count_distinct("ps").alias("phase_sets"))
 
 
+#: Levels of a sample up to which their table is broadcast.
+MOST_LEVELS = 10_000
+
+
 def sampled(rows: DataFrame, key: str, levels: DataFrame, seed: int) -> DataFrame:
-    """(level, key): for each of ``levels(level, n)`` that many of the keys, without replacement, by order of a seeded hash.
+    """(level, key): for each of ``levels(level, n)`` that many of the keys, without replacement.
 
-    A level asks for at most as many keys as there are; more is an error. A pass over the
-    hashes finds the ranges in which a level's last key lies, so only those are ordered.
+    Keys are drawn in order of the MD5 of ``seed|level|key``; a level that asks for more keys
+    than there are gets all. Counts of the 4096 ranges of the first three digits tell where a
+    level's last key lies, so only keys up to that range are ordered, range by range.
     """
-    parts = 1 << 12
-    h = F.xxhash64(F.lit(seed), F.col("level"), F.col(key))
-    keyed = rows.select(key).distinct().join(F.broadcast(levels), F.lit(True)).withColumn("h", h).withColumn("range", F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 52))
+    wide = F.broadcast(levels) if levels.count() <= MOST_LEVELS else levels
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("level"), F.col(key).cast("string")))
+    keyed = rows.select(key).distinct().join(wide, F.lit(True)).withColumn("h", h).withColumn("range", F.substring("h", 1, 3))
     counts = keyed.groupBy("level", "n", "range").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy("level").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).where("before < n").select("level", "range", "before")
     order = Window.partitionBy("level", "range").orderBy("h", key)
     ranked = keyed.join(counts, ["level", "range"]).withColumn("rank", F.row_number().over(order) + F.col("before"))
-    assert parts == 4096  # 52 bits less of 64 leave so many ranges
     return ranked.where("rank <= n").select("level", key)
 
 

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genostrata.operators.running import with_running
+
+
+#: Bins of a contig that one task orders.
+BINS = 10_000
+
 
 def collapse(bins: DataFrame) -> DataFrame:
     """Runs of neighbouring bins of equal call and copy number (to six digits).
 
-    ``bins(chrom, bin, start_pos, end_pos, call, copy_number)``.
+    ``bins(chrom, bin, start_pos, end_pos, call, copy_number)``. A run is named by its first
+    bin, which is carried along pieces of a contig.
     """
-    order = Window.partitionBy("chrom").orderBy("bin")
     key = F.struct(F.coalesce("call", F.lit(0.0)).alias("c"), F.bround("copy_number", 6).alias("n"))
-    edge = F.coalesce((key != F.lag(key).over(order)).cast("int"), F.lit(1))
-    runs = bins.withColumn("edge", edge).withColumn("run", F.sum("edge").over(order))
+    keyed = with_running(bins.withColumn("key", key), ["chrom"], "bin", ["bin"], "key", "before", "last", span=BINS)
+    edge = keyed.withColumn("edge", F.when(F.col("before").isNull() | (F.col("before") != F.col("key")), F.col("bin")))
+    runs = with_running(edge, ["chrom"], "bin", ["bin"], "edge", "since", "last", span=BINS).withColumn("run", F.coalesce("edge", "since"))
     out = runs.groupBy("chrom", "run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("bin_count"), F.median("copy_number").alias("copy_number"), F.median(F.coalesce("call", F.lit(0.0))).alias("call"))
     return out.drop("run")
 
@@ -60,9 +67,12 @@ def iscn_fragment(kind: Column, chrom: Column, copy_number: Column, band_start:
 
 
 def dispositions(fragments: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with disposition RENDERED, DUPLICATE (a later equal fragment) or OMITTED (no fragment)."""
-    # Rows without a fragment, often most of them, are not ranked: they would share one task.
-    some, none = fragments.where("fragment IS NOT NULL"), fragments.where("fragment IS NULL")
-    rank = F.row_number().over(Window.partitionBy("fragment").orderBy(*order))
-    ranked = some.withColumn("disposition", F.when(rank == 1, "RENDERED").otherwise("DUPLICATE"))
-    return ranked.unionByName(none.withColumn("disposition", F.lit("OMITTED")))
+    """Rows with disposition RENDERED, DUPLICATE (a later equal fragment) or OMITTED (no fragment).
+
+    ``order`` tells rows apart. Only the first row of a fragment is looked for, so however
+    many rows share one, none is ranked and no task holds them all.
+    """
+    firsts = fragments.where("fragment IS NOT NULL").groupBy(F.col("fragment").alias("of")).agg(F.min(F.struct(*order)).alias("first"))
+    rows = fragments.join(firsts, F.col("fragment") == F.col("of"), "left")
+    state = F.when(F.col("fragment").isNull(), "OMITTED").when(F.struct(*order).eqNullSafe(F.col("first")), "RENDERED").otherwise("DUPLICATE")
+    return rows.withColumn("disposition", state).drop("of", "first")

@@ -72,14 +72,19 @@ def foreign_sidecars(sidecars: DataFrame, expected: DataFrame) -> DataFrame:
     return together(broken(rows, "artifact", {"foreign_sample": F.col("s").isNotNull(), "foreign_build": F.col("s").isNull() | (F.col("build") == F.col("b"))}), clash)
 
 
-def panel_lock(targets: DataFrame, *, n: int, n_labels: int, digest: str, role: str, declared: str) -> DataFrame:
-    """A panel of (chrom, start_pos, end_pos, label) against its lock; one row a broken rule.
+def panel_facts(targets: DataFrame) -> DataFrame:
+    """One row (n, n_labels, digest) of a panel (chrom, start_pos, end_pos, label): what its lock holds.
 
     The digest is the sum of 48-bit heads of SHA-256 row hashes, so order does not matter.
     """
     h = F.conv(F.substring(F.sha2(F.concat_ws("\t", "chrom", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), "label"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
-    got = targets.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
-    return broken(got, F.lit("panel"), {"row_count": F.col("n") == n, "label_count": F.col("labels") == n_labels, "content": F.col("digest") == digest, "role": F.lit(role == declared)})
+    return targets.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("n_labels"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
+
+
+def panel_lock(targets: DataFrame, *, n: int, n_labels: int, digest: str, role: str, declared: str, name: str = "panel") -> DataFrame:
+    """A panel of (chrom, start_pos, end_pos, label) against its lock; one row a broken rule, none if it holds."""
+    got = panel_facts(targets)
+    return broken(got, F.lit(name), {"row_count": F.col("n") == n, "label_count": F.col("n_labels") == n_labels, "content": F.col("digest") == digest, "role": F.lit(role == declared)})
 
 
 def region_counts(regions: DataFrame, key: str) -> DataFrame:

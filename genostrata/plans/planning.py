@@ -10,12 +10,13 @@ from genostrata.sources import sinks
 from genostrata.sources.fixtures import fixture, sql, table
 
 
-@query("dilution_plan", """WITH f AS (SELECT * FROM (VALUES (0, 1.0), (1, 0.5), (2, 0.2), (3, 0.1), (4, 0.05), (5, 0.025), (6, 0.0)) v(i, fraction)),
+@query("dilution_plan", """WITH d AS (SELECT DISTINCT CAST(l_discount * 10 AS DOUBLE) AS x FROM lineitem), f AS (SELECT row_number() OVER (ORDER BY fraction DESC) - 1 AS i, fraction FROM (SELECT round(x, 1) AS fraction FROM d UNION SELECT 0.0::DOUBLE)),
 t AS (SELECT CAST(min(least(CASE WHEN fraction > 0 THEN floor(100000 / fraction) ELSE 1e18 END, CASE WHEN fraction < 1 THEN floor(900000 / (1 - fraction)) ELSE 1e18 END)) AS BIGINT) AS total FROM f)
-SELECT 'tf' || lpad(CAST(CAST(round_even(fraction * 10000, 0) AS INT) AS VARCHAR), 5, '0') || '_r' || r AS level_id, CAST(fraction AS DOUBLE) AS fraction, CAST(r AS INT) AS replicate, total, CAST(round_even(total * fraction, 0) AS BIGINT) AS tumour_reads,
+SELECT 'tf' || lpad(CAST(CAST(round_even(fraction * 10000, 0) AS INT) AS VARCHAR), 5, '0') || '_r' || r AS level_id, fraction, CAST(r AS INT) AS replicate, total, CAST(round_even(total * fraction, 0) AS BIGINT) AS tumour_reads,
        total - CAST(round_even(total * fraction, 0) AS BIGINT) AS normal_reads, CAST(7 + i * 6 + (r - 1) * 2 AS BIGINT) AS tumour_seed, CAST(8 + i * 6 + (r - 1) * 2 AS BIGINT) AS normal_seed FROM f, t, range(1, 4) x(r)""")
 def dilution_plan(spark, sf_dir):
-    return planning.dilution_grid(spark, [1.0, 0.5, 0.2, 0.1, 0.05, 0.025], 3, 100_000, 900_000, 7)
+    fractions = table(spark, sf_dir, "lineitem").select(F.round(F.col("l_discount") * 10, 1).alias("fraction")).distinct()
+    return planning.dilution_grid(fractions, 3, 100_000, 900_000, 7)
 
 
 _CAT = "cat AS (SELECT * FROM (VALUES ('long', ['wgs', 'adaptive'], ['bam', 'reference']), ('pair', ['wgs'], ['bam', 'normal_bam', 'reference'])) v(mode, regimes, required))"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from genostrata.operators import coverage, validators
 from genostrata.plans.registry import query
-from genostrata.sources.fixtures import fixture, sql
+from genostrata.sources.fixtures import fixture, sql, table
 
 _TARGETS = f"WITH {sql('targets')}, t AS (SELECT *, end_pos - start_pos AS len FROM fx_targets)"
 
@@ -49,11 +49,25 @@ def check_sidecars(spark, sf_dir):
     return validators.foreign_sidecars(one.unionByName(again), expected)
 
 
-@query("check_panel_lock", f"""WITH {sql('targets')} SELECT 'panel' AS key, r AS rule FROM (VALUES ('row_count'), ('content'), ('role')) v(r)""")
+# The lock of the panel as it is, of one with a target more, and of one whose targets lie elsewhere: the first one holds.
+_HEAD = "CAST(('0x' || substr(sha256(chrom || chr(9) || start_pos || chr(9) || {end} || chr(9) || label), 1, 12)) AS BIGINT)"
+
+
+@query("check_panel_lock", f"""WITH {sql('targets')}, t AS (SELECT * FROM fx_targets), own AS (SELECT count(*) AS n, sum({_HEAD.format(end='end_pos')}) AS d FROM t),
+moved AS (SELECT sum({_HEAD.format(end="(end_pos + CASE WHEN target_id % 50 = 7 THEN 1 ELSE 0 END)")}) AS d FROM t)
+SELECT 'exact' AS key, 'never' AS rule FROM own WHERE n < 0
+UNION ALL SELECT 'longer', 'row_count' FROM own WHERE n > 0 UNION ALL SELECT 'longer', 'role'
+UNION ALL SELECT 'moved', 'content' FROM own, moved WHERE own.d <> moved.d""")
 def check_panel_lock(spark, sf_dir):
     t = fixture(spark, sf_dir, "targets")
-    labels = t.agg(F.count_distinct("label").alias("n")).first()["n"]
-    return validators.panel_lock(t, n=-1, n_labels=labels, digest="0", role="buffered", declared="selection")
+    lock = validators.panel_facts(t).first().asDict()
+    moved = t.withColumn("end_pos", F.col("end_pos") + F.when(F.col("target_id") % 50 == 7, 1).otherwise(0))
+    cases = {"exact": (t, lock, "selection"), "longer": (t, lock | {"n": lock["n"] + 1}, "buffered"), "moved": (moved, lock, "selection")}
+    out = None
+    for name, (panel, facts, role) in cases.items():
+        got = validators.panel_lock(panel, **facts, role=role, declared="selection", name=name)
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("check_regions", f"""WITH {sql('sites')}, s AS (SELECT site_id, valid_coverage AS valid, least(modified_calls, valid_coverage) AS m, site_id % 53 = 0 AS p, site_id % 59 = 0 AS q, site_id % 61 = 0 AS r FROM fx_sites)
@@ -95,10 +109,16 @@ def check_levels(spark, sf_dir):
     return validators.registered_levels(levels.where(F.col("seed") <= top), grid, "level")
 
 
-@query("check_grid", """SELECT key, rule FROM (VALUES ('a', 'fraction_out_of_range'), ('d', 'budget_cannot_show_fraction'), ('0.5', 'fraction_repeated'), ('grid', 'no_zero'), ('grid', 'no_one')) v(key, rule)""")
+@query("check_grid", """WITH g AS (SELECT 'L' || p_partkey AS level, (p_size - 3) / 46.0::DOUBLE AS fraction, CASE WHEN p_partkey % 3 = 0 THEN 46 * p_partkey ELSE 46 * p_partkey + 1 END AS total FROM part)
+SELECT level AS key, 'fraction_out_of_range' AS rule FROM g WHERE fraction < 0 OR fraction > 1
+UNION ALL SELECT level, 'budget_cannot_show_fraction' FROM g WHERE abs(total * fraction - round(total * fraction)) >= 1e-6
+UNION ALL SELECT CAST(fraction AS VARCHAR), 'fraction_repeated' FROM g GROUP BY fraction HAVING count(*) > 1
+UNION ALL SELECT 'grid', 'no_zero' FROM g HAVING min(fraction) <> 0 UNION ALL SELECT 'grid', 'no_one' FROM g HAVING max(fraction) <> 1""")
 def check_grid(spark, sf_dir):
-    rows = [("a", 1.5, 100), ("b", 0.5, 100), ("c", 0.5, 100), ("d", 0.333, 100), ("e", 0.1, 100)]
-    return validators.grid_coherence(spark.createDataFrame(rows, "level string, fraction double, total long"))
+    k = F.col("p_partkey")
+    total = k * 46 + F.when(k % 3 == 0, 0).otherwise(1)
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("L"), k.cast("string")).alias("level"), ((F.col("p_size") - 3) / 46.0).alias("fraction"), total.alias("total"))
+    return validators.grid_coherence(rows)
 
 
 _EVIDENCE = f"""WITH {sql('calls')}, c AS (SELECT DISTINCT ON (event_id) event_id, chrom, event_type, support_reads, start_pos FROM fx_calls ORDER BY event_id)"""

@@ -75,11 +75,10 @@ def phase_tally(spark, sf_dir):
     return metrics.phase_tally(e.select((F.col("event_id") % 20).alias("region"), F.col("event_id").alias("read_name"), F.when(u % 3 == 0, 1).when(u % 3 == 1, 2).alias("hp"), F.when(u % 3 < 2, u % 11).alias("ps")))
 
 
-@query("seeded_sample", "SELECT 'l' || i AS level, least(10 * i, (SELECT count(DISTINCT user_id) FROM events)) AS n_sampled, least(10 * i, (SELECT count(DISTINCT user_id) FROM events)) AS n_distinct FROM range(1, 4) r(i)")
+@query("seeded_sample", """SELECT level, user_id FROM (SELECT 'l' || i AS level, i, user_id, row_number() OVER (PARTITION BY i ORDER BY md5('7|l' || i || '|' || user_id), user_id) AS k FROM (SELECT DISTINCT user_id FROM events), range(1, 4) r(i)) WHERE k <= 10 * i""")
 def seeded_sample(spark, sf_dir):
     levels = spark.range(1, 4).select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("level"), (F.col("id") * 10).alias("n"))
-    got = metrics.sampled(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", levels, 7)
-    return got.groupBy("level").agg(F.count(F.lit(1)).alias("n_sampled"), F.count_distinct("user_id").alias("n_distinct"))
+    return metrics.sampled(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", levels, 7)
 
 
 @query("status_scan", """WITH e AS (SELECT user_id AS run, CASE WHEN event_id % 10 = 0 THEN 'lock' ELSE 'report' END AS kind, event_type AS state, event_id AS moment FROM events)
@@ -137,13 +136,14 @@ def planning_blockers(spark, sf_dir):
     return planning.eligibility(part(spark, sf_dir).withColumnRenamed("p_partkey", "lane"), "lane", rules).select("lane", F.col("reasons").alias("blockers"))
 
 
-@query("effective_dependencies", """WITH RECURSIVE n AS (SELECT i AS node, i % 3 <> 1 AS used FROM range(60) r(i)), e AS (SELECT i // 2 AS parent, i AS child FROM range(1, 60) r(i) UNION SELECT i - 1, i FROM range(1, 60) r(i) WHERE i % 5 = 0),
+@query("effective_dependencies", """WITH RECURSIVE n AS (SELECT c_custkey AS node, c_custkey % 3 <> 1 AS used FROM customer), e AS (SELECT c_custkey // 2 AS parent, c_custkey AS child FROM customer WHERE c_custkey > 0 UNION SELECT c_custkey - 1, c_custkey FROM customer WHERE c_custkey > 0 AND c_nationkey % 5 = 0),
 w AS (SELECT child, parent FROM e UNION SELECT w.child, e.parent FROM w JOIN n ON n.node = w.parent AND NOT n.used JOIN e ON e.child = w.parent)
 SELECT w.child AS node, w.parent FROM w JOIN n a ON a.node = w.child AND a.used JOIN n b ON b.node = w.parent AND b.used""")
 def effective_dependencies(spark, sf_dir):
-    i = F.col("id")
-    nodes = spark.range(60).select(i.alias("node"), (i % 3 != 1).alias("used"))
-    edges = spark.range(1, 60).select(F.expr("id div 2").alias("parent"), i.alias("child")).union(spark.range(1, 60).where(i % 5 == 0).select(i - 1, i)).distinct()
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    nodes = c.select(k.alias("node"), (k % 3 != 1).alias("used"))
+    some = c.where(k > 0)
+    edges = some.select(F.expr("c_custkey div 2").alias("parent"), k.alias("child")).union(some.where("c_nationkey % 5 = 0").select(k - 1, k)).distinct()
     return planning.effective_edges(nodes, edges)
 
 
