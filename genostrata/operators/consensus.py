@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genostrata.functions.coords import contig_rank, normalize_contig
+from genostrata.operators.running import with_serial
 from genostrata.operators.scratch import Tables
 
 
@@ -151,13 +152,24 @@ def cluster_calls(calls: DataFrame, policy: Policy = Policy(), *, tile: int = TI
 
 
 def merged(calls: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row per cluster: the member of most support stands for it, with callers and members.
+    """One row per cluster: the member of most support stands for it, with callers, members and evidence.
 
-    cluster_id numbers are not given here: they follow the order of heads, which a caller
-    may take from ``head``.
+    cluster_id is SVCLUSTER- and a number of six digits or more, in order of the heads: by
+    type, contigs in natural order, positions and id. Evidence lists caller, support and event
+    of each member in order of event. The result is a written table.
     """
-    members = calls.join(clusters, "event_id")
-    best = F.min_by(F.struct("chrom", "event_type", "start_pos", "end_pos", "event_id"), F.struct(-F.col("support_reads"), "event_id"))
-    per = members.groupBy("head").agg(best.alias("r"), F.array_sort(F.collect_set("caller")).alias("callers"), F.array_sort(F.collect_set("event_id")).alias("members"), F.max("distance").alias("max_distance"))
-    status = F.when(F.size("callers") >= 2, "technically_supported").otherwise("detected")
-    return per.select("head", "r.chrom", "r.event_type", "r.start_pos", "r.end_pos", F.col("r.event_id").alias("representative"), F.array_join("callers", ",").alias("callers"), F.size("members").alias("n_members"), "max_distance", status.alias("status"))
+    rank = lambda c: contig_rank(F.col(c), other=100)
+    with Tables(calls.sparkSession) as tables:
+        members = calls.join(clusters, "event_id")
+        best = F.min_by(F.struct("chrom", "event_type", "start_pos", "end_pos", "event_id"), F.struct(-F.col("support_reads"), "event_id"))
+        evidence = F.array_sort(F.collect_list(F.struct("event_id", "caller", "support_reads")))
+        per = members.groupBy("head").agg(best.alias("r"), F.array_sort(F.collect_set("caller")).alias("callers"), evidence.alias("evidence"), F.max("distance").alias("max_distance"))
+        heads = canonical(calls).select(F.col("event_id").alias("head"), F.col("event_type").alias("kind"), "chrom", "start_pos", "end_pos", "chrom2", "start2", "end2")
+        placed = tables.written(per.join(heads, "head"))
+        order = ["kind", rank("chrom"), "chrom", "start_pos", "end_pos", rank("chrom2"), "chrom2", "start2", "end2", "head"]
+        placed = with_serial(placed, order, "number", tables)
+        name = F.concat(F.lit("SVCLUSTER-"), F.when(F.col("number") < 1_000_000, F.lpad(F.col("number").cast("string"), 6, "0")).otherwise(F.col("number").cast("string")))
+        status = F.when(F.size("callers") >= 2, "technically_supported").otherwise("detected")
+        ids = F.transform("evidence", lambda e: e["event_id"])
+        out = placed.select(name.alias("cluster_id"), "head", "r.chrom", "r.event_type", "r.start_pos", "r.end_pos", F.col("r.event_id").alias("representative"), F.array_join("callers", ",").alias("callers"), F.size("evidence").alias("n_members"), F.array_distinct(ids).alias("sources"), "evidence", "max_distance", status.alias("status"))
+        return tables.kept(out)

@@ -94,3 +94,26 @@ SELECT count(*) AS n_rows, 'target_id,chrom,start_pos,end_pos,label,micro_depth'
 def sidecar_fingerprint(spark, sf_dir):
     t = fixture(spark, sf_dir, "targets")
     return sinks.fingerprint(t.select("target_id", "chrom", "start_pos", "end_pos", "label", F.round(F.col("mean_depth") * 1000000).cast("long").alias("micro_depth")))
+
+
+# A plan for each order: its lines by supplier and part as lanes, each after some of those of lesser number.
+_LANES = """n AS (SELECT DISTINCT l_orderkey::VARCHAR AS plan, l_linenumber AS i, min(lpad((l_suppkey % 50)::VARCHAR, 2, '0') || '-' || l_linenumber) AS node, min(l_partkey)::VARCHAR AS payload FROM lineitem GROUP BY l_orderkey, l_linenumber),
+e AS (SELECT c.plan, p.node AS parent, c.node AS child FROM n p JOIN n c ON p.plan = c.plan AND p.i < c.i AND (p.i * 2 = c.i OR (c.i - p.i = 3 AND length(c.payload) > 2)))"""
+
+
+@query("lane_order", f"""WITH RECURSIVE {_LANES},
+up AS (SELECT plan, child AS node, list(parent ORDER BY parent) AS parents FROM e GROUP BY plan, child),
+x AS (SELECT n.plan, n.node, n.payload, coalesce(parents, []) AS parents FROM n LEFT JOIN up ON up.plan = n.plan AND up.node = n.node),
+l AS (SELECT plan, list({{'node': node, 'payload': payload, 'parents': parents}} ORDER BY node) AS all_nodes FROM x GROUP BY plan),
+w(plan, all_nodes, done, hashes, k) AS (SELECT plan, all_nodes, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 0 FROM l
+  UNION ALL SELECT plan, all_nodes, list_append(done, nxt.node), list_append(hashes, sha256(array_to_string(list_concat([nxt.node, nxt.payload], list_transform(nxt.parents, lambda p: p || '=' || hashes[list_position(done, p)])), chr(10)))), k + 1
+  FROM (SELECT *, list_filter(all_nodes, lambda y: NOT list_contains(done, y.node) AND list_has_all(done, y.parents))[1] AS nxt FROM w WHERE k < len(all_nodes)))
+SELECT plan, done[k] AS node, k AS place, hashes[k] AS hash FROM w WHERE k > 0""")
+def lane_order(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").withColumn("plan", F.col("l_orderkey").cast("string"))
+    name = F.concat(F.lpad((F.col("l_suppkey") % 50).cast("string"), 2, "0"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    n = items.groupBy("plan", F.col("l_linenumber").alias("i")).agg(F.min(name).alias("node"), F.min("l_partkey").cast("string").alias("payload"))
+    p, c = n.select("plan", F.col("i").alias("pi"), F.col("node").alias("parent")), n.select("plan", F.col("i").alias("ci"), F.col("node").alias("child"), "payload")
+    after = (F.col("pi") * 2 == F.col("ci")) | ((F.col("ci") - F.col("pi") == 3) & (F.length("payload") > 2))
+    edges = p.join(c, "plan").where((F.col("pi") < F.col("ci")) & after).select("plan", "parent", "child")
+    return planning.ordered_lanes(n.select("plan", "node", "payload"), edges)
