@@ -1,7 +1,7 @@
 """Secret scans with multipart linking, in DataFrame functions only.
 
-Strong patterns stand alone. Weak parts (identifiers, short or loosely named secrets,
-endpoints) mean little by themselves; an interval join within a document links each of them
+Strong patterns stand alone. Weak parts (identifiers, short or loosely named secrets, runs of
+letters without a label, endpoints) mean little by themselves; an interval join within a document links each of them
 to complementary parts that start within SCOPE characters, and only linked ones are
 reported. The join meets on cells of SCOPE characters, each summed up to the first and last
 start of a role beforehand, so a text full of candidates costs no more than its length.
@@ -9,6 +9,8 @@ start of a role beforehand, so a text full of candidates costs no more than its
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ KINDS = {
     "user": (rf"(?i)(?:secret_?access_?key{_VALUE}[A-Za-z0-9+/_.=-]+|(?:user_?name|user_?id|login|account(?:_?name)?|client_?id|access_?key(?:_?id)?){_VALUE}([A-Za-z0-9+/_.@-]+))", 3, 1, "identifier"),
     "weak": (rf"(?i)(pwd|passphrase|passcode|private_?key|credential|auth_?key|secret_?access_?key|secret_?key|account_?key){_VALUE}([A-Za-z0-9+/_.=-]+)", 6, 2, "secret"),
     "endpoint": (r"(?i)[a-z][a-z0-9+.-]*://[^\x00-\x20\"'<>]+", 8, 0, "endpoint"),
+    # A run of letters without any label, as long as keys are; only what looks drawn at random counts.
+    "bare": (r"[A-Za-z0-9+/]{32,}={0,2}", 32, 0, "secret"),
 }
+#: The longest run of the kind bare, and what each must have.
+LONGEST_BARE, MIXED = 66, ("[A-Z]", "[a-z]", "[0-9]")
 BASE = ("assign", "access", "hex")
 #: Values of the assign pattern that are too short to stand alone are weak secrets from here on.
 SHORT_ASSIGN = 4
@@ -40,8 +46,11 @@ def _measures(text: Column, kind: str) -> Column:
     pattern, _, group, _ = KINDS[kind]
     size = lambda a: F.transform(a, lambda s: F.length(s))
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    counted = match if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.arrays_zip(F.slice(size(F.split(text, pattern)), F.lit(1), F.size(match)).alias("gap"), size(match).alias("len"), size(counted).alias("counted"))
+    counted = size(match if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    if kind == "bare":
+        drawn = lambda s: reduce(Column.__and__, [s.rlike(m) for m in MIXED], F.length(s) <= LONGEST_BARE)
+        counted = F.transform(match, lambda s: F.when(drawn(s), F.length(s)).otherwise(0))
+    zipped = F.arrays_zip(F.slice(size(F.split(text, pattern)), F.lit(1), F.size(match)).alias("gap"), size(match).alias("len"), counted.alias("counted"))
     return F.when(text.rlike(pattern), zipped)
 
 
@@ -59,6 +68,13 @@ def parts(measured: DataFrame) -> DataFrame:
     return found
 
 
+def uncovered(candidates: DataFrame) -> DataFrame:
+    """``candidates`` without bare runs that lie in a span of another kind: the value of a label is no run of its own."""
+    upto = Window.partitionBy("rid").orderBy("start")
+    reach = F.max(F.when(F.col("kind") != "bare", F.col("end"))).over(upto)
+    return candidates.withColumn("reach", reach).where((F.col("kind") != "bare") | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).drop("reach")
+
+
 def linked(candidates: DataFrame) -> DataFrame:
     """The weak parts that have what their role NEEDS within SCOPE."""
     cell = F.expr(f"start div {SCOPE}")
@@ -85,7 +101,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), *(_measures(F.col("t"), k).alias(k) for k in KINDS))
     with Scratch(docs.sparkSession) as scratch:
         measured = scratch.table(rows)
-        candidates = scratch.table(parts(measured))
+        candidates = scratch.table(uncovered(parts(measured)))
         spans = candidates.where("strong").select("rid", "kind", "place", "start", "end", F.lit(True).alias("strong"))
         spans = spans.unionByName(linked(candidates).withColumn("strong", F.lit(False)))
         listed = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "place", "end", "kind", "strong"))).alias("found"))
@@ -108,11 +124,12 @@ def _sql() -> str:
     kinds = []
     for place, (kind, (pattern, least, group, role)) in enumerate(KINDS.items()):
         p = pattern.replace("'", "''")
+        drawn = " AND ".join([f"length(x) <= {LONGEST_BARE}", *(f"regexp_matches(x, '{m}')" for m in MIXED)]) if kind == "bare" else "TRUE"
         floor = SHORT_ASSIGN if kind == "assign" else least
         kinds.append(f"""
   SELECT doc_id, '{kind}' AS kind, {place} AS place, '{role}' AS role, counted, len,
          CAST(sum(gap + len) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS end_, {str(kind in BASE).upper()} AND counted >= {least} AS strong, {floor} AS floor_
-  FROM (SELECT doc_id, unnest(range(len(m))) AS k, unnest([length(x) for x in m]) AS len, unnest([length(x) for x in g]) AS counted,
+  FROM (SELECT doc_id, unnest(range(len(m))) AS k, unnest([length(x) for x in m]) AS len, unnest([CASE WHEN {drawn} THEN length(x) ELSE 0 END for x in g]) AS counted,
                unnest([length(x) for x in s][1:len(m)]) AS gap
         FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS g, string_split_regex(t, '{p}') AS s FROM d) WHERE len(m) > 0)""")
     needs = " OR ".join(f"(role = '{r}' AND {' AND '.join(f'has_{o}' for o in others)})" for r, others in NEEDS.items())
@@ -120,7 +137,8 @@ def _sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 raw AS ({" UNION ALL ".join(kinds)}),
-c AS (SELECT doc_id, kind, place, role, end_ - len AS start, end_, strong FROM raw WHERE counted >= floor_),
+every AS (SELECT doc_id, kind, place, role, end_ - len AS start, end_, strong FROM raw WHERE counted >= floor_),
+c AS (SELECT * FROM (SELECT *, max(CASE WHEN kind <> 'bare' THEN end_ END) OVER (PARTITION BY doc_id ORDER BY start) AS reach FROM every) WHERE kind <> 'bare' OR reach IS NULL OR reach <= start),
 w AS (
   SELECT a.doc_id, a.kind, a.place, a.role, a.start, a.end_, {has}
   FROM c a JOIN c o ON a.doc_id = o.doc_id AND NOT a.strong AND o.role <> 'none' AND o.role <> a.role AND abs(o.start - a.start) <= {SCOPE}

@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 from genostrata.llm.common import read
 
 
+#: Hosts that are addresses and no names.
+ADDRESS = r"^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
+
+
 def host_of(url: Column) -> Column:
-    """Lower-cased host without user, port, final dot and ``www.``; null without one."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    """Lower-cased host without user, port, final dot and ``www.``; null without one.
+
+    An address of version 6 keeps its brackets.
+    """
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[\]]+)", 1)
     return F.nullif(F.regexp_replace(host, r"^www\.|\.$", ""), F.lit(""))
 
 
@@ -39,7 +46,7 @@ def judge(captures: DataFrame, entries: DataFrame, capture_id: str, url: str, fe
     """capture_id, host, fetched_on, blocked, listed_domain, listed_since for every capture.
 
     A capture is blocked if its host or a parent domain of two labels or more is in force
-    on its fetch day. Without a host or a fetch day nothing can be in force: blocked is
+    on its fetch day; addresses have no parents. Without a host or a fetch day nothing can be in force: blocked is
     false. Repeated captures are each answered. Hosts with very many captures are looked up
     once for each day. Other columns of ``captures`` are not read.
     """
@@ -47,7 +54,8 @@ def judge(captures: DataFrame, entries: DataFrame, capture_id: str, url: str, fe
     asked = rows.where("host IS NOT NULL AND fetched_on IS NOT NULL").select("host", "fetched_on").distinct()
     labels = F.split("host", r"\.")
     count = F.size(labels)
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, count), "."))
+    names = F.transform(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, count), "."))
+    parents = F.when(F.col("host").rlike(ADDRESS), F.array("host")).otherwise(names)
     spans = validity_intervals(entries, domain, action, day)
     keys = asked.select("host", "fetched_on", F.explode(parents).alias("domain"))
     met = keys.join(spans, "domain").where("valid_from <= fetched_on AND (valid_to IS NULL OR fetched_on < valid_to)")
@@ -79,7 +87,7 @@ def op7_temporal_url_lists(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH p AS (
   SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS DATE) AS fetched_on,
-         nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '^www\.|\.$', ''), '') AS host
+         nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[\]]+)', 1), '^www\.|\.$', ''), '') AS host
   FROM pages
 ),
 names AS (SELECT DISTINCT host AS domain FROM p WHERE host IS NOT NULL),
@@ -95,7 +103,7 @@ hits AS (
     SELECT domain, day, action, row_number() OVER (PARTITION BY domain ORDER BY day) AS rank_,
            lead(day) OVER (PARTITION BY domain ORDER BY day) AS until
     FROM e
-  ) d ON (p.host = d.domain OR ends_with(p.host, '.' || d.domain))
+  ) d ON (p.host = d.domain OR (ends_with(p.host, '.' || d.domain) AND NOT regexp_matches(p.host, '^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$')))
      AND d.action = 'add' AND d.day <= p.fetched_on AND (d.until IS NULL OR p.fetched_on < d.until)
 ),
 best AS (
