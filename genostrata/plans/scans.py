@@ -53,3 +53,22 @@ def scan_bedmethyl(spark, sf_dir):
     zero = [F.lit("0")] * 5
     line = F.concat_ws("\t", "chrom", text(F.col("pos")), text(F.col("pos") + 1), "code", F.lit("10"), F.lit("+"), text(F.col("pos")), text(F.col("pos") + 1), F.lit("255,0,0"), text(F.col("valid_coverage")), F.lit("0.0"), text(m), text(F.col("valid_coverage") - m), *zero)
     return tables.bedmethyl(s.select(line.alias("value"))).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("valid").alias("valid"), F.sum("n_mod").alias("modified"))
+
+
+# Sites summed by position, written as combined rows: those of even positions by strand in two rows, others in one without strand.
+_COMBINED = """s AS (SELECT chrom, pos, CAST(sum(valid_coverage) AS BIGINT) AS v, CAST(sum(least(modified_calls, valid_coverage)) AS BIGINT) AS m FROM fx_sites GROUP BY 1, 2)"""
+
+
+@query("combined_probes", f"""WITH {sql('sites')}, {_COMBINED} SELECT 'cg' || chrom || '-' || (pos // 40000) AS probe, CAST(sum(CASE WHEN pos % 2 = 0 THEN 2 * m ELSE m END) AS BIGINT) AS modified, CAST(sum(CASE WHEN pos % 2 = 0 THEN 2 * v ELSE v END) AS BIGINT) AS valid,
+  round(sum(CASE WHEN pos % 2 = 0 THEN 2 * m ELSE m END) / sum(CASE WHEN pos % 2 = 0 THEN 2 * v ELSE v END), 9) AS fraction FROM s GROUP BY 1""")
+def combined_probes(spark, sf_dir):
+    s = fixture(spark, sf_dir, "sites").groupBy("chrom", "pos").agg(F.sum("valid_coverage").alias("v"), F.sum(F.least("modified_calls", "valid_coverage")).alias("m"))
+    strands = F.when(F.col("pos") % 2 == 0, F.array(F.lit("+"), F.lit("-"))).otherwise(F.array(F.lit(".")))
+    text = lambda c: c.cast("string")
+    percent = F.format_string("%.2f", 100 * F.col("m") / F.col("v"))
+    zero = [F.lit("0")] * 5
+    line = F.concat_ws("\t", "chrom", text(F.col("pos")), text(F.col("pos") + 1), F.lit("C"), text(F.col("v")), "strand", text(F.col("pos")), text(F.col("pos") + 1), F.lit("255,0,0"), text(F.col("v")), percent, text(F.col("m")), text(F.col("v") - F.col("m")), *zero)
+    sites = tables.combined_bedmethyl(s.withColumn("strand", F.explode(strands)).select(line.alias("value")))
+    probe = F.concat(F.lit("cg"), "chrom", F.lit("-"), text(F.expr("pos div 40000")))
+    probes = tables.probe_positions(s.select(F.concat_ws("\t", "chrom", text(F.col("pos")), text(F.col("pos") + 1), probe).alias("value")))
+    return tables.combined_probe_fractions(sites, probes).withColumn("fraction", F.round("fraction", 9))

@@ -63,6 +63,55 @@ def bedmethyl(text: DataFrame) -> DataFrame:
     return checked(r, F.col("valid") == F.col("n_mod") + F.col("n_canon") + F.col("n_other"), "valid coverage is not the sum of its parts")
 
 
+#: By how much a stated percentage may differ from its counts.
+PERCENT_TOLERANCE = 0.011
+
+
+def combined_bedmethyl(text: DataFrame) -> DataFrame:
+    """chrom, pos, strand, modified, valid of a pileup of combined modifications (code C).
+
+    Contig names stay as they are. Anything that does not fit fails the whole: other columns
+    or codes, sites of other than one base, counts that do not add up or have another
+    modification, a percentage off its counts by more than PERCENT_TOLERANCE, a strand twice
+    at a site, and a site without strand beside any other row of it.
+    """
+    r = text.where("trim(value) <> '' AND NOT startswith(value, '#')").select(F.split(F.trim("value"), r"\s+").alias("c"))
+    r = checked(r, (F.size("c") == 18) & (col(3) == "C"), "not a line of 18 columns and code C")
+    names = {"pos": 1, "end": 2, "valid": 9, "modified": 11, "canonical": 12, "other": 13, "deleted": 14, "failed": 15, "differing": 16, "uncalled": 17}
+    r = r.select(col(0).alias("chrom"), col(5).alias("strand"), col(10).try_cast("double").alias("percent"), *[col(i).try_cast("long").alias(n) for n, i in names.items()])
+    r = checked(r, F.forall(F.array(*names), lambda n: n >= 0) & (F.col("end") == F.col("pos") + 1) & (F.col("chrom") != ""), "invalid position or counts")
+    r = checked(r, (F.col("valid") == F.col("modified") + F.col("canonical")) & (F.col("other") == 0), "counts of combined modifications do not add up")
+    close = (F.col("valid") == 0) | (F.abs(F.col("percent") - F.try_divide(100 * F.col("modified"), F.col("valid"))) <= PERCENT_TOLERANCE)
+    r = checked(r, F.col("percent").between(0, 100) & close, "percentage and counts differ")
+    r = checked(r, F.col("strand").isin("+", "-", "."), "invalid strand")
+    site = Window.partitionBy("chrom", "pos")
+    r = r.withColumn("rows", F.count(F.lit(1)).over(site)).withColumn("strands", F.size(F.collect_set("strand").over(site))).withColumn("bare", F.max(F.col("strand") == ".").over(site))
+    r = checked(r, (F.col("rows") == F.col("strands")) & ((F.col("rows") == 1) | ~F.col("bare")), "a site's strands are repeated or overlap")
+    return r.select("chrom", "pos", "strand", "modified", "valid")
+
+
+def probe_positions(text: DataFrame) -> DataFrame:
+    """chrom, pos, probe of a map of single bases; a repeated line or a probe on two contigs fails the whole."""
+    r = text.where("trim(value) <> '' AND NOT startswith(value, '#')").select(F.split("value", "\t").alias("c"))
+    r = r.select(col(0).alias("chrom"), col(1).try_cast("long").alias("pos"), col(2).try_cast("long").alias("end"), col(3).alias("probe"))
+    fits = (F.col("chrom") != "") & (F.col("probe") != "") & (F.col("pos") >= 0) & (F.col("end") == F.col("pos") + 1)
+    r = checked(r, fits, "probe map line is no single base with a name")
+    r = checked(r.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("chrom", "pos", "probe"))), F.col("n") == 1, "probe mapping stands twice")
+    r = r.withColumn("contigs", F.size(F.collect_set("chrom").over(Window.partitionBy("probe"))))
+    return checked(r, F.col("contigs") == 1, "probe lies on two contigs").select("chrom", "pos", "probe")
+
+
+def combined_probe_fractions(sites: DataFrame, probes: DataFrame) -> DataFrame:
+    """(probe, modified, valid, fraction): counts of all sites and strands of a probe, pooled; those without a valid call left out.
+
+    ``sites`` as ``combined_bedmethyl`` and ``probes`` as ``probe_positions`` give them. A
+    site outside the map fails the whole.
+    """
+    met = checked(sites.join(probes, ["chrom", "pos"], "left"), F.col("probe").isNotNull(), "a site lies outside the probe map")
+    sums = met.groupBy("probe").agg(F.sum("modified").alias("modified"), F.sum("valid").alias("valid")).where("valid > 0")
+    return sums.withColumn("fraction", F.col("modified") / F.col("valid"))
+
+
 def gtf(text: DataFrame) -> DataFrame:
     """feature, chrom, start_pos, end_pos, strand, phase, attributes, tags of each line."""
     pairs = F.regexp_extract_all(col(8), F.lit(r'(\w+) "([^"]*)"'), F.lit(1)), F.regexp_extract_all(col(8), F.lit(r'(\w+) "([^"]*)"'), F.lit(2))
