@@ -123,24 +123,30 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
 ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
 
-def add_text_columns(rows: DataFrame, text: str, make: Callable[[], Callable[[list], Sequence]], result: str) -> DataFrame:
+def add_text_columns(rows: DataFrame, text: str, make: Callable[[], Callable[[list], Sequence]], result: str, *, keep_text: bool = False, slice_bytes: int | None = None) -> DataFrame:
     """``rows`` without column ``text`` plus the columns of DDL ``result``, row by row.
 
     ``make`` is called once in each task; what it returns gets the texts of an Arrow batch
     (nulls as None) and returns one sequence for each result column. The kept columns
-    pass through as Arrow data, so their types and nulls stay as they are.
+    pass through as Arrow data, so their types and nulls stay as they are. With
+    ``keep_text`` the text passes too; with ``slice_bytes`` a batch is worked off in slices
+    of about so many bytes of text, and no task holds more of it as Python strings.
     """
     added = StructType.fromDDL(result)
     types = [ARROW[f.dataType.simpleString()] for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            found = apply(batch.column(at).to_pylist())
-            keep = [i for i in range(batch.num_columns) if i != at]
-            columns = [batch.column(i) for i in keep] + [pa.array(c, t) for c, t in zip(found, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in keep] + added.names)
-
-    kept = StructType([f for f in rows.schema if f.name != text])
+        for whole in batches:
+            at = whole.schema.get_field_index(text)
+            n = whole.num_rows
+            step = n if slice_bytes is None else max(1, n * slice_bytes // max(1, whole.column(at).nbytes))
+            for start in range(0, max(n, 1), max(step, 1)):
+                batch = whole.slice(start, step)
+                found = apply(batch.column(at).to_pylist())
+                keep = [i for i in range(batch.num_columns) if keep_text or i != at]
+                columns = [batch.column(i) for i in keep] + [pa.array(c, t) for c, t in zip(found, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in keep] + added.names)
+
+    kept = StructType([f for f in rows.schema if keep_text or f.name != text])
     return rows.mapInArrow(run, StructType(kept.fields + added.fields))

@@ -32,6 +32,8 @@ READ_AHEAD = 4
 #: Up to so many sampled (language, hash) rows are broadcast.
 MOST_BROADCAST = 100_000
 LEVEL = 6
+#: Bytes of text that a task turns into Python strings at a time.
+SLICE_BYTES = 4 << 20
 #: Bytes of normalised text compressed apart; a short last chunk goes with the one before.
 CHUNK_BYTES = 1 << 15
 #: Least (second smallest - smallest) / smallest compressed size that is not rejected.
@@ -131,15 +133,18 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     any length are read whole, in chunks of CHUNK_BYTES. Repeated rows are each answered; other columns of
     ``docs`` are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     (whole,) = fresh(keep, "text")
-    rows = docs.select(*keep, F.col(text).alias(whole))
+    return _judged(docs.select(*keep, F.col(text).alias(whole)), whole, dictionaries, min_margin, keep_text=False)
+
+
+def _judged(rows: DataFrame, text: str, dictionaries: dict[str, bytes], min_margin: float, *, keep_text: bool) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(dictionaries)
 
     def make():
         model = Classifier(shared.value)
         return lambda texts: list(zip(*(model.predict(t, min_margin) for t in texts), strict=True)) or [[]] * 4
 
-    return add_text_columns(rows, whole, make, RESULT)
+    return add_text_columns(rows, text, make, RESULT, keep_text=keep_text, slice_bytes=SLICE_BYTES)
 
 
 def op9_compression_langid(spark, sf_dir: str) -> DataFrame:
@@ -158,7 +163,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     through.
     """
     model = fit_dictionaries(docs, "text", "lang", ~held_out(F.col("doc_id")))
-    # The row travels as one column, so its names cannot clash with those of the result.
-    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
-    kept = identify(docs.select(row, "text"), model, keep=("row",)).where(~F.col("rejected"))
-    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    # Columns travel by number, so their names cannot clash with those of the result, and the text only once.
+    numbered = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    kept = _judged(docs.select(*numbered), f"c{next(i for i, c in enumerate(docs.columns) if c.lower() == 'text')}", model, MIN_MARGIN, keep_text=True).where(~F.col("rejected"))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
