@@ -72,3 +72,24 @@ def combined_probes(spark, sf_dir):
     probe = F.concat(F.lit("cg"), "chrom", F.lit("-"), text(F.expr("pos div 40000")))
     probes = tables.probe_positions(s.select(F.concat_ws("\t", "chrom", text(F.col("pos")), text(F.col("pos") + 1), probe).alias("value")))
     return tables.combined_probe_fractions(sites, probes).withColumn("fraction", F.round("fraction", 9))
+
+
+@query("scan_structural_evidence", f"""WITH {sql('calls')}, k AS (SELECT *, start_pos % 101 AS z FROM fx_calls),
+r AS (SELECT CASE WHEN event_type = 'inversion' THEN 'type_not_allowed' WHEN support_reads < 5 THEN 'low_support' WHEN z = 1 THEN 'malformed_quality' WHEN z = 2 THEN 'missing_quality' WHEN z < 10 THEN 'low_quality' WHEN z = 11 THEN 'imprecise' WHEN end_pos - start_pos < 300 THEN 'too_short'
+  WHEN z = 12 THEN 'malformed_coverage' WHEN z = 13 THEN 'malformed_fraction' WHEN z = 14 THEN 'invalid_fraction' WHEN z = 15 THEN 'malformed_strands' WHEN z = 16 THEN 'malformed_mismatches' WHEN z IN (17, 18) THEN 'malformed_deviation' WHEN z = 19 THEN 'conflicting_precision' END AS reason, z, support_reads FROM k)
+SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n, CAST(sum(z) AS BIGINT) AS quality, round(sum(support_reads + 1), 6) AS coverage FROM r WHERE reason IS NULL GROUP BY 1
+UNION ALL SELECT reason, count(*), NULL, NULL FROM r WHERE reason IS NOT NULL GROUP BY 1""")
+def scan_structural_evidence(spark, sf_dir):
+    c = fixture(spark, sf_dir, "calls").withColumn("z", F.col("start_pos") % 101)
+    s, z, text = F.col("support_reads"), F.col("z"), lambda x: x.cast("string")
+    kind = F.when(F.col("event_type") == "deletion", "DEL").when(F.col("event_type") == "duplication", "DUP").when(F.col("event_type") == "inversion", "INV").otherwise("INS")
+    tags = [
+        F.when(z == 11, "IMPRECISE").when(z == 19, "PRECISE;IMPRECISE").otherwise("PRECISE"), F.concat(F.lit("SVTYPE="), kind), F.concat(F.lit("END="), text(F.col("end_pos"))), F.concat(F.lit("SVLEN="), text(F.col("end_pos") - F.col("start_pos"))), F.concat(F.lit("SUPPORT="), text(s)),
+        F.concat(F.lit("COVERAGE="), F.when(z == 12, "4,x,9").otherwise(F.concat(text(s), F.lit(",.,"), text(s + 2)))), F.concat(F.lit("VAF="), F.when(z == 13, "-0.5").when(z == 14, "1.5").otherwise("0.25")), F.concat(F.lit("STRAND="), F.when(z == 15, "?").otherwise("+-")),
+        F.concat(F.lit("NM="), F.when(z == 16, "x").otherwise("0.01")), F.concat(F.lit("STDEV_POS="), F.when(z == 17, "-1").otherwise("0")), F.concat(F.lit("STDEV_LEN="), F.when(z == 18, "nan").otherwise("2.5")),
+    ]
+    quality = F.when(z == 1, "-3").when(z == 2, ".").otherwise(text(z))
+    line = F.concat_ws("\t", "chrom", text(F.col("start_pos") + 1), "event_id", F.lit("N"), F.concat(F.lit("<"), kind, F.lit(">")), quality, F.lit("PASS"), F.concat_ws(";", *tags), F.lit("GT:DR:DV"), F.lit("0/1:20:30"))
+    rows = vcf.structural_variants(c.select(line.alias("value")), min_length=300, allowed=("deletion", "duplication", "insertion"), min_quality=10, require_precise=True)
+    fine = lambda x: F.when(F.col("reason").isNull(), x)
+    return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(fine(F.col("quality"))).cast("long").alias("quality"), F.round(F.sum(fine(F.col("local_coverage"))), 6).alias("coverage"))

@@ -6,6 +6,8 @@ and any stream of lines will do.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,13 +115,16 @@ def allele_rows(text: DataFrame) -> DataFrame:
 SV_TYPES = {"DEL": "deletion", "DUP": "duplication", "INV": "inversion", "INS": "insertion", "BND": "translocation", "TRA": "translocation"}
 
 
-def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: int = 50, pass_only: bool = True, support_keys: tuple[str, ...] = ("SUPPORT", "RE"), fraction_keys: tuple[str, ...] = ("VAF",), min_fraction: float = 0.0, only_class: str | None = None) -> DataFrame:
+def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: int = 50, pass_only: bool = True, support_keys: tuple[str, ...] = ("SUPPORT", "RE"), fraction_keys: tuple[str, ...] = ("VAF",), min_fraction: float = 0.0, only_class: str | None = None, allowed: tuple[str, ...] | None = None, min_quality: float | None = None, require_precise: bool = False) -> DataFrame:
     """Structural-variant records in 0-based half-open coordinates, each with its first reason.
 
     Support comes from the first of ``support_keys`` in INFO, else from DV in FORMAT; the
     fraction from ``fraction_keys``, else DV / (DR + DV). An insertion spans one base; a
     translocation has a mate and no length. The type is what stands before a colon in
     SVTYPE. With ``only_class`` a record of another CLASS is rejected; one without stays.
+    ``allowed`` event types, ``min_quality`` and ``require_precise`` are asked for only where
+    given. What a record says of coverage, fraction, strands, mismatches and deviations must
+    be well formed, and it cannot be both precise and imprecise.
     """
     r = records(text).withColumn("info", F.when(~malformed_info(field(7)), info_map(field(7)))).withColumn("s", sample_map(field(8), field(9)))
     info = F.col("info")
@@ -134,6 +139,13 @@ def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: in
     mate = breakend(field(4))
     last = F.when(kind == "insertion", start + 1).when(kind == "translocation", start + 1).otherwise(end)
     length = F.when(kind == "translocation", F.lit(None).cast("long")).when(kind == "insertion", svlen).otherwise(last - start)
+    told = lambda c: F.nullif(c, F.lit("."))  # noqa: E731  what is given, if anything
+    bad = lambda c: told(c).isNotNull() & number(told(c), minimum=0).isNull()
+    quality = number(told(field(5)), minimum=0)
+    has = lambda k: F.coalesce(F.map_contains_key(info, F.lit(k)), F.lit(False))
+    depths = F.filter(F.split(told(info["COVERAGE"]), ","), lambda x: ~x.isin("", "."))
+    bad_depths = F.coalesce(F.exists(depths, lambda x: number(x, minimum=0).isNull()), F.lit(False))
+    said = [info[k] for k in fraction_keys]
     reason = first_reason([
         ("malformed_record", F.size("c") < 8),
         ("malformed_position", F.coalesce((pos < 1) | (pos > MAX_POS), F.lit(True))),
@@ -141,14 +153,26 @@ def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: in
         ("malformed_info", malformed_info(field(7))),
         ("missing_type", info["SVTYPE"].isNull()),
         ("unsupported_type", kind.isNull()),
+        ("type_not_allowed", F.lit(False) if allowed is None else ~kind.isin(*allowed)),
         ("class_not_accepted", F.lit(False) if only_class is None else F.coalesce(info["CLASS"] != only_class, F.lit(False))),
         ("low_support", F.coalesce(support < min_support, F.lit(min_support > 0))),
+        ("malformed_quality", bad(field(5))),
+        ("missing_quality", F.lit(min_quality is not None) & quality.isNull()),
+        ("low_quality", F.lit(False) if min_quality is None else F.coalesce(quality < min_quality, F.lit(False))),
+        ("imprecise", F.lit(require_precise) & ~has("PRECISE")),
         ("low_fraction", F.coalesce(fraction < min_fraction, F.lit(min_fraction > 0))),
         ("malformed_breakend_alt", (kind == "translocation") & mate["error"].isNotNull()),
         ("malformed_locus", F.coalesce(last <= start, F.lit(True))),
         ("too_short", length < min_length),
+        ("malformed_coverage", bad_depths),
+        ("malformed_fraction", reduce(Column.__or__, [bad(x) for x in said])),
+        ("invalid_fraction", F.coalesce(fraction > 1, F.lit(False))),
+        ("malformed_strands", F.coalesce(~told(info["STRAND"]).isin("+", "-", "+-"), F.lit(False))),
+        ("malformed_mismatches", bad(info["NM"])),
+        ("malformed_deviation", bad(info["STDEV_POS"]) | bad(info["STDEV_LEN"])),
+        ("conflicting_precision", has("PRECISE") & has("IMPRECISE")),
     ])
-    return r.select(field(2).alias("record_id"), field(0).alias("chrom"), start.alias("start_pos"), last.alias("end_pos"), kind.alias("event_type"), length.alias("length"), support.alias("support_reads"), fraction.alias("vaf"), mate["mate_chrom"].alias("mate_chrom"), mate["mate_pos"].alias("mate_pos"), F.map_contains_key(info, "PRECISE").alias("precise"), reason.alias("reason"))
+    return r.select(field(2).alias("record_id"), field(0).alias("chrom"), start.alias("start_pos"), last.alias("end_pos"), kind.alias("event_type"), length.alias("length"), support.alias("support_reads"), fraction.alias("vaf"), mate["mate_chrom"].alias("mate_chrom"), mate["mate_pos"].alias("mate_pos"), F.map_contains_key(info, "PRECISE").alias("precise"), quality.alias("quality"), F.when(F.size(depths) > 0, F.aggregate(depths, F.lit(0.0), lambda a, x: a + number(x, minimum=0)) / F.size(depths)).alias("local_coverage"), told(info["STRAND"]).alias("supporting_strands"), reason.alias("reason"))
 
 
 def depth_segments(text: DataFrame, *, min_length: int = 100_000, pass_only: bool = True) -> DataFrame:
