@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -119,6 +120,14 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Hand unused memory back to the system: a worker stays for a while when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 #: Arrow types of the columns that Python tasks add.
 ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
@@ -137,6 +146,12 @@ def add_text_columns(rows: DataFrame, text: str, make: Callable[[], Callable[[li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
+        yield from worked_off(batches, apply)
+        if slice_bytes is not None:
+            del apply
+            give_back()
+
+    def worked_off(batches: Iterator[pa.RecordBatch], apply: Callable[[list], Sequence]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at = whole.schema.get_field_index(text)
             n = whole.num_rows
