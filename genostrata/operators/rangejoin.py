@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genostrata.operators.running import with_running
+
 BIN = 20_000
 #: Levels of bins, each so many times wider than the one before.
 LEVELS, FACTOR = 4, 32
@@ -39,18 +41,23 @@ def overlap_join(left: DataFrame, right: DataFrame, *, width: int = BIN, how: st
         keyed = left.withColumn("__rid", F.struct(*left.columns))
         hit = overlap_join(left, right, width=width).select(F.struct(*left.columns).alias("__hit")).distinct()
         return keyed.join(hit, F.col("__rid").eqNullSafe(F.col("__hit")), how).drop("__rid")
+    l, r = _levelled(left, right, width)
+    # Each pair of own levels meets at the greater one, and only there.
+    on = (F.col("l_chrom") == F.col("r_chrom")) & (l["__at"] == r["__at"]) & (l["__bin"] == r["__bin"]) & (l["__at"] == F.greatest(l["__own"], r["__own"]))
+    met = l.join(r, on).where((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")))
+    later = F.greatest("l_start", "r_start")
+    return met.where((later >= l["__bin"] * l["__w"]) & (later < (l["__bin"] + 1) * l["__w"])).select(*left.columns, *right.columns)
+
+
+def _levelled(left: DataFrame, right: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides under their bins, at the levels where they can meet."""
     l, r = (  # noqa: E741
         side.where(f"{c}_start < {c}_end").withColumn("__own", interval_level(F.col(f"{c}_end") - F.col(f"{c}_start"), width))
         for side, c in ((left, "l"), (right, "r"))
     )
     # Only levels that the other side has: as a rule one, so rows are not copied for the others.
     present = lambda side: side.agg(F.array_sort(F.collect_set("__own")).alias("levels")).scalar()
-    l, r = _posted(l, "l", present(r), width), _posted(r, "r", present(l), width)  # noqa: E741
-    # Each pair of own levels meets at the greater one, and only there.
-    on = (F.col("l_chrom") == F.col("r_chrom")) & (l["__at"] == r["__at"]) & (l["__bin"] == r["__bin"]) & (l["__at"] == F.greatest(l["__own"], r["__own"]))
-    met = l.join(r, on).where((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")))
-    later = F.greatest("l_start", "r_start")
-    return met.where((later >= l["__bin"] * l["__w"]) & (later < (l["__bin"] + 1) * l["__w"])).select(*left.columns, *right.columns)
+    return _posted(l, "l", present(r), width), _posted(r, "r", present(l), width)
 
 
 def _posted(rows: DataFrame, side: str, others: Column, width: int) -> DataFrame:
@@ -60,6 +67,32 @@ def _posted(rows: DataFrame, side: str, others: Column, width: int) -> DataFrame
     return at.withColumn("__bin", F.explode(F.sequence(F.expr(f"{side}_start div __w"), F.expr(f"({side}_end - 1) div __w"))))
 
 
+def overlap_exists(left: DataFrame, right: DataFrame, condition: Column, key: str, *, width: int = BIN) -> DataFrame:
+    """The distinct ``key`` of the rows of ``left`` that some overlapping row of ``right`` meets with ``condition``.
+
+    Columns are as for ``overlap_join``. A row is done with its first hit in a bin, so pairs
+    are neither kept nor shuffled.
+    """
+    l, r = _levelled(left, right, width)
+    on = (F.col("l_chrom") == F.col("r_chrom")) & (l["__at"] == r["__at"]) & (l["__bin"] == r["__bin"]) & (l["__at"] == F.greatest(l["__own"], r["__own"]))
+    return l.join(r, on & (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")) & condition, "left_semi").select(key).distinct()
+
+
+def merged_intervals(intervals: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(r_chrom, r_start, r_end, *by): the stretches that the intervals of equal ``by`` cover, none touching another.
+
+    What meets an interval meets its stretch and the reverse, while a point lies in one
+    stretch at most, however many intervals lie over each other. Empty intervals cover nothing.
+    """
+    by = by or []
+    rows = intervals.where("r_chrom IS NOT NULL AND r_start < r_end").select(F.struct("r_chrom", *by).alias("__by"), "r_start", "r_end").distinct()
+    rows = with_running(rows, ["__by"], "r_start", ["r_start", "r_end"], "r_end", "__reach", "max")
+    rows = rows.withColumn("__first", F.when(F.coalesce(F.col("r_start") > F.col("__reach"), F.lit(True)), F.col("r_start")))
+    rows = with_running(rows, ["__by"], "r_start", ["r_start", "r_end"], "__first", "__open", "last")
+    whole = rows.groupBy("__by", F.coalesce("__first", "__open").alias("r_start")).agg(F.max("r_end").alias("r_end"))
+    return whole.select("__by.r_chrom", "r_start", "r_end", *[F.col("__by")[c].alias(c) for c in by])
+
+
 def point_join(points: DataFrame, intervals: DataFrame, *, width: int = BIN) -> DataFrame:
     """All intervals (r_chrom, r_start, r_end) that hold a point (l_chrom, l_pos): nested hits too."""
     spans = points.withColumns({"l_start": F.col("l_pos"), "l_end": F.col("l_pos") + 1})
@@ -74,7 +107,12 @@ def nearest(points: DataFrame, intervals: DataFrame, *, span: int = 1_000_000) -
     contig cut into pieces of ``span``, with the last end and first start of the pieces
     beyond carried over, so no contig is gathered whole with a join of all pairs.
     """
-    overlapping = overlap_join(points, intervals).select("l_id", F.lit(0).cast("long").alias("distance"), "r_start", "r_end", "r_label")
+    # Of the intervals over a place the first in order is the first that ends beyond the place's start, if it
+    # begins in time; it ends further than all before it, and of such intervals start and end grow together.
+    order = ["r_start", "r_end", "r_label"]
+    ordered = with_running(intervals.where("r_start < r_end").withColumn("__by", F.col("r_chrom")).select("__by", "r_chrom", *order), ["__by"], "r_start", order, "r_end", "__reach", "max")
+    furthest = ordered.where("__reach IS NULL OR r_end > __reach").groupBy("r_chrom", "r_end").agg(F.min(F.struct("r_start", "r_label")).alias("m"))
+    furthest = furthest.select("r_chrom", (F.col("r_end") - 1).alias("at"), F.struct("m.r_start", "r_end", "m.r_label").alias("v"))
     piece = lambda c: F.expr(f"{c} div {span}")
     # To the left, the interval of greatest end (then least start, label); to the right, of least start (then end, label).
     lefts = intervals.groupBy("r_chrom", "r_end").agg(F.min(F.struct("r_start", "r_label")).alias("m")).select("r_chrom", F.col("r_end").alias("at"), F.struct("m.r_start", "r_end", "m.r_label").alias("v"))
@@ -93,8 +131,11 @@ def nearest(points: DataFrame, intervals: DataFrame, *, span: int = 1_000_000) -
         place = F.col("at") if backward else F.col("at").desc()
         near = Window.partitionBy("c", "piece").orderBy(place, F.col("l_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
         found = both.withColumn("w", F.last("v", True).over(near)).where("l_id IS NOT NULL").join(pieces, ["c", "piece"])
-        return found.withColumn("v", F.coalesce("w", "carried")).where("v IS NOT NULL").select("l_id", F.least(F.abs(F.col("l_start") - F.col("v.r_end")), F.abs(F.col("v.r_start") - F.col("l_end"))).alias("distance"), "v.r_start", "v.r_end", "v.r_label")
+        found = found.withColumn("v", F.coalesce("w", "carried")).where("v IS NOT NULL")
+        if rows is furthest:
+            return found.where("v.r_start < l_end").select("l_id", F.lit(0).cast("long").alias("distance"), "v.r_start", "v.r_end", "v.r_label")
+        return found.select("l_id", F.least(F.abs(F.col("l_start") - F.col("v.r_end")), F.abs(F.col("v.r_start") - F.col("l_end"))).alias("distance"), "v.r_start", "v.r_end", "v.r_label")
 
-    options = reduce(DataFrame.unionByName, [overlapping, asof(points, lefts, "l_start", True), asof(points, rights, "l_end", False)])
+    options = reduce(DataFrame.unionByName, [asof(points.where("l_start < l_end"), furthest, "l_start", False), asof(points, lefts, "l_start", True), asof(points, rights, "l_end", False)])
     best = options.groupBy("l_id").agg(F.min(F.struct("distance", "r_start", "r_end", "r_label")).alias("b"))
     return best.select("l_id", "b.distance", "b.r_start", "b.r_end", "b.r_label")

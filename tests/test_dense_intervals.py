@@ -29,3 +29,31 @@ def test_modified_base_calls_of_crowded_reads(spark, crowded_events):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{crowded_events}/events.parquet/*.parquet'")
     res = con.sql(catalogue.ORACLES["modified_base_calls"])
     assert got and got == rows_of(res.columns, res.fetchall())
+
+
+SPANS = [(c, s, s + random.Random(s).randint(1, 900), f"g{s % 5}", float(s % 40)) for c in ("chr1", "chr2") for s in range(0, 4000, 7)]
+
+
+@pytest.fixture(scope="module")
+def spans(spark):
+    return spark.createDataFrame(SPANS, "r_chrom string, r_start long, r_end long, r_label string, depth double")
+
+
+def unpaired(monkeypatch, *modules):
+    """Pairs of all intervals over each other are what may not be made."""
+
+    def refuse(*_, **__):
+        raise AssertionError("a join of all overlapping pairs")
+
+    for module, name in modules:
+        monkeypatch.setattr(module, name, refuse)
+
+
+def test_nearest_forms_no_overlapping_pairs(spark, spans, monkeypatch):
+    from genostrata.operators import rangejoin
+
+    points = [(i, "chr1" if i % 2 else "chr2", p, p + w) for i, (p, w) in enumerate((p, w) for p in range(0, 6000, 97) for w in (1, 40))]
+    unpaired(monkeypatch, (rangejoin, "overlap_join"))
+    got = {tuple(r) for r in rangejoin.nearest(spark.createDataFrame(points, "l_id long, l_chrom string, l_start long, l_end long"), spans.drop("depth"), span=500).collect()}
+    distance = lambda s, e, a, b: 0 if s < b and a < e else min(abs(s - b), abs(a - e))
+    assert got == {(i, *min((distance(s, e, a, b), a, b, g) for k, a, b, g, _ in SPANS if k == c)) for i, c, s, e in points}
