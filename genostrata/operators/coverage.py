@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genostrata.operators.rangejoin import overlap_join
+from genostrata.operators.rangejoin import merged_intervals, overlap_join
 from genostrata.operators.running import with_running
 
 
@@ -57,13 +57,15 @@ def observability(events: DataFrame, targets: DataFrame, min_depth: float, *, as
     sites = breakpoints(events)
     if not assessed:
         return sites.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_points")).withColumn("observability", F.lit("not_applicable"))
-    regions = targets.select(F.col("chrom").alias("r_chrom"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"), "mean_depth")
+    regions = targets.where("mean_depth IS NOT NULL").select(F.col("chrom").alias("r_chrom"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"), (F.col("mean_depth") >= min_depth).alias("enough"))
+    # Only whether some region is over a locus and whether a deep one is matters, so regions of a kind are merged.
+    regions = merged_intervals(regions, ["enough"])
     place = ["event_id", "k", "l_chrom", "l_start", "l_end"]
-    deep = overlap_join(sites, regions).groupBy(*place).agg(F.max("mean_depth").alias("depth"))
+    deep = overlap_join(sites, regions).groupBy(*place).agg(F.max("enough").alias("enough"))
     all_points = sites.join(deep, place, "left")
-    inside = F.col("depth").isNotNull()
+    inside = F.col("enough").isNotNull()
     best = "partially_observed" if buffered else "observed_adequately"
-    state = F.when(~F.bool_or(inside), "outside_target").when(~F.bool_and(inside), "partially_observed").when(F.bool_and(F.col("depth") >= min_depth), best).otherwise("insufficient_coverage")
+    state = F.when(~F.bool_or(inside), "outside_target").when(~F.bool_and(inside), "partially_observed").when(F.bool_and("enough"), best).otherwise("insufficient_coverage")
     return all_points.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_points"), state.alias("observability"))
 
 

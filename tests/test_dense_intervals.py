@@ -57,3 +57,27 @@ def test_nearest_forms_no_overlapping_pairs(spark, spans, monkeypatch):
     got = {tuple(r) for r in rangejoin.nearest(spark.createDataFrame(points, "l_id long, l_chrom string, l_start long, l_end long"), spans.drop("depth"), span=500).collect()}
     distance = lambda s, e, a, b: 0 if s < b and a < e else min(abs(s - b), abs(a - e))
     assert got == {(i, *min((distance(s, e, a, b), a, b, g) for k, a, b, g, _ in SPANS if k == c)) for i, c, s, e in points}
+
+
+def test_merged_intervals_and_observability(spark, spans, monkeypatch):
+    from genostrata.operators import coverage, rangejoin
+
+    merged = rangejoin.merged_intervals(spans, ["r_label"]).collect()
+    cover = lambda rows: {(c, g, x) for c, a, b, g in rows for x in range(a, b)}
+    assert cover((r["r_chrom"], r["r_start"], r["r_end"], r["r_label"]) for r in merged) == cover(x[:4] for x in SPANS)
+    ends = {}
+    for r in merged:
+        ends.setdefault((r["r_chrom"], r["r_label"]), []).append((r["r_start"], r["r_end"]))
+    assert all(x[1] < y[0] for v in ends.values() for x, y in zip(sorted(v), sorted(v)[1:]))
+    widest = []
+    whole = coverage.overlap_join
+    monkeypatch.setattr(coverage, "overlap_join", lambda l, r: (widest.append(r.count()), whole(l, r))[1])
+    events = [(i, "deletion", "chr1", 50 * i, 50 * i + 333) for i in range(110)]
+    targets = spans.select(F.col("r_chrom").alias("chrom"), F.col("r_start").alias("start_pos"), F.col("r_end").alias("end_pos"), F.when(F.col("depth") != 7, F.col("depth")).alias("mean_depth"))
+    got = {r["event_id"]: r["observability"] for r in coverage.observability(spark.createDataFrame(events, "event_id long, event_type string, chrom string, start_pos long, end_pos long"), targets, 39.0).collect()}
+    assert widest[0] < len(SPANS) / 4  # every region stood in the join before
+    deepest = lambda p: max((d for c, a, b, _, d in SPANS if c == "chr1" and a <= p < b and d != 7), default=None)
+    for i, _, _, s, e in events:
+        two = [deepest(s), deepest(e - 1)]
+        want = "outside_target" if two == [None, None] else "partially_observed" if None in two else "observed_adequately" if min(two) >= 39 else "insufficient_coverage"
+        assert got[i] == want
