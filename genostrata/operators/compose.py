@@ -50,10 +50,12 @@ def fusion_sides(pairs: DataFrame, transcripts: DataFrame) -> DataFrame:
     sides = {"left": ("chrom", "start_pos"), "right": ("chrom2", "start2")}
     out = pairs.select("event_id").distinct()
     for side, (chrom, pos) in sides.items():
-        hit = point_join(pairs.select("event_id", F.col(chrom).alias("l_chrom"), F.col(pos).alias("l_pos")), spans)
+        # Each breakpoint is looked up once, however many events share it.
+        ends = pairs.select("event_id", F.col(chrom).alias("l_chrom"), F.col(pos).alias("l_pos"))
+        hit = point_join(ends.select("l_chrom", "l_pos").distinct(), spans)
         order = F.struct("tier", -F.col("cds_length"), -F.col("transcript_length"), "transcript_id")
-        best = hit.groupBy("event_id").agg(F.min_by("transcript_id", order).alias(f"{side}_transcript"), F.when(F.count_distinct("gene_id") == 1, F.min("gene_id")).alias(f"{side}_gene"))
-        out = out.join(best, "event_id", "left")
+        best = hit.groupBy("l_chrom", "l_pos").agg(F.min_by("transcript_id", order).alias(f"{side}_transcript"), F.when(F.count_distinct("gene_id") == 1, F.min("gene_id")).alias(f"{side}_gene"))
+        out = out.join(ends.join(best, ["l_chrom", "l_pos"]).drop("l_chrom", "l_pos"), "event_id", "left")
     return out.withColumn("frame", F.lit("unknown"))
 
 
