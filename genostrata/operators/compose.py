@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from genostrata.functions import evidence as ev
 from genostrata.operators import consensus, coverage
 from genostrata.operators.annotate import ranked_transcripts
-from genostrata.operators.rangejoin import overlap_join, point_join
+from genostrata.operators.rangejoin import merged_intervals, overlap_join, point_join
 
 
 def evidence_long(rows: DataFrame, key: str, kinds: dict[str, list[str]]) -> DataFrame:
@@ -71,7 +71,7 @@ def structural_path(calls: DataFrame, targets: DataFrame, *, min_support: int, m
     events = consensus.merged(usable, clusters).join(members, "head").withColumn("event_id", F.col("representative"))
     spans = targets.select(F.col("chrom").alias("r_chrom"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"), "label")
     loci = events.select("event_id", F.col("chrom").alias("l_chrom"), F.col("start_pos").alias("l_start"), F.col("end_pos").alias("l_end"))
-    genes = overlap_join(loci, spans).groupBy("event_id").agg(F.array_sort(F.collect_set("label")).alias("genes"))
+    genes = overlap_join(loci, merged_intervals(spans, ["label"])).groupBy("event_id").agg(F.array_sort(F.collect_set("label")).alias("genes"))
     seen = coverage.observability(events, targets, min_depth)
     rows = events.join(genes, "event_id", "left").join(seen, "event_id", "left").withColumn("genes", F.coalesce("genes", F.array().cast("array<string>")))
     n = F.size(F.split("callers", ","))
