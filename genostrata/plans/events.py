@@ -130,11 +130,11 @@ def qc_gates(spark, sf_dir):
   SELECT c.event_id, coalesce(list_sort(list(DISTINCT t.label) FILTER (t.label IS NOT NULL)), []) AS genes FROM fx_calls c LEFT JOIN fx_targets t ON c.chrom = t.chrom AND c.start_pos < t.end_pos AND t.start_pos < c.end_pos GROUP BY 1)
 SELECT event_id, CASE WHEN len(genes) >= 2 THEN genes[1] || '::' || genes[2] ELSE coalesce(genes[1], 'unannotated') END AS label FROM h""")
 def gene_pair_labels(spark, sf_dir):
-    from genostrata.operators.rangejoin import overlap_join
+    from genostrata.operators.rangejoin import merged_intervals, overlap_join
     from genostrata.plans.intervals import left, right
 
     calls = fixture(spark, sf_dir, "calls")
-    hit = overlap_join(left(calls, "event_id"), right(fixture(spark, sf_dir, "targets"), "label")).groupBy("event_id").agg(F.array_sort(F.collect_set("label")).alias("genes"))
+    hit = overlap_join(left(calls, "event_id"), merged_intervals(right(fixture(spark, sf_dir, "targets"), "label"), ["label"])).groupBy("event_id").agg(F.array_sort(F.collect_set("label")).alias("genes"))
     rows = calls.select("event_id").distinct().join(hit, "event_id", "left").withColumn("genes", F.coalesce("genes", F.array().cast("array<string>")))
     return rows.select("event_id", ev.gene_pair_label(F.lit(None).cast("string"), F.col("genes")).alias("label"))
 
