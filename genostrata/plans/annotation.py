@@ -136,11 +136,11 @@ rec AS (SELECT 'r' || i AS record_id, CASE WHEN i % 2 = 0 THEN 'exact_pair' ELSE
 @query("geneset_match", f"""WITH {sql('calls', 'targets')}, {_SETS}
 SELECT event_id, record_id, pattern_type AS rule FROM ev, rec WHERE list_has_all([upper(x) for x in ev.genes], [upper(x) for x in rec.genes]) AND (pattern_type = 'exact_pair' OR len(ev.genes) >= 2)""")
 def geneset_match(spark, sf_dir):
-    from genostrata.operators.rangejoin import overlap_join
+    from genostrata.operators.rangejoin import merged_intervals, overlap_join
     from genostrata.plans.intervals import left, right
 
     calls = fixture(spark, sf_dir, "calls")
-    events = overlap_join(left(calls, "event_id"), right(fixture(spark, sf_dir, "targets"), "label")).groupBy("event_id").agg(F.collect_set("label").alias("genes"))
+    events = overlap_join(left(calls, "event_id"), merged_intervals(right(fixture(spark, sf_dir, "targets"), "label"), ["label"])).groupBy("event_id").agg(F.collect_set("label").alias("genes"))
     i = F.col("id")
     n = lambda c: c.cast("string")
     pair = F.array(F.concat(F.lit("BRAND#"), n(1 + i % 5), n(1 + F.expr("id div 2") % 5)), F.concat(F.lit("BRAND#"), n(1 + i % 4), n(1 + i % 3)))
