@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genostrata.operators.rangejoin import overlap_join, point_join
+from genostrata.operators.rangejoin import merged_intervals, overlap_join, point_join
 
 
 def transcript_tier(mane: Column, canonical: Column, appris: Column, kind: Column, basic: Column) -> Column:
@@ -102,6 +102,7 @@ def single_hit(points: DataFrame, intervals: DataFrame, value: str) -> DataFrame
 def phase_at(points: DataFrame, coding: DataFrame) -> DataFrame:
     """(point_id, transcript_id, phase): the phase of a transcript's coding part at a point, null unless unique."""
     spans = coding.select(F.col("chrom").alias("r_chrom"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"), "transcript_id", "phase")
+    spans = merged_intervals(spans, ["transcript_id", "phase"])
     hit = point_join(points, spans).groupBy("point_id", "transcript_id").agg(F.collect_set("phase").alias("all"))
     return hit.select("point_id", "transcript_id", F.when(F.size("all") == 1, F.get("all", F.lit(0))).alias("phase"))
 
