@@ -81,3 +81,15 @@ def test_merged_intervals_and_observability(spark, spans, monkeypatch):
         two = [deepest(s), deepest(e - 1)]
         want = "outside_target" if two == [None, None] else "partially_observed" if None in two else "observed_adequately" if min(two) >= 39 else "insufficient_coverage"
         assert got[i] == want
+
+
+def test_unmatched_calls_form_no_pairs(spark, monkeypatch):
+    from genostrata.operators import benchmark
+
+    rows = [(f"{c}{i}", k, "chr1", 37 * i % 9000, 37 * i % 9000 + 200 + i % 700, c) for c in "tq" for i in range(c == "q", 400, 2) for k in ("deletion", "inversion")[i % 3 == 0 :][:1]]
+    calls = spark.createDataFrame(rows, "event_id string, event_type string, chrom string, start_pos long, end_pos long, side string")
+    t, q = calls.where("side = 't'"), calls.where("side = 'q'")
+    want = {r["truth_id"] for r in benchmark.span_candidates(t, q, 0.5).collect()}
+    unpaired(monkeypatch, (benchmark, "overlap_join"))
+    got = [r["event_id"] for r in benchmark.span_matched(t, q, 0.5).collect()]
+    assert 0 < len(want) < 200 and sorted(got) == sorted(want)
