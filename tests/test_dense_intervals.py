@@ -93,3 +93,25 @@ def test_unmatched_calls_form_no_pairs(spark, monkeypatch):
     unpaired(monkeypatch, (benchmark, "overlap_join"))
     got = [r["event_id"] for r in benchmark.span_matched(t, q, 0.5).collect()]
     assert 0 < len(want) < 200 and sorted(got) == sorted(want)
+
+
+def test_pairs_within_a_distance_are_not_grouped(spark):
+    from genostrata.operators import benchmark
+
+    one = [(f"e{i}", "translocation", "chr1", 10 * i, 10 * i + 1, f"chr{1 + i % 2}", 10 * (i % 9), 10 * (i % 9) + 1) for i in range(60)]
+    names = "event_id string, event_type string, chrom string, start_pos long, end_pos long, chrom2 string, start2 long, end2 long"
+    t = spark.createDataFrame(one + one[:3], names)
+    q = spark.createDataFrame([(f"q{x[0]}", *x[1:]) for x in one] + [("qe1", *one[5][1:])], names)
+    found = benchmark.distance_candidates(t, q, 50)
+    want = {}
+    for a in one:
+        for b in [*one, ("e1", *one[5][1:])]:
+            gap = lambda *p: max(abs(x - y) for x, y in p)
+            here = [gap((a[3], b[3]), (a[4], b[4]), (a[6], b[6]), (a[7], b[7]))] if (a[2], a[5]) == (b[2], b[5]) else []
+            here += [gap((a[3], b[6]), (a[4], b[7]), (a[6], b[3]), (a[7], b[4]))] if (a[2], a[5]) == (b[5], b[2]) else []
+            if here and min(here) <= 50:
+                want[a[0], "q" + b[0]] = min(here + [want.get((a[0], "q" + b[0]), 99)])
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r["truth_id"], r["query_id"]): r["distance"] for r in rows} == want
+    plain = benchmark.distance_candidates(t.drop("chrom2", "start2", "end2"), q.drop("chrom2", "start2", "end2"), 50)
+    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString()
