@@ -22,25 +22,40 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def records(text: DataFrame) -> DataFrame:
     """Columns of record lines as ``c`` (array); headers and empty lines are left out."""
-    rows = text.where("trim(value) <> '' AND NOT startswith(value, '#')")
-    return rows.select(F.split("value", "\t").alias("c"))
+    # Not a filter on ``value``: one would be pushed below, where a made line is made again for each condition.
+    keep = (F.trim("value") != "") & ~F.startswith("value", F.lit("#"))
+    return text.select(F.explode(F.array(F.when(keep, F.split("value", "\t")))).alias("c")).where("c IS NOT NULL")
 
 
 def field(i: int) -> Column:
     return F.get("c", F.lit(i))
 
 
-def info_map(text: Column) -> Column:
-    """``k=v;flag`` as a map, flags with null values; ``.`` is empty. The last of equal keys wins."""
+def _items(text: Column) -> Column:
+    """The items of ``k=v;flag`` as structs of key and value, flags with null values; ``.`` is empty."""
     items = F.filter(F.split(text, ";"), lambda x: (x != "") & (x != "."))
-    pairs = F.transform(items, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.contains(x, F.lit("=")), F.substr(x, F.instr(x, F.lit("=")) + 1)).alias("value")))
+    return F.transform(items, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.contains(x, F.lit("=")), F.substr(x, F.instr(x, F.lit("=")) + 1)).alias("value")))
+
+
+def _map_of(pairs: Column) -> Column:
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    alone = F.size(F.array_distinct(pairs["key"])) == F.size(pairs)
+    return F.map_from_entries(F.when(alone, pairs).otherwise(last))
+
+
+def info_map(text: Column) -> Column:
+    """``k=v;flag`` as a map, flags with null values; ``.`` is empty. The last of equal keys wins."""
+    return _map_of(_items(text))
+
+
+def with_info(rows: DataFrame, i: int = 7) -> DataFrame:
+    """``rows`` with the map of field ``i`` as ``info``; the field is cut once, however often the items are asked for."""
+    return rows.withColumn("items", F.when(~malformed_info(field(i)), _items(field(i)))).withColumn("info", _map_of(F.col("items"))).drop("items")
 
 
 def malformed_info(text: Column) -> Column:
     """An item without a key, as in ``;=3;``."""
-    return F.exists(F.split(text, ";"), lambda x: F.startswith(x, F.lit("=")))
+    return F.contains(F.concat(F.lit(";"), text), F.lit(";="))
 
 
 def sample_map(names: Column, values: Column) -> Column:
@@ -52,9 +67,24 @@ def sample_map(names: Column, values: Column) -> Column:
 
 def number(text: Column, *, minimum: float | None = None) -> Column:
     """The first of comma-joined numbers; null if missing, not finite or below ``minimum``."""
-    value = F.nullif(F.get(F.split(text, ","), F.lit(0)), F.lit(".")).try_cast("double")
-    value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
-    return value if minimum is None else F.when(value >= minimum, value)
+    return _finite(_read(text), minimum)
+
+
+def _read(text: Column) -> Column:
+    return F.nullif(F.substring_index(text, ",", 1), F.lit(".")).try_cast("double")
+
+
+def _finite(value: Column, minimum: float | None = None) -> Column:
+    """``value`` if it is finite and not below ``minimum``: not a number stands above infinity."""
+    least = value > float("-inf") if minimum is None else value >= minimum
+    return F.when(least & (value < float("inf")), value)
+
+
+def _with_numbers(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """``rows`` with the number of each text by name; each text is read once, however often its number is asked for."""
+    read = rows.withColumn("numbers", F.transform(F.array(*texts.values()), lambda x: _read(x)))
+    read = read.withColumn("numbers", F.transform("numbers", lambda x: _finite(x)))
+    return read.withColumns({name: F.col("numbers")[i] for i, name in enumerate(texts)})
 
 
 _LOCAL_FIRST = r"^([ACGTNacgtn]+)([\[\]])([^\[\]:\s]+):(\d+)([\[\]])$"
@@ -73,6 +103,11 @@ def breakend(alt: Column) -> Column:
     return F.struct(F.when(ok, chrom).alias("mate_chrom"), F.when(ok, pos - 1).alias("mate_pos"), F.when(ok, form).alias("form"), F.when(~ok, "malformed_breakend_alt").alias("error"))
 
 
+def _no_mate() -> Column:
+    """What ``breakend`` gives for an allele without a bracket."""
+    return F.struct(F.lit(None).cast("string").alias("mate_chrom"), F.lit(None).cast("long").alias("mate_pos"), F.lit(None).cast("string").alias("form"), F.lit("malformed_breakend_alt").alias("error"))
+
+
 def small_variants(text: DataFrame) -> DataFrame:
     """Germline records of one sample: chrom, pos, ref, alt, depth, variant_reads, quality, filter, reason.
 
@@ -126,26 +161,33 @@ def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: in
     given. What a record says of coverage, fraction, strands, mismatches and deviations must
     be well formed, and it cannot be both precise and imprecise.
     """
-    r = records(text).withColumn("info", F.when(~malformed_info(field(7)), info_map(field(7)))).withColumn("s", sample_map(field(8), field(9)))
-    info = F.col("info")
-    kind = F.create_map(*[F.lit(x) for kv in SV_TYPES.items() for x in kv])[F.upper(F.substring_index(info["SVTYPE"], ":", 1))]
-    pos = field(1).try_cast("long")
-    start = pos - 1
-    svlen = F.abs(number(info["SVLEN"])).cast("long")
-    end = F.coalesce(info["END"].try_cast("long"), start + svlen)
-    dv, dr = number(F.col("s")["DV"], minimum=0), number(F.col("s")["DR"], minimum=0)
-    support = F.coalesce(*[number(info[k], minimum=0) for k in support_keys], dv).cast("int")
-    fraction = F.coalesce(*[number(info[k], minimum=0) for k in fraction_keys], F.try_divide(dv, dv + dr))
-    mate = breakend(field(4))
-    last = F.when(kind == "insertion", start + 1).when(kind == "translocation", start + 1).otherwise(end)
-    length = F.when(kind == "translocation", F.lit(None).cast("long")).when(kind == "insertion", svlen).otherwise(last - start)
+    keys = dict.fromkeys(("SVTYPE", "END", "SVLEN", "CLASS", "COVERAGE", "STRAND", "NM", "STDEV_POS", "STDEV_LEN", *support_keys, *fraction_keys))
+    # What is asked for more than once is a column, or each asking would work it out anew.
+    r = with_info(records(text)).withColumns({"s": sample_map(field(8), field(9)), "mate": F.when(field(4).rlike(r"[\[\]]"), breakend(field(4))).otherwise(_no_mate())})
+    r = r.withColumns({f"info_{k}": F.col("info")[k] for k in keys} | {f"has_{k}": F.map_contains_key("info", k) for k in ("PRECISE", "IMPRECISE")} | {"qual": field(5), "position": field(1).try_cast("long")})
+    info = {k: F.col(f"info_{k}") for k in keys}
+    numbers = {f"n_{k}": info[k] for k in ("SVLEN", "NM", "STDEV_POS", "STDEV_LEN", *support_keys, *fraction_keys)}
+    r = _with_numbers(r, numbers | {"n_quality": F.col("qual"), "n_DV": F.col("s")["DV"], "n_DR": F.col("s")["DR"]})
+    positive = lambda k: F.when(F.col(f"n_{k}") >= 0, F.col(f"n_{k}"))
     told = lambda c: F.nullif(c, F.lit("."))  # noqa: E731  what is given, if anything
-    bad = lambda c: told(c).isNotNull() & number(told(c), minimum=0).isNull()
-    quality = number(told(field(5)), minimum=0)
-    has = lambda k: F.coalesce(F.map_contains_key(info, F.lit(k)), F.lit(False))
-    depths = F.filter(F.split(told(info["COVERAGE"]), ","), lambda x: ~x.isin("", "."))
-    bad_depths = F.coalesce(F.exists(depths, lambda x: number(x, minimum=0).isNull()), F.lit(False))
-    said = [info[k] for k in fraction_keys]
+    bad = lambda c, k: told(c).isNotNull() & positive(k).isNull()
+    svlen = F.abs("n_SVLEN").cast("long")
+    pos, start = F.col("position"), F.col("position") - 1
+    dv, dr = positive("DV"), positive("DR")
+    r = r.withColumns({
+        "kind": F.create_map(*[F.lit(x) for kv in SV_TYPES.items() for x in kv])[F.upper(F.substring_index(info["SVTYPE"], ":", 1))],
+        "end": F.coalesce(info["END"].try_cast("long"), start + svlen),
+        "support": F.coalesce(*[positive(k) for k in support_keys], dv).cast("int"),
+        "fraction": F.coalesce(*[positive(k) for k in fraction_keys], F.try_divide(dv, dv + dr)),
+        "quality": positive("quality"),
+        "depths": F.transform(F.filter(F.split(told(info["COVERAGE"]), ","), lambda x: ~x.isin("", ".")), lambda x: number(x, minimum=0)),
+    })
+    kind, support, fraction, mate, quality, depths = map(F.col, ("kind", "support", "fraction", "mate", "quality", "depths"))
+    r = r.withColumn("last", F.when(kind.isin("insertion", "translocation"), start + 1).otherwise(F.col("end")))
+    last = F.col("last")
+    length = F.when(kind == "translocation", F.lit(None).cast("long")).when(kind == "insertion", svlen).otherwise(last - start)
+    has = lambda k: F.coalesce(F.col(f"has_{k}"), F.lit(False))
+    bad_depths = F.coalesce(F.exists(depths, lambda x: x.isNull()), F.lit(False))
     reason = first_reason([
         ("malformed_record", F.size("c") < 8),
         ("malformed_position", F.coalesce((pos < 1) | (pos > MAX_POS), F.lit(True))),
@@ -156,7 +198,7 @@ def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: in
         ("type_not_allowed", F.lit(False) if allowed is None else ~kind.isin(*allowed)),
         ("class_not_accepted", F.lit(False) if only_class is None else F.coalesce(info["CLASS"] != only_class, F.lit(False))),
         ("low_support", F.coalesce(support < min_support, F.lit(min_support > 0))),
-        ("malformed_quality", bad(field(5))),
+        ("malformed_quality", bad(F.col("qual"), "quality")),
         ("missing_quality", F.lit(min_quality is not None) & quality.isNull()),
         ("low_quality", F.lit(False) if min_quality is None else F.coalesce(quality < min_quality, F.lit(False))),
         ("imprecise", F.lit(require_precise) & ~has("PRECISE")),
@@ -165,14 +207,14 @@ def structural_variants(text: DataFrame, *, min_support: int = 5, min_length: in
         ("malformed_locus", F.coalesce(last <= start, F.lit(True))),
         ("too_short", length < min_length),
         ("malformed_coverage", bad_depths),
-        ("malformed_fraction", reduce(Column.__or__, [bad(x) for x in said])),
+        ("malformed_fraction", reduce(Column.__or__, [bad(info[k], k) for k in fraction_keys])),
         ("invalid_fraction", F.coalesce(fraction > 1, F.lit(False))),
         ("malformed_strands", F.coalesce(~told(info["STRAND"]).isin("+", "-", "+-"), F.lit(False))),
-        ("malformed_mismatches", bad(info["NM"])),
-        ("malformed_deviation", bad(info["STDEV_POS"]) | bad(info["STDEV_LEN"])),
+        ("malformed_mismatches", bad(info["NM"], "NM")),
+        ("malformed_deviation", bad(info["STDEV_POS"], "STDEV_POS") | bad(info["STDEV_LEN"], "STDEV_LEN")),
         ("conflicting_precision", has("PRECISE") & has("IMPRECISE")),
     ])
-    return r.select(field(2).alias("record_id"), field(0).alias("chrom"), start.alias("start_pos"), last.alias("end_pos"), kind.alias("event_type"), length.alias("length"), support.alias("support_reads"), fraction.alias("vaf"), mate["mate_chrom"].alias("mate_chrom"), mate["mate_pos"].alias("mate_pos"), F.map_contains_key(info, "PRECISE").alias("precise"), quality.alias("quality"), F.when(F.size(depths) > 0, F.aggregate(depths, F.lit(0.0), lambda a, x: a + number(x, minimum=0)) / F.size(depths)).alias("local_coverage"), told(info["STRAND"]).alias("supporting_strands"), reason.alias("reason"))
+    return r.select(field(2).alias("record_id"), field(0).alias("chrom"), start.alias("start_pos"), last.alias("end_pos"), kind.alias("event_type"), length.alias("length"), support.alias("support_reads"), fraction.alias("vaf"), mate["mate_chrom"].alias("mate_chrom"), mate["mate_pos"].alias("mate_pos"), F.col("has_PRECISE").alias("precise"), quality.alias("quality"), F.when(F.size(depths) > 0, F.aggregate(depths, F.lit(0.0), lambda a, x: a + x) / F.size(depths)).alias("local_coverage"), told(info["STRAND"]).alias("supporting_strands"), reason.alias("reason"))
 
 
 def depth_segments(text: DataFrame, *, min_length: int = 100_000, pass_only: bool = True) -> DataFrame:
@@ -181,12 +223,12 @@ def depth_segments(text: DataFrame, *, min_length: int = 100_000, pass_only: boo
     POS of these files is 0-based already and SVLEN equals END - POS. The allele names the
     type or is ``.``; copy_number is CN of INFO where given.
     """
-    r = records(text).withColumn("info", F.when(~malformed_info(field(7)), info_map(field(7))))
-    info = F.col("info")
-    raw = F.upper(info["SVTYPE"])
+    r = with_info(records(text))
+    r = r.withColumns({f"info_{k}": F.col("info")[k] for k in ("SVTYPE", "END", "SVLEN", "CN")})
+    info = {k: F.col(f"info_{k}") for k in ("SVTYPE", "END", "SVLEN", "CN")}
+    r = r.withColumns({"raw": F.upper(info["SVTYPE"]), "start": field(1).try_cast("long"), "end": info["END"].try_cast("long"), "svlen": info["SVLEN"].try_cast("long"), "cn": info["CN"].try_cast("double")})
+    raw, start, end, svlen, cn = map(F.col, ("raw", "start", "end", "svlen", "cn"))
     kind = F.when(raw == "DEL", "deletion").when(raw == "DUP", "duplication")
-    start, end, svlen = field(1).try_cast("long"), info["END"].try_cast("long"), info["SVLEN"].try_cast("long")
-    cn = info["CN"].try_cast("double")
     reason = first_reason([
         ("malformed_record", F.size("c") != 10),
         ("malformed_start", F.coalesce(start < 0, F.lit(True))),

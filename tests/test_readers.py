@@ -23,6 +23,18 @@ def test_paired_somatic_records(spark):
     assert got == {"a": None, "b": "class_not_accepted", "c": "low_support"}
 
 
+def test_record_items_are_cut_once(spark):
+    rows = ["#x", " ", "chr1\t11\ta\tN\t<DEL>\t60\tPASS\tPRECISE;SVTYPE=INV;SVTYPE=DEL;END=900;SUPPORT=9,3;VAF=NaN;NM=.", "chr1\t11\tb\tN\t<DEL>\t60\tPASS\tSVTYPE=DEL;END=900;SUPPORT=9;NM=inf;.;", "chr1\t11\tc\tN\tN[chr2:5[\t.\tPASS\tSVTYPE=BND;SUPPORT=9;COVERAGE=1,.,3", "chr1\t11\td\tN\tN\t.\tPASS\tSVTYPE=BND;SUPPORT=9", "chr1\t11\te\tN\t<DEL>\t60\tPASS\tSVTYPE=DEL;SVTYPE;END=900"]
+    df = vcf.structural_variants(lines(spark, *rows))
+    got = {r["record_id"]: r for r in df.collect()}
+    assert {k: r["reason"] for k, r in got.items()} == {"a": "malformed_fraction", "b": "malformed_mismatches", "c": None, "d": "malformed_breakend_alt", "e": "missing_type"}
+    assert (got["a"]["event_type"], got["a"]["precise"], got["a"]["support_reads"], got["b"]["precise"]) == ("deletion", True, 9, False)
+    assert (got["c"]["mate_chrom"], got["c"]["mate_pos"], got["c"]["local_coverage"]) == ("chr2", 4, 2.0)
+    for rows in (df, vcf.depth_segments(lines(spark, *rows))):
+        # The field is split once for the record, its items once for the map, coverage once.
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 10
+
+
 def fails(df, what):
     with pytest.raises(Exception, match=what):
         df.collect()
