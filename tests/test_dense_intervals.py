@@ -115,3 +115,15 @@ def test_pairs_within_a_distance_are_not_grouped(spark):
     assert len(rows) == len(want) and {(r["truth_id"], r["query_id"]): r["distance"] for r in rows} == want
     plain = benchmark.distance_candidates(t.drop("chrom2", "start2", "end2"), q.drop("chrom2", "start2", "end2"), 50)
     assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mutual_best_ranks_no_pairs(spark):
+    from genostrata.operators import benchmark
+
+    rng = random.Random(5)
+    rows = [(f"t{t}", f"q{q}", rng.randint(1, 4) / 4) for t in range(30) for q in range(30) if rng.random() < 0.4]
+    found = benchmark.mutual_best(spark.createDataFrame(rows, "truth_id string, query_id string, score double"))
+    first = lambda side, other, k: min((-x[2], x[other]) for x in rows if x[side] == k)[1]
+    want = {x for x in rows if first(0, 1, x[0]) == x[1] and first(1, 0, x[1]) == x[0]}
+    assert want and {tuple(r) for r in found.collect()} == want
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
