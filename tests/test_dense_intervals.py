@@ -127,3 +127,15 @@ def test_mutual_best_ranks_no_pairs(spark):
     want = {x for x in rows if first(0, 1, x[0]) == x[1] and first(1, 0, x[1]) == x[0]}
     assert want and {tuple(r) for r in found.collect()} == want
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calls_of_other_types_do_not_meet(spark, monkeypatch):
+    from genostrata.operators import benchmark
+
+    rows = [(f"e{i}", ("deletion", "inversion", None)[i % 3], "chr1", 10 * i, 10 * i + 500, 2.0 + i % 2) for i in range(60)]
+    calls = spark.createDataFrame(rows, "event_id string, event_type string, chrom string, start_pos long, end_pos long, copy_number double")
+    whole, met = benchmark.overlap_join, []
+    monkeypatch.setattr(benchmark, "overlap_join", lambda l, r, **k: met.append(whole(l, r, **k)) or met[0])
+    got = {(r["truth_id"], r["query_id"]) for r in benchmark.span_candidates(calls, calls, 0.5, 0.5).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[1] and a[1] == b[1] and abs(a[3] - b[3]) <= 250 and a[5] == b[5]}
+    assert met[0].count() == sum(a[1] is not None and a[1] == b[1] and abs(a[3] - b[3]) < 500 for a in rows for b in rows)
