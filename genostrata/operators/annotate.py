@@ -33,8 +33,19 @@ def exon_or_intron(points: DataFrame, exons: DataFrame) -> DataFrame:
     gaps = nxt.where("n2 IS NOT NULL").select("chrom", "transcript_id", F.least("end_pos", "e2").alias("r_start"), F.greatest("start_pos", "s2").alias("r_end"), F.lit(1).alias("kind"), F.least("exon_number", "n2").alias("number")).where("r_start < r_end")
     own = exons.select("chrom", "transcript_id", F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"), F.lit(0).alias("kind"), F.col("exon_number").alias("number"))
     span = exons.groupBy("chrom", "transcript_id").agg(F.min("start_pos").alias("r_start"), F.max("end_pos").alias("r_end")).select("chrom", "transcript_id", "r_start", "r_end", F.lit(2).alias("kind"), F.lit(None).cast("int").alias("number"))
-    parts = own.unionByName(gaps).unionByName(span).withColumnRenamed("chrom", "r_chrom")
-    best = point_join(points, parts).groupBy("point_id", "transcript_id").agg(F.min(F.struct("kind", "number")).alias("b"))
+    parts = own.unionByName(gaps).unionByName(span).withColumnRenamed("chrom", "r_chrom").where("r_start < r_end")
+    # A transcript is cut where its parts begin and end, and each piece has the first part over it: a point meets one
+    # piece of a transcript, so only ids that stand in several points are grouped, and pairs are not shuffled.
+    own = ["r_chrom", "transcript_id"]
+    edges = parts.select(*own, F.explode(F.array("r_start", "r_end")).alias("at")).distinct()
+    pieces = edges.withColumn("to", F.lead("at").over(Window.partitionBy(*own).orderBy("at"))).where("to IS NOT NULL")
+    over = parts.select(F.col("r_chrom").alias("c"), F.col("transcript_id").alias("t"), "r_start", "r_end", "kind", "number")
+    covered = pieces.join(over, (F.col("r_chrom") == F.col("c")) & F.col("transcript_id").eqNullSafe(F.col("t")) & (F.col("r_start") <= F.col("at")) & (F.col("to") <= F.col("r_end")))
+    covered = covered.groupBy(*own, F.col("at").alias("r_start"), F.col("to").alias("r_end")).agg(F.min(F.struct("kind", "number")).alias("b"))
+    sized = points.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("point_id")))
+    met = point_join(sized, covered).select("point_id", "transcript_id", "__n", "b")
+    again = met.where("__n > 1").groupBy("point_id", "transcript_id").agg(F.min("b").alias("b"))
+    best = met.where("__n = 1").drop("__n").unionByName(again)
     part = F.when(F.col("b.kind") == 0, "exon").when(F.col("b.kind") == 1, "intron").otherwise("transcript")
     return best.select("point_id", "transcript_id", part.alias("part"), F.col("b.number").alias("number"))
 
