@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from genostrata.operators.rangejoin import merged_intervals, overlap_join
 from genostrata.operators.running import with_running
+from genostrata.operators.tiles import TILE, overlap_totals
 
 
 def summary(targets: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
@@ -23,6 +24,22 @@ def overlapping(targets: DataFrame) -> DataFrame:
     return rows.withColumn("hit", F.col("start_pos") < F.col("reach")).groupBy("chrom").agg(F.count(F.lit(1)).alias("n_targets"), F.count_if("hit").alias("n_overlapping"))
 
 
+def overlaps_by_label(calls: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, label, n_calls, most, overlap_bp, depth) of regions and labels that share a base.
+
+    ``calls(l_chrom, l_start, l_end, label, value)`` and ``regions(r_chrom, r_start, r_end, mean_depth, *keys)``. What is
+    longer than a tile is joined; all else comes from sums within tiles, not from pairs.
+    """
+    wide_regions, wide_calls = regions.where(f"r_end - r_start > {TILE}"), calls.where(f"l_end - l_start > {TILE}")
+    short = regions.where(f"r_end - r_start <= {TILE}")
+    rows = overlap_totals(calls.where(f"l_end - l_start <= {TILE}"), short)
+    for some, over in ((calls, wide_regions), (wide_calls, short)):
+        if not (wide_regions if some is calls else wide_calls).isEmpty():
+            shared = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
+            rows = rows.unionByName(overlap_join(some, over).select(*regions.columns, "label", F.lit(1).cast("long").alias("n"), F.col("value").cast("long").alias("most"), shared.alias("overlap_bp")))
+    return rows.groupBy(*keys, "label").agg(F.sum("n").alias("n_calls"), F.max("most").alias("most"), F.sum("overlap_bp").alias("overlap_bp"), F.max("mean_depth").alias("depth"))
+
+
 def thresholds_long(wide: DataFrame, key: str) -> DataFrame:
     """(key, threshold, bases) from columns named ``<depth>X``."""
     names = [c for c in wide.columns if c != key]
