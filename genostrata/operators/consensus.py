@@ -10,9 +10,10 @@ dense contigs give the same clusters as sparse ones.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genostrata.functions.coords import contig_rank, normalize_contig
@@ -92,34 +93,67 @@ _TILE = ["event_type", "chrom", "chrom2", "tile"]
 
 
 def greedy(rows: pd.DataFrame, policy: Policy) -> pd.DataFrame:
-    """event_id, head, distance and tile of calls, tile by tile; rows with ``given`` are open heads from before."""
+    """event_id, head, distance and tile of calls, tile by tile; rows with ``given`` are open heads from before.
+
+    Heads of pairs of loci are kept by their second start, so that a call is held against those near both of its loci only.
+    """
     rows = rows.sort_values(_TILE + _ORDER)
-    open_heads: list[tuple] = []
+    reach = max(1, policy.max_distance)
+    bins: dict[int, list[tuple]] = {}
     found, here = [], None
     columns = [rows[c].tolist() for c in (*_TILE, "event_id", "start_pos", "end_pos", "start2", "end2", "strands", "length", "caller", "given")]
-    for *place, event, s, e, s2, e2, strands, length, caller, given in zip(*columns, strict=True):
+    for number, (*place, event, s, e, s2, e2, strands, length, caller, given) in enumerate(zip(*columns, strict=True)):
         if place != here:
-            here, open_heads = place, []
+            here, bins = place, {}
         x = (s, e, s2, e2, frozenset(filter(None, strands.split(","))), length, caller)
-        open_heads = [h for h in open_heads if s - h[1][0] <= policy.max_distance]
+        at = s2 // reach if place[0] == "translocation" else 0
         if not given:
-            for head, h in open_heads:
-                if (gap := matches(h, x, place[0], policy)) is not None:
-                    found.append((event, head, gap, *place))
-                    break
+            best = None
+            for near in (at - 1, at, at + 1):
+                if near in bins:
+                    # Of a bin's open heads, in order of number, the first match.
+                    bins[near] = [h for h in bins[near] if s - h[2][0] <= policy.max_distance]
+                    for head in bins[near]:
+                        if best is not None and head[0] > best[0]:
+                            break
+                        if (gap := matches(head[2], x, place[0], policy)) is not None:
+                            best = (head[0], head[1], gap)
+                            break
+            if best is not None:
+                found.append((event, best[1], best[2], *place))
             else:
                 found.append((event, event, 0, *place))
                 given = True
         if given:
-            open_heads.append((event, x))
+            bins.setdefault(at, []).append((number, event, x))
     return pd.DataFrame(found, columns=["event_id", "head", "distance", *_TILE])
 
 
-def cluster_calls(calls: DataFrame, policy: Policy = Policy(), *, tile: int = TILE) -> DataFrame:
+def _alike(rows: DataFrame, policy: Policy) -> tuple[DataFrame, list[str], Column]:
+    """The first call of each kind of equal calls, what makes calls equal, and if equal calls match each other.
+
+    What a call matches hangs on its columns alone, matching goes both ways, and equal calls stand
+    at one place of the order. So all of a kind match the head that its first one does; where
+    that is a head itself, so are the others, unless they match it.
+    """
+    same = ["event_type", "chrom", "chrom2", "start_pos", "end_pos", "start2", "end2", "strands", "length", *([] if policy.merge_within_caller else ["caller"])]
+    known = F.col("length").isNotNull() & ~F.isnan("length")
+    # matches(x, x): a pair needs its second locus, a span a base, and a caller may have to be another.
+    itself = F.when(F.col("event_type") == "translocation", F.col("start2") >= 0).when(F.col("event_type") == "insertion", True).otherwise(F.col("end_pos") > F.col("start_pos"))
+    unlike = known & (F.col("length") < 0)  # no ratio of a length below 0 is small enough
+    itself = itself & ((F.col("event_type") == "translocation") | ~unlike) if policy.merge_within_caller else F.lit(False)
+    firsts = rows.groupBy(*same, "tile").agg(F.min("event_id").alias("event_id"))
+    if policy.merge_within_caller:
+        firsts = firsts.withColumn("caller", F.lit(None).cast("string"))
+    return firsts.withColumn("given", F.lit(False)), same, F.coalesce(itself, F.lit(False))
+
+
+def cluster_calls(calls: DataFrame, policy: Policy = Policy(), *, tile: int = TILE, repeated: bool = False) -> DataFrame:
     """(event_id, head, distance): greedy clusters in order of locus within type and contigs.
 
-    Event ids must be unique; rows with a null contig or coordinate are left out. The result
-    is a written table.
+    Event ids must be unique; rows with a null contig or coordinate are left out. With
+    ``repeated``, calls that are equal in all that matching reads are searched as one: the same
+    clusters, for tables where many are. The result is a written table.
     """
     by = _TILE
     width = max(tile, policy.max_distance + 1)
@@ -127,7 +161,10 @@ def cluster_calls(calls: DataFrame, policy: Policy = Policy(), *, tile: int = TI
     schema = f"event_id {kind}, head {kind}, distance long, event_type string, chrom string, chrom2 string, tile long"
     with Tables(calls.sparkSession) as tables:
         rows = canonical(calls).where("chrom IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL")
-        rows = tables.written(rows.withColumn("tile", F.expr(f"start_pos div {width}")).withColumn("given", F.lit(False)))
+        every = rows.withColumn("tile", F.expr(f"start_pos div {width}"))
+        if repeated:
+            firsts, same, itself = _alike(every, policy)
+        rows = tables.written(firsts if repeated else every.withColumn("given", F.lit(False)))
         packs = max(1, rows.count() // PACK)
 
         def clustered(some: DataFrame) -> DataFrame:
@@ -145,7 +182,13 @@ def cluster_calls(calls: DataFrame, policy: Policy = Policy(), *, tile: int = TI
             again = tables.written(changed.select(*by).distinct())
             redo = rows.join(again, by, "left_semi").select(rows.columns)
             if redo.isEmpty():
-                return tables.kept(done.select("event_id", "head", "distance"))
+                if not repeated:
+                    return tables.kept(done.select("event_id", "head", "distance"))
+                firsts = rows.join(done.select("event_id", "head", "distance"), "event_id").select(*[F.col(c).alias(f"o_{c}") for c in same], F.col("event_id").alias("first"), "head", "distance")
+                alike = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in same]
+                own = (F.col("first") == F.col("head")) & ~itself
+                all_calls = every.join(firsts, reduce(Column.__and__, alike))
+                return tables.kept(all_calls.select("event_id", F.when(own, F.col("event_id")).otherwise(F.col("head")).alias("head"), "distance"))
             redo = redo.unionByName(near.join(again, by, "left_semi").select(rows.columns))
             done = tables.written(done.join(again, by, "left_anti").select(done.columns).unionByName(clustered(redo)))
             sent = near
