@@ -16,6 +16,8 @@ from genostrata.sources.published import opened, publish, recounted
 
 #: Intervals in one piece, about.
 PIECE_ROWS = 100_000
+#: Bases of the cells by which points are summed up before pieces are looked for.
+CELL = 4096
 #: Up to so many piece numbers become literals of the scan; more are joined.
 MOST_LISTED = 5000
 
@@ -64,7 +66,8 @@ def touched_intervals(points: DataFrame, version: str) -> DataFrame:
     """The stored intervals of the pieces that can hold one of ``points(l_chrom, l_pos)``."""
     spark = points.sparkSession
     pieces = opened(spark, version, "pieces").select(F.col("chrom").alias("r_chrom"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"), "piece")
-    places = points.select("l_chrom", F.col("l_pos").alias("l_start"), (F.col("l_pos") + 1).alias("l_end")).distinct()
+    # From the first to the last point of each cell: there are far fewer cells than points, however dense these are.
+    places = points.groupBy("l_chrom", F.expr(f"l_pos div {CELL}")).agg(F.min("l_pos").alias("l_start"), (F.max("l_pos") + 1).alias("l_end")).select("l_chrom", "l_start", "l_end")
     wanted = overlap_join(places, pieces).select("piece").distinct()
     stored = opened(spark, version, "intervals")
     listed = [r["piece"] for r in wanted.limit(MOST_LISTED + 1).collect()]
