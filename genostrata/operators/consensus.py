@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,12 +93,75 @@ def matches(h: tuple, x: tuple, kind: str, policy: Policy) -> int | None:
 _TILE = ["event_type", "chrom", "chrom2", "tile"]
 
 
+#: A new head is held against so many calls or more at once, against fewer one by one.
+AT_ONCE = 12
+
+
 def greedy(rows: pd.DataFrame, policy: Policy) -> pd.DataFrame:
     """event_id, head, distance and tile of calls, tile by tile; rows with ``given`` are open heads from before.
 
     Heads of pairs of loci are kept by their second start, so that a call is held against those near both of its loci only.
     """
     rows = rows.sort_values(_TILE + _ORDER)
+    paired = (rows["event_type"] == "translocation").to_numpy()
+    parts = [search(some, policy) for search, some in ((_one_by_one, rows[paired]), (_claimed, rows[~paired])) if len(some)]
+    return pd.concat(parts) if parts else _one_by_one(rows, policy)
+
+
+def _claimed(rows: pd.DataFrame, policy: Policy) -> pd.DataFrame:
+    """``greedy`` of calls of one locus, from the heads' side: each new head takes what it matches of the calls behind it.
+
+    A call goes to the first head that it matches either way, and calls are held against heads only,
+    all of a window at once, which are many fewer than calls where these are dense.
+    """
+    column = lambda c: rows[c].to_numpy()
+    s, e, length, given = column("start_pos").astype(np.int64), column("end_pos").astype(np.int64), column("length").astype(float), column("given").astype(bool)
+    code = lambda c: pd.factorize(rows[c])[0]
+    caller, (strands, sets) = code("caller"), pd.factorize(rows["strands"])
+    sets = [frozenset(filter(None, x.split(","))) for x in sets]
+    alike: dict[int, np.ndarray] = {}
+    insertion = (rows["event_type"] == "insertion").to_numpy()
+    block = np.cumsum(np.any([np.diff(code(c), prepend=-2) != 0 for c in _TILE], axis=0))
+    bounds = np.append(np.flatnonzero(np.diff(block, prepend=0)), len(rows))
+    head, distance = np.where(given, np.arange(len(rows)), -1), np.zeros(len(rows), np.int64)
+    as_call = lambda i: (int(s[i]), int(e[i]), -1, -1, sets[strands[i]], float(length[i]), caller[i])
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        last = (np.searchsorted(s[lo:hi], s[lo:hi] + policy.max_distance, "right") + lo).tolist()
+        kind = "insertion" if insertion[lo] else "other"
+        for i in range(lo, hi):
+            if head[i] >= 0 and head[i] != i:
+                continue
+            head[i] = i
+            if last[i - lo] - i - 1 < AT_ONCE:
+                for j in range(i + 1, last[i - lo]):
+                    if head[j] < 0 and (gap := matches(as_call(i), as_call(j), kind, policy)) is not None:
+                        head[j], distance[j] = i, gap
+                continue
+            x = np.flatnonzero(head[i + 1 : last[i - lo]] < 0) + i + 1
+            gap = np.maximum(np.abs(s[x] - s[i]), np.abs(e[x] - e[i]))
+            good = (gap <= policy.max_distance) & ~(np.abs(length[x] - length[i]) > policy.max_length_ratio * np.maximum(length[x], length[i]))
+            if not policy.merge_within_caller:
+                good &= caller[x] != caller[i]
+            if policy.use_orientation and (mine := sets[strands[i]]):
+                if strands[i] not in alike:
+                    alike[strands[i]] = np.array([not other or bool(mine & other) for other in sets])
+                good &= alike[strands[i]][strands[x]]
+            x, gap = x[good], gap[good]
+            if not insertion[i]:
+                shared = np.minimum(e[x], e[i]) - np.maximum(s[x], s[i])
+                some = shared > 0
+                x, gap, shared = x[some], gap[some], shared[some]
+                near = np.minimum(shared / (e[i] - s[i]), shared / (e[x] - s[x])) >= policy.min_overlap
+                x, gap = x[near], gap[near]
+            head[x], distance[x] = i, gap
+    event, own = rows["event_id"], ~given
+    found = rows.loc[own, ["event_id", *_TILE]]
+    found.insert(1, "head", event.to_numpy()[head[own]])
+    found.insert(2, "distance", distance[own])
+    return found
+
+
+def _one_by_one(rows: pd.DataFrame, policy: Policy) -> pd.DataFrame:
     reach = max(1, policy.max_distance)
     bins: dict[int, list[tuple]] = {}
     found, here = [], None
@@ -190,7 +254,8 @@ def cluster_calls(calls: DataFrame, policy: Policy = Policy(), *, tile: int = TI
                 all_calls = every.join(firsts, reduce(Column.__and__, alike))
                 return tables.kept(all_calls.select("event_id", F.when(own, F.col("event_id")).otherwise(F.col("head")).alias("head"), "distance"))
             redo = redo.unionByName(near.join(again, by, "left_semi").select(rows.columns))
-            done = tables.written(done.join(again, by, "left_anti").select(done.columns).unionByName(clustered(redo)))
+            before, done = done, tables.written(done.join(again, by, "left_anti").select(done.columns).unionByName(clustered(redo)))
+            tables.dropped(before, sent, again)  # a round leaves its clusters and the heads it was given
             sent = near
 
 
@@ -203,12 +268,16 @@ def merged(calls: DataFrame, clusters: DataFrame) -> DataFrame:
     """
     rank = lambda c: contig_rank(F.col(c), other=100)
     with Tables(calls.sparkSession) as tables:
+        names = ["chrom", "start_pos", "end_pos", "chrom2", "start2", "end2"]
+        # A call's place is made after the join, and kept of heads only, so it is not shuffled with the calls.
         members = calls.join(clusters, "event_id")
+        members = canonical(members.withColumn("event_id", F.struct(*members.columns))).select("event_id.*", F.struct(F.col("event_type").alias("kind"), *names).alias("__place"))
         best = F.min_by(F.struct("chrom", "event_type", "start_pos", "end_pos", "event_id"), F.struct(-F.col("support_reads"), "event_id"))
         evidence = F.array_sort(F.collect_list(F.struct("event_id", "caller", "support_reads")))
-        per = members.groupBy("head").agg(best.alias("r"), F.array_sort(F.collect_set("caller")).alias("callers"), evidence.alias("evidence"), F.max("distance").alias("max_distance"))
-        heads = canonical(calls).select(F.col("event_id").alias("head"), F.col("event_type").alias("kind"), "chrom", "start_pos", "end_pos", "chrom2", "start2", "end2")
-        placed = tables.written(per.join(heads, "head"))
+        # A head is a member of its cluster: its place comes with it, not from the calls anew.
+        place = F.max(F.when(F.col("event_id") == F.col("head"), F.col("__place"))).alias("place")
+        per = members.groupBy("head").agg(best.alias("r"), F.array_sort(F.collect_set("caller")).alias("callers"), evidence.alias("evidence"), F.max("distance").alias("max_distance"), place)
+        placed = tables.written(per.select("*", "place.*").drop("place"))
         order = ["kind", rank("chrom"), "chrom", "start_pos", "end_pos", rank("chrom2"), "chrom2", "start2", "end2", "head"]
         placed = with_serial(placed, order, "number", tables)
         name = F.concat(F.lit("SVCLUSTER-"), F.when(F.col("number") < 1_000_000, F.lpad(F.col("number").cast("string"), 6, "0")).otherwise(F.col("number").cast("string")))
