@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from genostrata.operators import compose
+from genostrata.operators import benchmark, compose
 from genostrata.plans.annotation import _TX, transcripts
 from genostrata.plans.registry import query
 from genostrata.sources.fixtures import fixture, sql
@@ -58,5 +58,5 @@ def retained_states(spark, sf_dir):
 
 @query("structural_path")
 def structural_path(spark, sf_dir):
-    calls = fixture(spark, sf_dir, "calls").dropDuplicates(["event_id"])
+    calls = benchmark.one_an_id(fixture(spark, sf_dir, "calls"))
     return compose.structural_path(calls, fixture(spark, sf_dir, "targets"), min_support=5, min_depth=20.0)
